@@ -35,3 +35,39 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {name.removeprefix("SQL_"): sql for name, sql in globals().items() if name.startswith("SQL_op")}
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.decontamination import find_hits, items_digest
+
+    hits = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.simhash import hex_of, near_groups
+
+    groups = near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+
+
+def op8_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.ring import assign
+
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = assign(rows, 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_mpeg_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.transport_stream import read, store
+
+    return read(store(table(spark, sf_dir, "documents")))
+
+
+def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.warc import archive_index
+
+    index = archive_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_no", "range_pos")
