@@ -71,3 +71,9 @@ def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     index = archive_index(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_no", "range_pos")
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.substrings import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
