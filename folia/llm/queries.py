@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import table
+from folia.llm.common import crc32_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def held_out(modulus: int, remainder: int):
+    return (F.pmod(crc32_of("doc_id"), F.lit(modulus)) == remainder).alias("held_out")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -77,3 +81,11 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.substrings import repeated_bytes
 
     return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return rated.select("doc_id", held_out(5, 0), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))

@@ -6,17 +6,15 @@ All but the last return the columns of ``docs``; a row that a stage keeps is oth
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folia.llm.common import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from their labels, calls toxic go."""
-    from folia.llm.toxicity import fit, score
+    from folia.llm.toxicity import fit, keep_clean
 
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("tox_predicted") == 0).select(*docs.columns)
+    return keep_clean(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
