@@ -89,3 +89,11 @@ def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rated = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return rated.select("doc_id", held_out(5, 0), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+
+
+def op7_naive_bayes_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.nbsvm import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return rated.select("doc_id", held_out(5, 0), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
