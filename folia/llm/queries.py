@@ -97,3 +97,11 @@ def op7_naive_bayes_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rated = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return rated.select("doc_id", held_out(5, 0), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+def op4_subword_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from folia.llm.lattice import document_scores
+
+    return document_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
