@@ -26,8 +26,12 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    import folia.plans  # noqa: F401  registers them
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import folia.plans  # noqa: F401  registers them
+
     return dict(_ORACLES)

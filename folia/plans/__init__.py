@@ -1,0 +1,3 @@
+"""The registered queries; importing this package registers them."""
+
+from folia.plans import relational  # noqa: F401
