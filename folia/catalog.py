@@ -35,3 +35,8 @@ def oracle_sql() -> dict[str, str]:
     import folia.plans  # noqa: F401  registers them
 
     return dict(_ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval with fusion and recency boost."""
+    return queries()["ret5_recency_boost"](spark, sf_dir)

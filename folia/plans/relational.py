@@ -40,7 +40,7 @@ def src5(s, d):
 
 
 @register("src6_extraction_fallback", """
-SELECT method, count(*) AS n, sum(n_chars) AS chars FROM (SELECT n_chars, CASE WHEN n_chars > 2000 THEN 'native' WHEN lang IN ('en','es') THEN 'cloud_ocr' WHEN n_chars > 500 THEN 'local_ocr' ELSE 'failed' END AS method FROM documents) GROUP BY method""")
+SELECT method, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM (SELECT n_chars, CASE WHEN n_chars > 2000 THEN 'native' WHEN lang IN ('en','es') THEN 'cloud_ocr' WHEN n_chars > 500 THEN 'local_ocr' ELSE 'failed' END AS method FROM documents) GROUP BY method""")
 def src6(s, d):
     n = F.col("n_chars")
     empty = F.lit("")
@@ -129,10 +129,10 @@ def flt4(s, d):
 
 
 @register("flt5_reaper_idle_users", """
-SELECT user_id, max(ts) AS last_active FROM events WHERE user_id % 4 = 0 GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2 DAY""")
+SELECT user_id, max(ts) AS last_active FROM events WHERE user_id % 4 = 0 GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 HOUR""")
 def flt5(s, d):
     last = table(s, d, "events").where("user_id % 4 = 0").groupBy("user_id").agg(F.max("ts").alias("last_active"))
-    return last.where(F.col("last_active") < now() - F.expr("interval 2 days"))
+    return last.where(F.col("last_active") < now() - F.expr("interval 30 hours"))
 
 
 @register("flt6_file_validation_chain", r"""
@@ -223,13 +223,13 @@ def jon10(s, d):
 
 
 @register("jon11_page_of_offset", """
-SELECT doc_id, at, CASE WHEN n_chars > 1000 THEN at // 1000 + 1 END AS page FROM (SELECT doc_id, n_chars, unnest([0, n_chars // 2, n_chars - 1]) AS at FROM documents WHERE n_chars > 0)""")
+SELECT doc_id, place, CASE WHEN n_chars > 1000 THEN place // 1000 + 1 END AS page FROM (SELECT doc_id, n_chars, unnest([0, n_chars // 2, n_chars - 1]) AS place FROM documents WHERE n_chars > 0)""")
 def jon11(s, d):
     n = F.col("n_chars")
     bounds = F.sequence(F.lit(0).cast(L), n - 1, F.lit(1000).cast(L))
-    docs = table(s, d, "documents").where("n_chars > 0").select("doc_id", bounds.alias("b"), F.explode(F.array(F.lit(0).cast(L), F.floor(n / 2), n - 1)).alias("at"))
-    page = F.size(F.filter("b", lambda x: x <= F.col("at"))).cast(L)
-    return docs.select("doc_id", "at", F.when(F.size("b") > 1, page).alias("page"))
+    docs = table(s, d, "documents").where("n_chars > 0").select("doc_id", bounds.alias("b"), F.explode(F.array(F.lit(0).cast(L), F.floor(n / 2), n - 1)).alias("place"))
+    page = F.size(F.filter("b", lambda x: x <= F.col("place"))).cast(L)
+    return docs.select("doc_id", "place", F.when(F.size("b") > 1, page).alias("page"))
 
 
 @register("jon12_name_contains_first_match", """
@@ -297,7 +297,7 @@ def agg4(s, d):
 
 
 @register("agg5_chunk_statistics", """
-SELECT lang, count(*) AS n, CAST(floor(avg(t) + 0.5) AS BIGINT) AS mean_tokens, min(t) AS least, max(t) AS most, sum(t) AS total FROM (SELECT lang, (length(text) + 4) // 5 AS t FROM documents) GROUP BY lang""")
+SELECT lang, count(*) AS n, CAST(floor(avg(t) + 0.5) AS BIGINT) AS mean_tokens, min(t) AS least, max(t) AS most, CAST(sum(t) AS BIGINT) AS total FROM (SELECT lang, (length(text) + 4) // 5 AS t FROM documents) GROUP BY lang""")
 def agg5(s, d):
     t = F.ceil(F.length("text") / 5)
     return table(s, d, "documents").select("lang", t.alias("t")).groupBy("lang").agg(count(), F.floor(F.avg("t") + 0.5).alias("mean_tokens"), F.min("t").alias("least"), F.max("t").alias("most"), F.sum("t").alias("total"))
@@ -322,7 +322,7 @@ def agg8(s, d):
 
 
 @register("agg9_batch_summary", """
-SELECT source, sum(n_chars) AS size, count(*) FILTER (n_chars < 1000) AS small, count(*) FILTER (n_chars >= 1000 AND n_chars < 10000) AS medium, count(*) FILTER (n_chars >= 10000) AS large, bool_or(n_chars >= 10000) AS confirm FROM documents GROUP BY source""")
+SELECT source, CAST(sum(n_chars) AS BIGINT) AS size, count(*) FILTER (n_chars < 1000) AS small, count(*) FILTER (n_chars >= 1000 AND n_chars < 10000) AS medium, count(*) FILTER (n_chars >= 10000) AS large, bool_or(n_chars >= 10000) AS confirm FROM documents GROUP BY source""")
 def agg9(s, d):
     n = F.col("n_chars")
     return table(s, d, "documents").groupBy("source").agg(F.sum(n).alias("size"), F.count_if(n < 1000).alias("small"), F.count_if((n >= 1000) & (n < 10000)).alias("medium"), F.count_if(n >= 10000).alias("large"), F.bool_or(n >= 10000).alias("confirm"))
@@ -336,7 +336,7 @@ def agg10(s, d):
 
 
 @register("agg11_token_totals", """
-SELECT role, count(*) AS messages, sum((length(text) + 3) // 4) AS tokens, round(sum((length(text) + 3) // 4) / 1e6 * 3.0, 6) AS cost FROM conversations GROUP BY role""")
+SELECT role, count(*) AS messages, CAST(sum((length(text) + 3) // 4) AS BIGINT) AS tokens, round(sum((length(text) + 3) // 4) / 1e6 * 3.0, 6) AS cost FROM conversations GROUP BY role""")
 def agg11(s, d):
     t = F.ceil(F.length("text") / 4)
     return table(s, d, "conversations").groupBy("role").agg(count("messages"), F.sum(t).alias("tokens"), F.round(F.sum(t) / 1e6 * 3.0, 6).alias("cost"))
@@ -355,7 +355,7 @@ def agg13(s, d):
 
 
 @register("agg14_corpus_report", r"""
-SELECT lang, count(*) AS docs, sum(length(text)) AS raw_chars, sum(length(trim(regexp_replace(text, '[ \t\n\r\f\x0B\x{A0}]+', ' ', 'g')))) AS clean_chars, count(*) FILTER (contains(text, '|')) AS tabular FROM documents GROUP BY lang""")
+SELECT lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS raw_chars, CAST(sum(length(trim(regexp_replace(text, '[ \t\n\r\f\x0B\x{A0}]+', ' ', 'g')))) AS BIGINT) AS clean_chars, count(*) FILTER (contains(text, '|')) AS tabular FROM documents GROUP BY lang""")
 def agg14(s, d):
     return table(s, d, "documents").groupBy("lang").agg(count("docs"), F.sum(F.length("text")).alias("raw_chars"), F.sum(F.length(extracted(F.col("text")))).alias("clean_chars"), F.count_if(F.contains("text", F.lit("|"))).alias("tabular"))
 
@@ -429,7 +429,7 @@ def top4(s, d):
     return table(s, d, "conversations").orderBy(F.desc("conv_id"), "turn").limit(50).select("conv_id", "turn")
 
 
-@register("top5_stable_sort_by_offset", "SELECT l_orderkey, string_agg(l_returnflag, '' ORDER BY l_shipdate, l_linenumber) AS flags FROM lineitem GROUP BY 1")
+@register("top5_stable_sort_by_offset", "SELECT l_orderkey, string_agg(l_returnflag, '' ORDER BY l_shipdate, l_linenumber, l_returnflag) AS flags FROM lineitem GROUP BY 1")
 def top5(s, d):
     ordered = F.array_sort(F.collect_list(F.struct("l_shipdate", "l_linenumber", "l_returnflag")))
     return table(s, d, "lineitem").groupBy("l_orderkey").agg(ordered.alias("x")).select("l_orderkey", F.array_join("x.l_returnflag", "").alias("flags"))
