@@ -19,7 +19,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +79,11 @@ def _ord(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
+def _key(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """An anchor's part and the low half of its hash: what tells anchors apart in the exchange."""
+    return (hashes >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | hashes & _LOW
+
+
 def _exchange(width: int, gram: int, parts: int):
     """Each batch's distinct anchors, one row for each part; anchors of several texts of the batch come out flagged."""
 
@@ -105,14 +109,14 @@ def _exchange(width: int, gram: int, parts: int):
                 group = new.cumsum() - 1
                 texts_in = np.bincount(group[own])
                 shared = own & (texts_in[group] > 1)
-                yield _rows([-1], [ids[shared]], [np.zeros(0)], [places[shared]])
+                yield _rows([-1], [ids[shared]], [_key(hashes[shared], parts)], [places[shared]])
                 hashes, places, ids = hashes[new], places[new], ids[new]
-                part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+                part = (_key(hashes, parts) >> np.uint64(32)).astype(np.int64)
                 sort = np.lexsort((places, ids, part))
                 part, hashes, places, ids = part[sort], hashes[sort], places[sort], ids[sort]
                 edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
                 cut = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-                yield _rows([int(part[a]) for a, _ in cut], [ids[a:b] for a, b in cut], [hashes[a:b] & _LOW for a, b in cut], [places[a:b] for a, b in cut])
+                yield _rows([int(part[a]) for a, _ in cut], [ids[a:b] for a, b in cut], [(hashes[a:b] & _LOW).astype("<u4") for a, b in cut], [places[a:b] for a, b in cut])
 
     return make
 
@@ -121,24 +125,24 @@ _EXCHANGED = "part int, ids binary, hashes binary, places binary"
 
 
 def _rows(part, ids, hashes, places) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in ids], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in hashes], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in places], pa.binary())], names=["part", "ids", "hashes", "places"])
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in hashes], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in places], pa.binary())], names=["part", "ids", "hashes", "places"])
 
 
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, place) of the anchors that more than one batch has, and those flagged before."""
+    """(ord, place, key) of the anchors that more than one batch has, and those flagged before."""
 
-    def out(ids: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(places.astype(np.int64))], names=["ord", "place"])
+    def out(ids: np.ndarray, places: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(places.astype(np.int32)), pa.array(keys.astype(np.int64))], names=["ord", "place", "key"])
 
     keys, ids, places = [], [], []
     for batch in batches:
         for part, i, h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            i, h, p = np.frombuffer(i, "<i8"), np.frombuffer(h, "<u4"), np.frombuffer(p, "<u4")
+            i, p = np.frombuffer(i, "<i8"), np.frombuffer(p, "<u4")
             if part < 0:
                 if len(i):
-                    yield out(i, p)
+                    yield out(i, p, np.frombuffer(h, "<u8"))
             else:
-                keys.append(h.astype(np.uint64) | np.uint64(part << 32))
+                keys.append(np.frombuffer(h, "<u4").astype(np.uint64) | np.uint64(part << 32))
                 ids.append(i)
                 places.append(p)
     if not keys:
@@ -149,118 +153,145 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared = sort[np.concatenate((same, [False])) | np.concatenate(([False], same))]
     for at in range(0, len(shared), 500_000):
         some = shared[at : at + 500_000]
-        yield out(ids[some], places[some])
-
-
-def _contexts_of(text: bytes, places: list[int], width: int, gram: int):
-    """(hash, first window start, last) of the anchors whose q-gram is at one of ``places``."""
-    a = anchors(text, width, gram)
-    if a is None:
-        return
-    at = np.searchsorted(a.place, places)
-    at = at[(at < len(a.place)) & (a.place[np.minimum(at, len(a.place) - 1)] == places)]
-    for k in np.flatnonzero(np.isin(a.hash, a.hash[at])).tolist():
-        yield int(a.hash[k]), int(a.first[k]), int(a.last[k])
-
+        yield out(ids[some], places[some], keys[some])
 
-_CONTEXT = T.StructType([T.StructField("key", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("th", T.LongType()), T.StructField("start", T.LongType()), T.StructField("context", T.BinaryType())])
 
+_CONTEXT = T.StructType([T.StructField("key", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("row", T.LongType()), T.StructField("start", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("context", T.BinaryType())])
+_ARROW = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+def _contexts(width: int, gram: int, parts: int, hot: frozenset[int], only_hot: bool):
+    """The bytes of all windows that name a flagged anchor: ``at`` is the anchor's place in them, ``start`` theirs in the text."""
+    barred = np.asarray(sorted(hot), np.int64)
 
-def _contexts(width: int, gram: int, hot: frozenset[int], only_hot: bool):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in _ARROW]
         for batch in batches:
-            for row in range(batch.num_rows):
-                ord_, text, places = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), sorted(set(batch.column(2)[row].as_py()))
-                th, out = _signed(xxhash.xxh64_intdigest(text)), []
-                for h, first, last in _contexts_of(text, places, width, gram):
-                    h = _signed(h)
-                    if (h in hot) == only_hot:
-                        out.append((h, ord_, th, first, text[first : last + width]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary() if k == 4 else pa.int64()) for k in range(5)], names=_CONTEXT.names)
+            for ord_, row, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a = anchors(text, width, gram)
+                if a is None:
+                    continue
+                mine = np.flatnonzero(np.isin(a.hash, a.hash[np.isin(a.place, places)]))
+                keys = _key(a.hash[mine], parts).astype(np.int64)
+                if len(barred) or only_hot:
+                    some = np.isin(keys, barred) == only_hot
+                    mine, keys = mine[some], keys[some]
+                first, last = a.first[mine].tolist(), a.last[mine].tolist()
+                out[0] += keys.tolist()
+                out[1] += [ord_] * len(first)
+                out[2] += [row] * len(first)
+                out[3] += first
+                out[4] += (a.place[mine] - a.first[mine]).tolist()
+                out[5] += [text[x : y + width] for x, y in zip(first, last, strict=True)]
+                if len(out[0]) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _ARROW, strict=True)], names=_CONTEXT.names)
+                    out = [[] for _ in _ARROW]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _ARROW, strict=True)], names=_CONTEXT.names)
 
     return make
 
 
-def refine(text: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Class numbers of the ``width``-byte strings that begin at each place (where one fits).
+def _pointers(group: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Bucket pointers by depth: equal in row k where group and the first k bytes of ``beside`` are equal.
 
-    Pointers begin as 8-byte q-grams.  A round pairs the pointer at a place with the one at a
-    later offset and sorts the pairs; the pairs' ranks are the new pointers, over twice the bytes.
+    One sort orders each group's strings; the pointers of a depth split those of the depth before
+    at the places where neighbours first differ there.
     """
-    n = len(text)
-    pointer = np.ndarray((n - 7,), ">u8", text.tobytes(), 0, (1,)).astype(np.uint64)
-    depth = 8
-    while depth < width:
-        step = min(depth, width - depth)
-        left, right = pointer[:-step], pointer[step:]
-        order = np.lexsort((right, left))
-        left, right = left[order], right[order]
-        rank = np.concatenate(([0], ((left[1:] != left[:-1]) | (right[1:] != right[:-1])).cumsum())).astype(np.uint64)
-        pointer = np.empty(len(order), np.uint64)
-        pointer[order] = rank
-        depth += step
-    return pointer
-
-
-def _settle(width: int):
-    """Byte ranges to remove, from contexts of equal anchors: (ord, th, from, to)."""
+    n, depth = beside.shape
+    wide = np.zeros((n, -(-depth // 8) * 8), np.uint8)
+    wide[:, :depth] = beside
+    words = wide.view(">u8").astype(np.uint64)
+    order = np.lexsort((*(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), group))
+    differ = beside[order][1:] != beside[order][:-1]
+    common = np.where(differ.any(1), differ.argmax(1), depth)
+    common[group[order][1:] != group[order][:-1]] = -1
+    pointers = np.empty((depth + 1, n), np.int64)
+    for k in range(depth + 1):
+        pointers[k, order] = np.concatenate(([0], (common < k).cumsum()))
+    return pointers
+
+
+def refine(contexts: list[bytes], at: np.ndarray, group: np.ndarray, least: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, from, to) of the bytes of contexts whose windows another context of a smaller ``least`` has.
+
+    ``group`` numbers the q-gram at place ``at`` of each context: the initial buckets.  A window that
+    begins k bytes before the q-gram is told by the pointer of depth k to the bytes before it,
+    backwards, and by that of the rest's depth to the bytes after it; pairs of pointers are sorted once a depth.
+    """
+    n, depth = len(contexts), width - gram
+    places = at.tolist()
+    before = np.frombuffer(b"".join(c[:a][::-1].ljust(depth, b"\0")[:depth] for c, a in zip(contexts, places, strict=True)), np.uint8).reshape(n, depth)
+    after = np.frombuffer(b"".join(c[a + gram :].ljust(depth, b"\0")[:depth] for c, a in zip(contexts, places, strict=True)), np.uint8).reshape(n, depth)
+    left, right = _pointers(group, before), _pointers(group, after)
+    room = np.fromiter(map(len, contexts), np.int64, n) - at - gram
+    gone = np.zeros((n, depth + 3), bool)
+    for k in range(depth + 1):
+        some = np.flatnonzero((at >= k) & (room >= depth - k))
+        if len(some) < 2:
+            continue
+        code = left[k, some] * n + right[depth - k, some]
+        order = np.argsort(code)
+        edges = np.flatnonzero(np.diff(code[order], prepend=-1))
+        first = np.repeat(np.minimum.reduceat(least[some][order], edges), np.diff(np.append(edges, len(order))))
+        gone[some[order], depth - k + 1] = first < least[some][order]
+    steps = np.diff(gone.astype(np.int8), axis=1)
+    context, begin = np.nonzero(steps == 1)
+    _, end = np.nonzero(steps == -1)  # column c + 1 is the window that begins depth - c bytes before the q-gram
+    shift = at[context] - depth
+    return context, begin + shift, end - 1 + shift + width
+
+
+def _settle(width: int, gram: int):
+    """Byte ranges to remove, from contexts of equal anchors: (ord, row, from, to)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where: dict[bytes, int] = {}
-        of, ords, ths, starts = [], [], [], []
+        where: dict[tuple[bytes, int], int] = {}
+        of, ords, rows, starts = [], [], [], []
         for batch in batches:
-            _, o, t, s, contexts = batch.columns
+            _, o, r, s, at, contexts = batch.columns
             ords.append(o.to_numpy())
-            ths.append(t.to_numpy())
+            rows.append(r.to_numpy())
             starts.append(s.to_numpy())
-            of.append(np.fromiter((where.setdefault(c, len(where)) for c in contexts.to_pylist()), np.int64, len(contexts)))
+            of.append(np.fromiter((where.setdefault(x, len(where)) for x in zip(contexts.to_pylist(), at.to_pylist(), strict=True)), np.int64, len(contexts)))
         if not where:
             return
-        of, ords, ths, starts = (np.concatenate(x) for x in (of, ords, ths, starts))
-        contexts = list(where)
+        of, ords, rows, starts = (np.concatenate(x) for x in (of, ords, rows, starts))
+        contexts, at = [c for c, _ in where], np.fromiter((a for _, a in where), np.int64, len(where))
         sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
         least = np.full(len(contexts), LAST)
         np.minimum.at(least, of, ords)
-        text = np.frombuffer(b"".join(contexts), np.uint8)
-        begins = sizes.cumsum() - sizes
-        windows = sizes - width + 1
-        owner = np.repeat(np.arange(len(contexts)), windows)
-        inside = np.arange(len(owner)) - np.repeat(windows.cumsum() - windows, windows)
-        cls = refine(text, width)[begins[owner] + inside].astype(np.int64)
-        first = np.full(int(cls.max()) + 1, LAST)
-        np.minimum.at(first, cls, least[owner])
-        gone = first[cls] < least[owner]  # for the document that has the context first
-        marks = np.flatnonzero(np.diff(np.concatenate(([0], (gone * (owner + 1)), [0]))))
-        runs = [(a, b) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True) if gone[a]]
-        by_context: dict[int, list[tuple[int, int]]] = {}
-        for a, b in runs:
-            by_context.setdefault(int(owner[a]), []).append((int(inside[a]), int(inside[b - 1]) + width))
-        later = np.flatnonzero(ords > least[of])  # all windows of theirs are in an earlier document
-        out = [(ords[later], ths[later], starts[later], starts[later] + sizes[of[later]])]
-        held = np.isin(of, np.fromiter(by_context, np.int64, len(by_context))) & (ords == least[of])
-        some = [(int(ords[k]), int(ths[k]), int(starts[k]) + a, int(starts[k]) + b) for k in np.flatnonzero(held).tolist() for a, b in by_context[int(of[k])]]
-        if some:
-            out.append(tuple(np.asarray(x, np.int64) for x in zip(*some, strict=True)))
-        for columns in out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["ord", "th", "from", "to"])
+        later = ords > least[of]  # all windows of theirs are in an earlier document
+        yield _ranges(ords[later], rows[later], starts[later], starts[later] + sizes[of[later]])
+        grams: dict[bytes, int] = {}
+        group = np.fromiter((grams.setdefault(c[a : a + gram], len(grams)) for c, a in where), np.int64, len(contexts))
+        active = np.flatnonzero(np.bincount(group)[group] > 1)  # buckets of one member need no refinement
+        if not len(active):
+            return
+        context, begin, end = refine([contexts[k] for k in active.tolist()], at[active], group[active], least[active], width, gram)
+        first = np.flatnonzero(~later)  # rows of the document that has the context first
+        first = first[np.argsort(of[first], kind="stable")]
+        a, b = (np.searchsorted(of[first], active[context], side) for side in ("left", "right"))
+        pick = np.repeat(np.arange(len(context)), b - a)
+        row = first[np.repeat(a, b - a) + np.arange(len(pick)) - np.repeat((b - a).cumsum() - (b - a), b - a)]
+        yield _ranges(ords[row], rows[row], starts[row] + begin[pick], starts[row] + end[pick])
 
     return make
 
 
-_RANGES = "ord long, th long, from long, to long"
+def _ranges(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["ord", "row", "from", "to"])
+
+
+_RANGES = "ord long, row long, from long, to long"
 
 
 def _hot_ranges(contexts: DataFrame, width: int) -> DataFrame:
     """The same for anchors with very many contexts: windows meet in an aggregate and a join on their bytes."""
     at = F.explode(F.sequence(F.lit(0), F.length("context") - width))
-    windows = contexts.withColumn("at", at).select("ord", "th", (F.col("start") + F.col("at")).alias("from"), F.substring("context", F.col("at") + 1, F.lit(width)).alias("window"))
+    windows = contexts.withColumn("i", at).select("ord", "row", (F.col("start") + F.col("i")).alias("from"), F.substring("context", F.col("i") + 1, F.lit(width)).alias("window"))
     least = written(windows.groupBy("window").agg(F.min("ord").alias("least")), "hot_windows")
-    return windows.join(least, "window").where("least < ord").select("ord", "th", "from", (F.col("from") + width).alias("to"))
+    return windows.join(least, "window").where("least < ord").select("ord", "row", "from", (F.col("from") + width).alias("to"))
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -277,13 +308,15 @@ _CUT = T.StructType([T.StructField("ord", T.LongType()), T.StructField("sha", T.
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
     for batch in batches:
-        for k in range(batch.num_rows):
-            ord_, sha, text, ranges = (batch.column(c)[k].as_py() for c in range(4))
-            spans = _merged([(r["from"], r["to"]) for r in ranges])
+        out = []
+        for ord_, sha, text, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            spans = _merged(list(zip(begin, end, strict=True)))
             edges = [0, *(x for s in spans for x in s), len(text)]
-            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((ord_, sha, len(text) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=_CUT.names)
+            kept = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+            out.append((ord_, sha, len(text) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=_CUT.names)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -306,32 +339,23 @@ def changed_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_con
     parts = max(8, total // PART_BYTES)
     flagged = rows.select("ord", "text").mapInArrow(_exchange(width, gram, parts), _EXCHANGED)
     spread = F.when(F.col("part") < 0, F.xxhash64("places")).otherwise(F.col("part").cast("long"))
-    flagged = flagged.repartition(parts, spread).mapInArrow(_flag, "ord long, place long")
+    flagged = written(flagged.repartition(parts, spread).mapInArrow(_flag, "ord long, place int, key long"), "flagged")
     places = flagged.groupBy("ord").agg(F.collect_list("place").alias("places"))
     places = places.join(firsts.select(F.col("first").alias("ord"), "sha"), "ord")
-    held = written(rows.select("ord", "sha", "text").join(places, ["ord", "sha"]).select("ord", "text", "places", "sha"), "flagged_texts")
-    keys = held.mapInArrow(_contexts(width, gram, frozenset(), False), _CONTEXT).select("key")
-    counts = keys.groupBy("key").count().agg(F.sum("count"), F.collect_list(F.when(F.col("count") > hot_contexts, F.col("key")))).first()
+    held = rows.select("ord", "sha", "text").join(places, ["ord", "sha"]).withColumn("row", F.monotonically_increasing_id())
+    held = written(held.select("ord", "row", "sha", "text", "places"), "flagged_texts")
+    counts = flagged.groupBy("key").count().agg(F.sum("count"), F.collect_list(F.when(F.col("count") > hot_contexts, F.col("key")))).first()
     hot = frozenset(counts[1] or ())  # one for each hot_contexts contexts at most
     n = max(8, (counts[0] or 0) // PART_CONTEXTS)
-    ranges = held.mapInArrow(_contexts(width, gram, hot, False), _CONTEXT).repartition(n, "key").mapInArrow(_settle(width), _RANGES)
+    found = held.select("ord", "row", "text", "places")
+    ranges = found.mapInArrow(_contexts(width, gram, parts, hot, False), _CONTEXT).repartition(n, "key").mapInArrow(_settle(width, gram), _RANGES)
     if hot:
-        ranges = ranges.union(_hot_ranges(held.mapInArrow(_contexts(width, gram, hot, True), _CONTEXT), width))
-    ranges = ranges.groupBy("ord", "th").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
-    cut = held.withColumn("th", _text_hash("text")).join(ranges, ["ord", "th"]).select("ord", "sha", "text", "ranges").mapInArrow(_cut, _CUT)
+        ranges = ranges.union(_hot_ranges(found.mapInArrow(_contexts(width, gram, parts, hot, True), _CONTEXT), width))
+    ranges = ranges.groupBy("row").agg(F.collect_list("from").alias("begin"), F.collect_list("to").alias("end"))
+    cut = held.join(ranges, "row").select("ord", "sha", "text", "begin", "end").mapInArrow(_cut, _CUT)
     return info.join(firsts, "sha"), cut
 
 
-def _text_hash(col: str):
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("long")
-    def of(texts):
-        return texts.map(lambda x: _signed(xxhash.xxh64_intdigest(x)))
-
-    return of(col)
-
-
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): a row for each row of ``docs``.
 
