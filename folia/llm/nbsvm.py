@@ -1,9 +1,9 @@
 """Naive Bayes support vectors for text quality.
 
 Features are indicators of hashed n-grams: of three bytes, and of the signs that a word repeats the
-one before it.  Each is scaled by its log-count ratio between the classes, counted over all
-labelled rows; a linear hinge-loss model is then fitted by dual coordinate descent on a bounded
-sample, and its margins are calibrated to probabilities.
+one before it.  Each is scaled by its log-count ratio between the classes; a linear hinge-loss model is then fitted
+by dual coordinate descent, and its margins are calibrated to probabilities.  Fitting takes bounded
+samples of the labelled rows.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from folia.llm.toxicity import training_labels
 #: Number of hashed features, one more than which is the highest sign of repetition.
 BUCKETS = 1 << 17
 SIGNS = 8
-#: Labelled rows that the hinge-loss model is fitted to and calibrated on.
-FIT_ROWS = 6000
+#: Labelled rows that the log-count ratios come from, and of those, rows that the hinge-loss model is fitted to and calibrated on.
+COUNT_ROWS, FIT_ROWS = 40_000, 6000
 #: Added to counts; bound of the dual variables; passes over the sample.
 SMOOTH, COST, EPOCHS = 1.0, 0.1, 12
 
@@ -57,7 +57,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ratios(texts: DataFrame) -> np.ndarray:
-    """Log-count ratio of each feature, from all of ``texts`` (text, label)."""
+    """Log-count ratio of each feature between the labels of ``texts`` (text, label)."""
     found = texts.select("text", "label").mapInArrow(_counts, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0"), F.sum("n1")).toArrow()
     n = np.full((2, BUCKETS + SIGNS), SMOOTH)  # a row for each feature at most comes to the driver
     at = found.column(0).to_numpy()
@@ -93,14 +93,15 @@ def _margin(weights: np.ndarray, square: np.ndarray, bias: float, own: np.ndarra
     return weights[own].sum() / norm + bias, np.log1p(len(own))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Model, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, count_rows: int = COUNT_ROWS, fit_rows: int = FIT_ROWS) -> tuple[Model, np.ndarray]:
     """The model and its features' squared scales.
 
-    Log-count ratios come from every labelled row that isn't held out; the margin and its calibration
-    from at most ``fit_rows`` of them.  Without labels of both classes all scores are equal.
+    Log-count ratios come from at most ``count_rows`` labelled rows that aren't held out, the margin and
+    its calibration from ``fit_rows`` of those.  Without labels of both classes all scores are equal.
     """
     known = training_labels(labels, "quality")
-    ratio = ratios(docs.select("doc_id", "text").join(known, "doc_id").select("text", "label"))
+    counted = known.orderBy(F.xxhash64("doc_id")).limit(count_rows)
+    ratio = ratios(docs.select("doc_id", "text").join(F.broadcast(counted), "doc_id").select("text", "label"))
     some = known.orderBy(F.xxhash64("doc_id")).limit(fit_rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
