@@ -187,8 +187,10 @@ def drop_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_bytes
     """The rows of ``docs``, all columns unchanged, without those that a window occurs in."""
     grams = _grams_if_small(benchmark, n, most_bytes)
     if grams is None:
-        bad = _find_by_join(docs, benchmark, n).where("n_hit > 0").select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+        row = "_row_of_text"  # ids may be null or repeated
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        bad = _find_by_join(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias(row))
+        return rows.join(bad, row, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(grams))
     at = docs.columns.index("text")
 

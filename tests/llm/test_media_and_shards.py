@@ -136,3 +136,6 @@ def test_contaminated_documents_go(spark, monkeypatch):
     kept = drop_contaminated(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == want
     assert sorted(r["doc_id"] for r in decontamination.drop_hits(docs, bench, most_bytes=0).collect()) == want
+    same = docs.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "n_hit")
+    for most in (decontamination.MOST_BYTES, 0):
+        assert decontamination.drop_hits(same, bench, most_bytes=most).count() == len(want)
