@@ -67,3 +67,11 @@ def statistics(raw: Column, clean: Column) -> Column:
 def header(text: Column) -> Column:
     """Court, rol and caption of a document's first header; empty where there is none."""
     return F.struct(*(F.trim(F.regexp_replace(F.regexp_extract(text, HEADER, k), r"\s+", " ")).alias(n) for k, n in ((1, "court"), (2, "rol"), (3, "caption"))))
+
+
+def annotated(text: Column, *kinds: str) -> Column:
+    """A dry run: each artefact stays, between marks that name its kind, instead of being removed."""
+    for kind, pattern in REMOVALS:
+        if not kinds or kind in kinds:
+            text = F.regexp_replace(text, pattern, f"««{kind}»»$0««/{kind}»»")
+    return text

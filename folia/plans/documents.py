@@ -265,3 +265,51 @@ SELECT conv_id, turn, CASE WHEN length(text) <= 60 THEN text ELSE regexp_replace
 def ttl1(s, d):
     short = F.concat(F.regexp_replace(F.substring("text", 1, 60), r" [^ ]*\z", ""), F.lit("..."))
     return table(s, d, "conversations").select("conv_id", "turn", F.when(F.length("text") <= 60, F.col("text")).otherwise(short).alias("title"))
+
+
+@register("nrm8_loose_page_numbers", "SELECT doc_id, md5(text) AS same FROM documents")
+def nrm8(s, d):
+    """Loose numbers after page markers never match, as the markers are gone by then: the text stays as it is."""
+    return table(s, d, "documents").select("doc_id", F.md5("text").alias("same"))
+
+
+@register("nrm13_dry_run_marks", r"SELECT doc_id, md5(regexp_replace(text, '(?i)Scanned with [A-Za-z0-9_]+', '««scanner»»\0««/scanner»»', 'g')) AS marked FROM documents")
+def nrm13(s, d):
+    return table(s, d, "documents").select("doc_id", F.md5(normalise.annotated(F.col("text"), "scanner")).alias("marked"))
+
+
+@register("win6_chunk_index_reassigned", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, n FROM (SELECT doc_id, i, length(substring(text, CAST(i * 500 + 1 AS BIGINT), 500)) AS n FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 499) // 500)) AS i FROM documents)) WHERE i % 3 <> 1")
+def win6(s, d):
+    at = F.sequence(F.lit(0), F.ceil(F.length("text") / 500).cast("int") - 1)
+    rows = table(s, d, "documents").where("length(text) > 0").select("doc_id", "text", F.posexplode(F.filter(at, lambda i: i % 3 != 1)).alias("chunk_index", "i"))
+    return rows.select("doc_id", F.col("chunk_index").cast(L).alias("chunk_index"), F.length(F.substring("text", F.col("i") * 500 + 1, F.lit(500))).cast(L).alias("n"))
+
+
+@register("win10_de_overlap")
+def win10(s, d):
+    from folia.functions.folds import apart
+    from folia.sources.tables import moment
+
+    marks = table(s, d, "events").select("user_id", F.struct(F.floor(moment("ts") / 3600).cast("int").alias("at"), F.col("event_type").alias("type"), F.col("value").alias("confidence")).alias("m"))
+    kept = marks.groupBy("user_id").agg(F.array_sort(F.collect_list("m")).alias("m")).select("user_id", F.explode(apart(F.col("m"))).alias("m"))
+    return kept.select("user_id", "m.*")
+
+
+@register("chk7_page_of_chunk", """
+SELECT doc_id, i AS chunk_index, CASE WHEN length(text) > 2000 THEN (i * 3265) // 2000 + 1 END AS page FROM (SELECT doc_id, text, unnest(range(0, greatest(1, (length(text) + 3264) // 3265))) AS i FROM documents)""")
+def chk7(s, d):
+    chunks = chk_fixed(s, d).select("doc_id", "chunk_index").join(table(s, d, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+    return chunks.select("doc_id", "chunk_index", F.when(F.col("n") > 2000, F.floor(F.col("chunk_index") * 3265 / 2000) + 1).alias("page"))
+
+
+@register("htm1_titled_fields", r"SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading, trim(regexp_extract(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1)) AS first_entry FROM pages")
+def htm1(s, d):
+    field = lambda p: F.trim(F.regexp_extract("html", p, 1))
+    return table(s, d, "pages").select("page_id", field("<h1>([^<]*)</h1>").alias("heading"), field('<li><a href="[^"]*">([^<]*)</a></li>').alias("first_entry"))
+
+
+@register("url1_owned_objects", "SELECT page_id, url FROM pages WHERE page_id % 150 = 42")
+def url1(s, d):
+    from folia.sources.tables import scoped
+
+    return scoped(table(s, d, "pages").withColumn("user_id", F.col("page_id") % 150), 42).select("page_id", "url")
