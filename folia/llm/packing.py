@@ -22,8 +22,8 @@ CAPACITY = 4096
 #: Id that ends each document.
 END_ID = 1
 #: Distinct words, and among them runs of letters, whose ids a Python worker remembers.
-MEMO_WORDS = 500_000
-MEMO_CORES = 900_000
+MEMO_WORDS = 250_000
+MEMO_CORES = 450_000
 #: Bytes of text whose words are looked up together.
 BATCH_BYTES = 4_000_000
 #: Ranks within a length are counted in this many parts, so that a frequent length is no hot key.
