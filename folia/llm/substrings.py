@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +30,9 @@ WIDTH = 50
 #: Bytes of the q-gram that a window is found by.
 GRAM = 24
 #: Bytes of text for each partition of the exchange of anchors.
-PART_BYTES = 32_000_000
+PART_BYTES = 24_000_000
 #: Contexts of one partition of the exchange of contexts.
-PART_CONTEXTS = 100_000
+PART_CONTEXTS = 60_000
 #: Anchors with more contexts than this are compared window by window instead.
 HOT_CONTEXTS = 100_000
 #: A null doc_id counts as this, after all others.
@@ -124,8 +125,18 @@ def _exchange(width: int, gram: int, parts: int):
 _EXCHANGED = "part int, ids binary, hashes binary, places binary"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """An array's bytes by significance, as the high ones of small numbers are all zero and compress away."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def _rows(part, ids, hashes, places) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in hashes], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in places], pa.binary())], names=["part", "ids", "hashes", "places"])
+    ids = [_planes(np.diff(x, prepend=0).astype("<i8")) for x in ids]
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ids, pa.binary()), pa.array([x.tobytes() for x in hashes], pa.binary()), pa.array([_planes(x.astype("<u4")) for x in places], pa.binary())], names=["part", "ids", "hashes", "places"])
 
 
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +148,7 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, ids, places = [], [], []
     for batch in batches:
         for part, i, h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            i, p = np.frombuffer(i, "<i8"), np.frombuffer(p, "<u4")
+            i, p = _from_planes(i, "<i8").cumsum(), _from_planes(p, "<u4")
             if part < 0:
                 if len(i):
                     yield out(i, p, np.frombuffer(h, "<u8"))
@@ -156,42 +167,59 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(ids[some], places[some], keys[some])
 
 
-_CONTEXT = T.StructType([T.StructField("key", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("row", T.LongType()), T.StructField("start", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("context", T.BinaryType())])
-_ARROW = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+_CONTEXT = T.StructType([T.StructField("key", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("row", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("at", T.IntegerType()), T.StructField("context", T.BinaryType())])
+_ARROW = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
 
 
 def _contexts(width: int, gram: int, parts: int, hot: frozenset[int], only_hot: bool):
-    """The bytes of all windows that name a flagged anchor: ``at`` is the anchor's place in them, ``start`` theirs in the text."""
+    """The bytes of all windows that name a flagged anchor: ``at`` is the anchor's place in them, ``starts`` theirs in the text.
+
+    A batch sends each context once, for the text of the smallest id in it.  Its other texts
+    lose all windows of it; their rows have the length of the context for ``at`` and no context.
+    """
     barred = np.asarray(sorted(hot), np.int64)
 
+    def send(found: dict[tuple[int, int, bytes], list[tuple[int, int, list[int]]]]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for (key, at, context), places in found.items():
+            least = min(places)
+            out.append((key, *least, at, context))
+            out += [(_spread_key(row, starts[0]), ord_, row, starts, len(context), None) if ord_ > least[0] else (key, ord_, row, starts, at, context) for ord_, row, starts in places if row != least[1]]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(_ARROW)], names=_CONTEXT.names)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in _ARROW]
-        for batch in batches:
-            for ord_, row, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a = anchors(text, width, gram)
-                if a is None:
-                    continue
-                mine = np.flatnonzero(np.isin(a.hash, a.hash[np.isin(a.place, places)]))
-                keys = _key(a.hash[mine], parts).astype(np.int64)
-                if len(barred) or only_hot:
-                    some = np.isin(keys, barred) == only_hot
-                    mine, keys = mine[some], keys[some]
-                first, last = a.first[mine].tolist(), a.last[mine].tolist()
-                out[0] += keys.tolist()
-                out[1] += [ord_] * len(first)
-                out[2] += [row] * len(first)
-                out[3] += first
-                out[4] += (a.place[mine] - a.first[mine]).tolist()
-                out[5] += [text[x : y + width] for x, y in zip(first, last, strict=True)]
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _ARROW, strict=True)], names=_CONTEXT.names)
-                    out = [[] for _ in _ARROW]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _ARROW, strict=True)], names=_CONTEXT.names)
+        unpack = zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for begin, size in by_bytes(whole.column(2), 1_500_000):  # compressed
+                found: dict[tuple[int, int, bytes], list[tuple[int, int, list[int]]]] = {}
+                for ord_, row, text, places in zip(*(c.to_pylist() for c in whole.slice(begin, size).columns), strict=True):
+                    text = unpack(text)
+                    a = anchors(text, width, gram)
+                    if a is None:
+                        continue
+                    mine = np.flatnonzero(np.isin(a.hash, a.hash[np.isin(a.place, places)]))
+                    keys = _key(a.hash[mine], parts).astype(np.int64)
+                    if len(barred) or only_hot:
+                        some = np.isin(keys, barred) == only_hot
+                        mine, keys = mine[some], keys[some]
+                    first = a.first[mine]
+                    for key, at, x, y in zip(keys.tolist(), (a.place[mine] - first).tolist(), first.tolist(), a.last[mine].tolist(), strict=True):
+                        own = found.setdefault((key, at, text[x : y + width]), [])
+                        if own and own[-1][1] == row:
+                            own[-1][2].append(x)
+                        else:
+                            own.append((ord_, row, [x]))
+                if found:
+                    yield send(found)
 
     return make
 
 
+def _spread_key(row: int, start: int) -> int:
+    """Deals settled ranges out evenly."""
+    return (row * 0x9E3779B97F4A7C15 + start * 0xC2B2AE3D27D4EB4F) >> 7 & (1 << 62) - 1
+
+
 def _pointers(group: np.ndarray, beside: np.ndarray) -> np.ndarray:
     """Bucket pointers by depth: equal in row k where group and the first k bytes of ``beside`` are equal.
 
@@ -247,16 +275,24 @@ def _settle(width: int, gram: int):
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where: dict[tuple[bytes, int], int] = {}
-        of, ords, rows, starts = [], [], [], []
+        of, ords, rows, starts, many = [], [], [], [], []
         for batch in batches:
-            _, o, r, s, at, contexts = batch.columns
+            done = batch.filter(batch.column(5).is_null())
+            if done.num_rows:
+                n = np.diff(done.column(3).offsets.to_numpy())
+                begin = done.column(3).flatten().to_numpy()
+                yield _ranges(np.repeat(done.column(1).to_numpy(), n), np.repeat(done.column(2).to_numpy(), n), begin, begin + np.repeat(done.column(4).to_numpy(), n))
+            _, o, r, s, at, contexts = batch.filter(batch.column(5).is_valid()).columns
             ords.append(o.to_numpy())
             rows.append(r.to_numpy())
-            starts.append(s.to_numpy())
+            starts.append(s.flatten().to_numpy())
+            many.append(np.diff(s.offsets.to_numpy()))
             of.append(np.fromiter((where.setdefault(x, len(where)) for x in zip(contexts.to_pylist(), at.to_pylist(), strict=True)), np.int64, len(contexts)))
         if not where:
             return
-        of, ords, rows, starts = (np.concatenate(x) for x in (of, ords, rows, starts))
+        many = np.concatenate(many)
+        of, ords, rows = (np.repeat(np.concatenate(x), many) for x in (of, ords, rows))
+        starts = np.concatenate(starts)
         contexts, at = [c for c, _ in where], np.fromiter((a for _, a in where), np.int64, len(where))
         sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
         least = np.full(len(contexts), LAST)
@@ -288,10 +324,12 @@ _RANGES = "ord long, row long, from long, to long"
 
 def _hot_ranges(contexts: DataFrame, width: int) -> DataFrame:
     """The same for anchors with very many contexts: windows meet in an aggregate and a join on their bytes."""
+    settled = contexts.where("context is null").select("ord", "row", F.explode("starts").alias("from"), "at").select("ord", "row", "from", (F.col("from") + F.col("at")).alias("to"))
     at = F.explode(F.sequence(F.lit(0), F.length("context") - width))
-    windows = contexts.withColumn("i", at).select("ord", "row", (F.col("start") + F.col("i")).alias("from"), F.substring("context", F.col("i") + 1, F.lit(width)).alias("window"))
+    windows = contexts.where("context is not null").withColumn("i", at).select("ord", "row", "starts", "i", F.substring("context", F.col("i") + 1, F.lit(width)).alias("window"))
     least = written(windows.groupBy("window").agg(F.min("ord").alias("least")), "hot_windows")
-    return windows.join(least, "window").where("least < ord").select("ord", "row", "from", (F.col("from") + width).alias("to"))
+    found = windows.join(least, "window").where("least < ord").select("ord", "row", F.explode(F.transform("starts", lambda x: x + F.col("i"))).alias("from"))
+    return settled.union(found.select("ord", "row", "from", (F.col("from") + width).alias("to")))
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -309,9 +347,11 @@ _CUT = T.StructType([T.StructField("ord", T.LongType()), T.StructField("sha", T.
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out = []
         for ord_, sha, text, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text = unpack(text)
             spans = _merged(list(zip(begin, end, strict=True)))
             edges = [0, *(x for s in spans for x in s), len(text)]
             kept = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
@@ -319,6 +359,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=_CUT.names)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, as they move twice between machines."""
+    pack = zstandard.ZstdCompressor(level=5).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["ord", "sha", "text"])
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """(ord, sha, text as binary, n_bytes) of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -342,11 +389,12 @@ def changed_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_con
     flagged = written(flagged.repartition(parts, spread).mapInArrow(_flag, "ord long, place int, key long"), "flagged")
     places = flagged.groupBy("ord").agg(F.collect_list("place").alias("places"))
     places = places.join(firsts.select(F.col("first").alias("ord"), "sha"), "ord")
-    held = rows.select("ord", "sha", "text").join(places, ["ord", "sha"]).withColumn("row", F.monotonically_increasing_id())
+    held = rows.select("ord", "sha", "text").mapInArrow(_packed, "ord long, sha string, text binary").join(places, ["ord", "sha"]).withColumn("row", F.monotonically_increasing_id())
     held = written(held.select("ord", "row", "sha", "text", "places"), "flagged_texts")
-    counts = flagged.groupBy("key").count().agg(F.sum("count"), F.collect_list(F.when(F.col("count") > hot_contexts, F.col("key")))).first()
-    hot = frozenset(counts[1] or ())  # one for each hot_contexts contexts at most
-    n = max(8, (counts[0] or 0) // PART_CONTEXTS)
+    share = 16 if hot_contexts >= HOT_CONTEXTS else 1  # which way an anchor goes changes no result, so a share of the rows may tell
+    some = flagged.select("key").where(F.pmod(F.xxhash64("ord", "place"), F.lit(share)) == 0) if share > 1 else flagged.select("key")
+    hot = frozenset(r["key"] for r in some.groupBy("key").count().where(F.col("count") > hot_contexts // share).select("key").collect())  # one for each hot_contexts contexts at most
+    n = max(8, flagged.count() // PART_CONTEXTS)
     found = held.select("ord", "row", "text", "places")
     ranges = found.mapInArrow(_contexts(width, gram, parts, hot, False), _CONTEXT).repartition(n, "key").mapInArrow(_settle(width, gram), _RANGES)
     if hot:
