@@ -16,7 +16,7 @@ QUERY = "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) "
 SIM = "round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])), 6)"
 TEXT = r"""t AS (SELECT doc_id, round(CAST(a + b AS DOUBLE) / n, 6) AS rank FROM (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'from')) AS b FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-zà-öø-ÿ]+'), lambda x: x <> '') AS w FROM documents)) WHERE least(a, b) > 0 ORDER BY rank DESC, doc_id LIMIT 20)"""
 TERMS = ["the", "from"]
-FUSED = QUERY + ", v AS (SELECT vec_id, " + SIM + " AS similarity FROM embeddings, q WHERE label = 2 ORDER BY similarity DESC, vec_id LIMIT 20), " + TEXT + ", f AS (SELECT coalesce(vec_id, doc_id) AS id, round(0.7 * coalesce(similarity, 0) / greatest(max(similarity) OVER (), 0.001) + 0.3 * coalesce(rank, 0) / greatest(max(rank) OVER (), 0.001), 6) AS score FROM v FULL JOIN t ON vec_id = doc_id) "
+FUSED = QUERY + ", v AS (SELECT vec_id, " + SIM + " AS similarity FROM embeddings, q WHERE label = 2 ORDER BY similarity DESC, vec_id LIMIT 20), " + TEXT + ", f AS (SELECT coalesce(vec_id, doc_id) AS id, round(CAST(0.7 AS DOUBLE) * (coalesce(similarity, 0.0) / greatest(max(similarity) OVER (), 0.001)) + CAST(0.3 AS DOUBLE) * (coalesce(rank, 0.0) / greatest(max(rank) OVER (), 0.001)), 6) AS score FROM v FULL JOIN t ON vec_id = doc_id) "
 
 
 @register("ret1_vector_topk", QUERY + "SELECT vec_id, " + SIM + " AS similarity FROM embeddings, q WHERE label = 2 ORDER BY similarity DESC, vec_id LIMIT 10")
