@@ -387,22 +387,25 @@ def document_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainde
     scored = written(counts.select("word", "n", *names).mapInArrow(rate, with_scores), "word_scores")
     held = spark.sparkContext.broadcast(_frequent(scored, frequent, classes))
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("sums", T.ArrayType(T.DoubleType())), ("rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("tf", T.LongType())])))))])
-    pair = pa.struct([("word", pa.binary()), ("tf", pa.int64())])
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         logs, start = np.log10(own.n + 1), np.log10(law.prior) + law.end()
         for batch in batches:
-            out = []
+            tokens, base, sums, rare, times, edges = [], [], [], [], [], [0]
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 words = words_of(text or b"")
                 at = np.fromiter(map(own.number.get, words, repeat(-1)), np.int64, len(words))
                 few = Counter([words[i] for i in np.flatnonzero(at < 0).tolist()])
                 at = at[at >= 0]
-                out.append((len(words) + 1, len(at) + (ends > 0), float(logs[at].sum()) + log10(ends + 1), start + own.scores[at].sum(0), [{"word": w, "tf": n} for w, n in few.items()]))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pair))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=schema.names)
+                tokens.append((len(words) + 1, len(at) + (ends > 0)))
+                base.append(logs[at].sum() + log10(ends + 1))
+                sums.append(start + own.scores[at].sum(0))
+                rare += few
+                times += few.values()
+                edges.append(len(rare))
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "tf"])
+            n = np.asarray(tokens, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy()), pa.array(base, pa.float64()), pa.array(sums, pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pairs)], names=schema.names)
 
     per_doc = written(rows.mapInArrow(add, schema).withColumn("row", F.monotonically_increasing_id()), "document_sums")
     rare = per_doc.where(F.size("rare") > 0).select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
