@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folia.llm.calibration import logistic, sigmoid
-from folia.llm.common import by_bytes, crc32_of
+from folia.llm.common import by_bytes, crc32_of, written
 
-#: Labelled rows of each class that the model is fitted to, and windows of each that are used.
-TOXIC_ROWS, ORDINARY_ROWS, ROW_WINDOWS = 2000, 4000, 96
+#: Labelled rows of each class that the model is fitted to, with all their windows.
+TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
 #: Bytes of a window, and of one without a space at most.
 WINDOW, LONGEST = 96, 384
 LEVEL = 9
@@ -112,9 +112,9 @@ def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple
     marks = {p for p, n in own.items() if n >= min(LEAST_ROWS, max(1, len(toxic) // 4)) and n > bound * (other[p] + 0.5)}
     words = [b" " + w + b" " for row in toxic for w in b"".join(row).split() if any(p in marks for p in _passages(w))]
     words = _dealt(words)
-    groups = [b"".join(words[k : k + 6]) for k in range(0, len(words), 6)][:20_000]
+    groups = [b"".join(words[k : k + 6]) for k in range(0, len(words), 6)]
     flat = [w for row in ordinary for w in row]
-    plain = _trained(flat[:: max(1, len(flat) // 20_000)][:20_000], ORDINARY_DICTIONARY) if flat else b""
+    plain = _trained(flat, ORDINARY_DICTIONARY) if flat else b""
     return plain or b" ", (_trained(groups, TOXIC_DICTIONARY) if groups else b"") + (plain or b" ")
 
 
@@ -134,25 +134,42 @@ def training_labels(labels: DataFrame, column: str) -> DataFrame:
     return own.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int) -> tuple[list, float]:
-    """(windows, label) of the sampled rows in a fixed order, and the share of toxic labels."""
+def _sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int) -> tuple[DataFrame, float]:
+    """The sampled rows (row, h, label, text) with their whole texts, and the share of toxic labels."""
     known = training_labels(labels, "toxic")
     count = dict(known.groupBy("label").count().collect())
     share = count.get(1, 0) / max(1, sum(count.values()))
     some = known.where("label = 1").orderBy(F.xxhash64("doc_id")).limit(toxic_rows).union(known.where("label = 0").orderBy(F.xxhash64("doc_id")).limit(ordinary_rows))
+    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return written(picked.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id").alias("h"), "label", "text"), "labelled_rows"), share
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _numbered(rows: DataFrame) -> dict[int, list[int]]:
+    """By label, the sampled rows' numbers in a fixed order."""
+    own = sorted(tuple(r) for r in rows.select("label", "h", F.xxhash64("text"), "row").collect())
+    return {c: [row for label, _, _, row in own if label == c] for c in (0, 1)}
+
+
+def _picked(rows: DataFrame, numbers: list[int]) -> DataFrame:
+    some = rows.sparkSession.createDataFrame([(n,) for n in numbers], "row long")
+    return rows.join(F.broadcast(some), "row").select("row", "text")
+
+
+def _windows_of(rows: DataFrame, numbers: list[int]) -> list[list[bytes]]:
+    texts = {r["row"]: r["text"] for r in _picked(rows, numbers).select("row", F.col("text").cast("binary").alias("text")).collect()}
+    return [windows(bytes(texts[n] or b"")) for n in numbers]
+
+
+def _features_of(rows: DataFrame, model: Model, numbers: list[int]) -> np.ndarray:
+    """The features of the rows over all their windows: only they leave the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = []
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
-                w = windows(text or b"")
-                own.append(w[:: -(-len(w) // ROW_WINDOWS)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.binary()))], names=["h", "label", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_features(shared.value, batch.column(1))), pa.list_(pa.float64()))], names=["row", "x"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.xxhash64("doc_id").alias("h"), "label", "text")
-    rows = picked.mapInArrow(cut, "h long, label int, windows array<binary>").collect()
-    rows.sort(key=lambda r: (r["h"], r["windows"]))
-    return [([bytes(w) for w in r["windows"]], r["label"]) for r in rows], share
+    found = {r["row"]: r["x"] for r in _picked(rows, numbers).mapInArrow(make, "row long, x array<double>").collect()}
+    return np.asarray([found[n] for n in numbers], np.float64).reshape(-1, 4)
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
@@ -162,12 +179,12 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     classes every text gets the same score.
     """
     rows, share = _sample(docs, labels, toxic_rows, ordinary_rows)
-    by = {c: [w for w, label in rows if label == c] for c in (0, 1)}
-    learn = {c: [w for k, w in enumerate(own) if k % 3] or own for c, own in by.items()}
+    by = _numbered(rows)
+    learn = {c: _windows_of(rows, [n for k, n in enumerate(own) if k % 3] or own) for c, own in by.items()}
     check = {c: own[::3] for c, own in by.items()}
     ordinary, both = dictionaries(learn[1], learn[0])
     model = Model(ordinary, both, np.zeros(5))
-    x = features(model, check[0] + check[1])
+    x = _features_of(rows, model, check[0] + check[1])
     y = np.asarray([0] * len(check[0]) + [1] * len(check[1]))
     weights = np.where(y == 1, share / max(1, len(check[1])), (1 - share) / max(1, len(check[0])))
     return model._replace(beta=logistic(x, y, weights + 1e-12))
@@ -176,12 +193,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
 _ADDED = [T.StructField("tox_score", T.DoubleType()), T.StructField("tox_predicted", T.IntegerType())]
 
 
-def _scores(model: Model, texts: pa.Array) -> np.ndarray:
-    out = []
+def _features(model: Model, texts: pa.Array) -> np.ndarray:
+    """The features of whole texts."""
+    out = [np.zeros((0, 4))]
     for at, n in by_bytes(texts, 2_000_000):
-        x = features(model, [windows(t or b"") for t in texts.slice(at, n).cast(pa.binary()).to_pylist()])
-        out.append(sigmoid(x @ model.beta[:-1] + model.beta[-1]))
-    return np.concatenate(out) if out else np.zeros(0)
+        out.append(features(model, [windows(t or b"") for t in texts.slice(at, n).cast(pa.binary()).to_pylist()]))
+    return np.concatenate(out)
+
+
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    return sigmoid(_features(model, texts) @ model.beta[:-1] + model.beta[-1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

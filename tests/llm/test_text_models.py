@@ -67,6 +67,33 @@ def test_clean_documents_stay(spark, monkeypatch):
     assert sum(i is not None and i < 700 and i % 4 != 0 for i in ids) > 510 and sum(i is not None and i < 700 and i % 4 == 0 for i in ids) < 15
 
 
+def test_toxicity_of_long_texts(spark):
+    rng = random.Random(11)
+    docs = []
+    for i in range(240):
+        own = words(rng, 3000).split()
+        if i % 3 == 0:  # one passage, anywhere in some 180 windows
+            own[(at := rng.randrange(2900)) : at] = ["dreadful", "nincompoop", "wretched", "contemptible"]
+        docs.append((i, " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in docs], "doc_id long, quality int, toxic int")
+    assert min(len(toxicity.windows(t.encode())) for _, t in docs) > 96
+    model = toxicity.fit(df, labels)
+    rows = {r["doc_id"]: r["tox_predicted"] for r in toxicity.score(df, model).collect()}
+    assert np.mean([rows[i] == int(i % 3 == 0) for i, _ in docs if held_out(i)]) > 0.95
+
+
+def test_toxicity_is_calibrated_on_all_windows(spark, monkeypatch):
+    long = " ".join(["word"] * 6000)
+    df = spark.createDataFrame([(i, long) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y, w: seen.append(x) or np.zeros(5))
+    toxicity.fit(df, labels)
+    n = len(toxicity.windows(long.encode()))
+    assert n > 96 and len(seen[0]) and np.allclose(seen[0][:, 3], math.log1p(n))
+
+
 @pytest.mark.parametrize("size", [0, 3])
 def test_toxicity_without_labels(spark, size):
     docs, labels = labelled(spark, insult)
