@@ -4,9 +4,9 @@ Sorting all suffixes of a corpus isn't needed to compare strings of bounded widt
 ``WIDTH`` bytes names its least-hashed q-gram (its anchor), so that equal windows name equal
 q-grams at equal places.  Documents first exchange only their anchors' hashes, one for each batch of
 documents; windows whose anchor no other document has are done.  For the others the text around
-the anchor is brought together by anchor, and the windows' order classes are found there by
-bucket-pointer refinement: q-gram buckets are split by the buckets of later offsets, and each
-round reuses the pointers that the one before it updated.
+the anchor is brought together by anchor, and the windows' order classes are found there: one
+direct sort of the bytes beside the q-gram, on each side, gives the buckets of every depth from the lengths
+of common prefixes, and pairs of buckets are sorted once a depth.
 
 Copies of a whole text are settled beforehand, by digest.
 """
