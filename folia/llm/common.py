@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,8 +21,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where that is unset (tests), a temporary folder serves in local mode and the
-    warehouse elsewhere, as a machine's own folder isn't seen by other machines.
+    Where that is unset (tests), a temporary folder serves in local mode.  Elsewhere that is an
+    error, as a machine's own folder isn't seen by other machines.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
@@ -28,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master.startswith("local") and not master.startswith("local-cluster"):
         return "file://" + tempfile.gettempdir() + "/folia-checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/folia-checkpoints"
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -46,6 +48,42 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the scratch table that ``written`` gave, once its last reader has written its own result."""
+    files, spark = df.inputFiles(), df.sparkSession
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with none of ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lean(make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``make`` for mapInArrow, giving freed memory back to the machine after each task, as workers live on through later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from make(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,18 +16,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import by_bytes, written
+from folia.llm.common import by_bytes, fresh, lean, written
 
 CAPACITY = 4096
 #: Id that ends each document.
 END_ID = 1
-#: Distinct words, and among them runs of letters, whose ids a Python worker remembers.
-MEMO_WORDS = 250_000
-MEMO_CORES = 450_000
+#: Words of one generation of a Python worker's memory; it holds two of them.
+MEMO_WORDS = 200_000
 #: Bytes of text whose words are looked up together.
 BATCH_BYTES = 4_000_000
-#: Ranks within a length are counted in this many parts, so that a frequent length is no hot key.
-RANK_PARTS = 64
+#: Ranks of a length are counted in parts of about so many rows, so that a frequent length is no hot key.
+PART_ROWS = 100_000
+SPREAD = 1 << 16
 
 _LATIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 _WORD_AND_MARKS = re.compile(rb"(" + _LATIN + rb")([^\w\s\x80-\xff']*)")
@@ -37,77 +37,113 @@ class _Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, remembered by word.
 
     The vocabulary's pre-tokeniser never joins what white space parts, nor a Latin letter and
-    the ASCII mark after it, so a text's ids are those of its words one after another.  Texts
-    that hold a special token's first characters are encoded whole.
+    the ASCII mark after it, so a text's ids are those of its words one after another.  A run of Latin letters
+    is one pre-token, which the vocabulary's merges take as it is.  Texts that hold a special
+    token's first characters are encoded whole.  Words that weren't seen for a generation are forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.memo: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-        self.marks: dict[bytes, bytes] = {}
+        self.merge = self.tok.model.tokenize
+        self.raw = [i.to_bytes(4, "little") for i in range(max(self.tok.get_vocab().values()) + 1)]
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_cores(self, cores: list[bytes]) -> None:
-        """Each is one run of Latin letters, hence ends with exactly one word-end token."""
-        for at in range(0, len(cores), 256):
-            some = cores[at : at + 256]
-            ids = np.asarray(self.tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):  # never seen, yet a wrong split must not pass
-                self.cores.update((w, self._ids(w.decode())) for w in some)
-                continue
-            raw, last = ids.tobytes(), 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                self.cores[w] = raw[4 * last : 4 * end]
-                last = end
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo = {}
-        if len(self.cores) + len(words) > MEMO_CORES:
-            self.cores = {}
-        words = words.difference(self.memo)
-        memo, cores, match = self.memo, self.cores, _WORD_AND_MARKS.fullmatch
-        parts, new = [], set()
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        young, old, raw, merge, match, letters = self.young, self.old, self.raw, self.merge, _WORD_AND_MARKS.fullmatch, self.letters
+        out = []
         for w in words:
-            core = w.lower()
-            if core in cores:  # a known word in another case
-                memo[w] = cores[core]
-            elif m := match(core):
+            ids = young.get(w)
+            if ids is not None:
+                out.append(ids)
+                continue
+            ids = old.get(w)
+            if ids is not None:
+                pass
+            elif w.isalpha():
+                ids = b"".join([raw[t.id] for t in merge(w.lower().decode())])
+            elif m := match(w):
                 core, marks = m.groups()
-                parts.append((w, core, marks))
-                if core not in cores:
-                    new.add(core)
+                ids = young.get(core) or old.get(core)
+                if ids is None:
+                    young[core] = ids = b"".join([raw[t.id] for t in merge(core.decode().lower().translate(letters))])
+                if marks:
+                    if (end := young.get(marks)) is None:
+                        young[marks] = end = self._ids(marks.decode())
+                    ids += end
             else:
-                memo[w] = self._ids(w.decode())
-        self._learn_cores(list(new))
-        for w, core, marks in parts:
-            if not marks:
-                memo[w] = cores[core]
-                continue
-            if marks not in self.marks:
-                self.marks[marks] = self._ids(marks.decode())
-            memo[w] = cores[core] + self.marks[marks]
+                ids = self._ids(w.decode())
+            young[w] = ids
+            out.append(ids)
+        if len(young) > MEMO_WORDS:
+            self.old, self.young = young, {}
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [None if b"<|" in t else t.split() for t in texts]
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words or ())
-        if new.difference(self.memo):
-            self._learn(new)
-        if len(self.marks) > MEMO_WORDS:
-            self.marks = {}
-        look = self.memo.__getitem__
-        return [self._ids(text.decode()) if words is None else b"".join(map(look, words)) for text, words in zip(texts, split, strict=True)]
+        # A letter before a combining mark isn't put in lower case here, as that may change what the two compose to.
+        plain = [b"" if b"<|" in t else t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+        raw = b"\n".join(plain) + bytes(_WIDE)
+        starts, sizes = _words(raw)
+        number, where = _numbered(raw, starts, sizes)
+        known = self._learn([raw[a:b] for a, b in zip(starts[where].tolist(), (starts[where] + sizes[where]).tolist(), strict=True)])
+        ids, n = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first, many = n.cumsum() - n, n[number]
+        upto = many.cumsum()
+        tokens = ids[np.repeat(first[number] - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+        ends = (np.fromiter(map(len, plain), np.int64, len(plain)) + 1).cumsum()
+        edges = (4 * np.append(0, upto)[np.append(0, np.searchsorted(starts, ends))]).tolist()
+        return [self._ids(t.decode()) if b"<|" in t else tokens[a:b] for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True)]
+
+
+#: Bytes of a word that are compared as numbers; longer words are told apart as byte strings.
+_WIDE = 24
+_MASKS = np.asarray([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and sizes of the words of ``raw``, which ends with _WIDE zero bytes."""
+    space = np.ones(len(raw) - _WIDE + 2, bool)
+    space[1:-1] = _SPACE[np.frombuffer(raw, np.uint8, len(raw) - _WIDE)]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2] - edges[::2]
+
+
+def _numbered(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word, equal for equal words, and a place of each number's word."""
+    view = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    parts = [view[starts + at] & _MASKS[np.clip(sizes - at, 0, 8)] for at in range(0, _WIDE, 8)]
+    mixed = np.zeros(len(starts), np.uint64)
+    for x in parts:
+        mixed = (mixed ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    order = np.argsort(mixed)
+    new = np.flatnonzero(np.diff(mixed[order], prepend=~mixed[order[:1]]))
+    number = np.empty(len(starts), np.int64)
+    number[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+    where = order[new]
+    alike = (sizes <= _WIDE) & (sizes[where][number] == sizes)
+    for x in parts:
+        alike &= x[where][number] == x
+    other: dict[bytes, int] = {}  # long words, and those whose mixed numbers are equal by chance
+    more = []
+    for k in np.flatnonzero(~alike).tolist():
+        word = raw[starts[k] : starts[k] + sizes[k]]
+        if word not in other:
+            other[word] = len(where) + len(more)
+            more.append(k)
+        number[k] = other[word]
+    return number, np.append(where, np.asarray(more, np.int64)).astype(np.int64)
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -146,7 +182,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                         ids.append(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), schema)
 
 
 class _Lengths:
@@ -254,20 +290,24 @@ def plan_intervals(patterns: list[tuple[list[int], int]]) -> dict[int, np.ndarra
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (any columns, among them a ``length`` in 1..capacity) with sequence_id and offset.
 
-    Columns of those two names in the input are replaced.  Equal rows are interchangeable, so
-    their order is of no consequence; an empty table gives an empty one.
+    Columns of those two names in the input are replaced; any other names may be in use.  Equal rows are
+    interchangeable, so their order is of no consequence; an empty table gives an empty one.  Sequences of one full
+    piece have negative numbers.  A null ``length``, or one outside 1..capacity, is an error.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    kept = written(pieces.select(*names), "pieces")
-    counts = {r[0]: r[1] for r in kept.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    found = kept.sparkSession.sparkContext.broadcast(plan_intervals(plan_patterns(counts, capacity)))
-    part = F.pmod(F.xxhash64(*names), F.lit(RANK_PARTS))
-    rows = kept.withColumn("_part", part)
-    starts = rows.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = starts.select("length", "_part", before.alias("_before"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(*names)) - 1)
-    ranked = ranked.join(starts, ["length", "_part"]).select(*names, (F.col("_rank") + F.col("_before")).alias("_rank"))
+    part, parts, spread, rank, before, n = fresh(pieces.columns, "part", "parts", "spread", "rank", "before", "n")
+    spark = pieces.sparkSession
+    number = F.monotonically_increasing_id()
+    kept = written(pieces.select(*names, F.pmod(F.xxhash64(*names, number), F.lit(SPREAD)).cast("int").alias(spread)), "pieces")
+    counts = {r[0]: r[1] for r in kept.where(F.col("length") != capacity).groupBy("length").count().collect()}  # at most ``capacity`` rows
+    found = spark.sparkContext.broadcast(plan_intervals(plan_patterns(counts, capacity)))
+    dealt = spark.createDataFrame([(int(x), min(SPREAD, 1 + k // PART_ROWS)) for x, k in counts.items()], T.StructType([T.StructField("length", kept.schema["length"].dataType), T.StructField(parts, T.IntegerType())]))
+    rows = kept.where(F.col("length") != capacity).join(F.broadcast(dealt), "length").withColumn(part, F.pmod(spread, parts))
+    starts = rows.groupBy("length", part).agg(F.count("*").alias(n))
+    ahead = F.coalesce(F.sum(n).over(Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select("length", part, ahead.alias(before))
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy("length", part).orderBy(*names)) - 1)
+    ranked = ranked.join(starts, ["length", part]).select(*names, (F.col(rank) + F.col(before)).alias(rank))
     schema = T.StructType([*(kept.schema[c] for c in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     length_at = names.index("length")
 
@@ -283,7 +323,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 seq[mine], off[mine] = sequence[k] + ranks[mine] - first[k], offset[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(seq), pa.array(off)], names=schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    whole = kept.where(F.col("length") == capacity)  # one is a sequence of its own, whatever its rank
+    whole = whole.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(lean(place), schema).union(whole)
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

@@ -33,7 +33,6 @@ def test_ids_are_the_tokenizers(spark):
 
 def test_encoder_forgets_and_learns_again(monkeypatch):
     monkeypatch.setattr(packing, "MEMO_WORDS", 5)
-    monkeypatch.setattr(packing, "MEMO_CORES", 5)
     enc, tok = packing._Encoder(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(tokenizer_path())
     for texts in (["the quick brown fox jumps", "over lazy dogs!"], ["the fox, the dogs", "Over OVER over"], ["jumps."]):
         for raw, text in zip(enc.encode([t.encode() for t in texts]), texts, strict=True):
