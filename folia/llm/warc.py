@@ -1,13 +1,15 @@
 """WARC archives of pages and their external index.
 
 A record is written for each page and the archives are read back.  Every archive gives a capture
-run sorted by URL key and timestamp; runs are cut at common range bounds, and each range merges
-its slices with a loser tree, so that the index is in global order range after range.
+run sorted by URL key and timestamp, which is stored.  Stored runs are cut at common range bounds, as they
+lie, and each range streams its cuts through a loser tree, so that the index is in global order range
+after range and nothing is sorted twice.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import re
@@ -16,17 +18,18 @@ from datetime import datetime, timedelta
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import new_folder, written
+from folia.llm.common import lean, new_folder, written
 
 #: Bytes of records after which a task begins another archive; one is read as a whole.
 ARCHIVE_BYTES = 16_000_000
-#: Rows of a range of the index.
-RANGE_ROWS = 50_000
+#: Rows of a range of the index; of every so many rows of a run one is a mark, and range bounds are chosen from so many marks at most.
+RANGE_ROWS, MARK_ROWS, MARKS = 50_000, 1000, 1_000_000
+#: Repeated digests that are broadcast, at most (some 100 bytes each); more of them are joined.
+REPEATED = 400_000
 #: Pages bear no capture time: a page's is its number of seconds after this.
 FIRST_CAPTURE = datetime(2024, 1, 1)
 #: Ends each record; the text writer puts it after each row.
@@ -76,11 +79,12 @@ def write_archives(pages: DataFrame) -> str:
 
     Of pages with equal payloads (a null html is an empty payload) the one with the largest
     page_id is a response and the others revisit it; repeated rows of that page are responses
-    too.  A null page_id counts as the smallest.
+    too.  A null page_id counts as the smallest.  A payload of any length is one record; only the three columns are read.
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    keepers = written(rows.groupBy("sha").agg(F.max("page_id").alias("keeper")), "keepers")
+    repeated = written(rows.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n"), "keepers")
+    few = repeated.count() <= REPEATED
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = size = 0
@@ -96,7 +100,8 @@ def write_archives(pages: DataFrame) -> str:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(archives, pa.int32())], names=["value", "archive"])
 
     folder = new_folder(spark, "warc")
-    made = rows.join(keepers, "sha").select("page_id", "url", "html", "keeper").mapInArrow(build, "value string, archive int")
+    # A page whose payload no other has is its own keeper, so pages stay where they are unless very many payloads repeat.
+    made = rows.join(F.broadcast(repeated) if few else repeated, "sha", "left").select("page_id", "url", "html", F.coalesce("keeper", "page_id").alias("keeper")).mapInArrow(lean(build), "value string, archive int")
     made.write.partitionBy("archive").option("lineSep", END).option("compression", "gzip").text(folder)
     return folder
 
@@ -125,12 +130,19 @@ def _page(raw: bytes) -> int | None:
     return None if name == b"None" else int(name)
 
 
-RUN = T.StructType([T.StructField(n, t) for n, t in (("url_key", T.StringType()), ("captured", T.StringType()), ("page_id", T.LongType()), ("url", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("archive", T.StringType()), ("record_offset", T.LongType()), ("record_length", T.LongType()))])
+CAPTURE = T.StructType([T.StructField(n, t) for n, t in (("url_key", T.StringType()), ("captured", T.StringType()), ("page_id", T.LongType()), ("url", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("archive", T.StringType()), ("record_offset", T.LongType()), ("record_length", T.LongType()))])
 _ARROW = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+#: A run, or a cut of one: each column of its captures as an array, in the run's order.
+RUN = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in CAPTURE.fields])
+_MARK = T.ArrayType(T.StructType(CAPTURE.fields[:3]))
 
 
 def _order(row: tuple) -> tuple:
-    return row[0], row[1], row[2] is not None, row[2] or 0, row[8], row[9]
+    return *_key(row), row[8], row[9]
+
+
+def _key(row: tuple) -> tuple:
+    return row[0], row[1], row[2] is not None, row[2] or 0
 
 
 def _to_batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -138,11 +150,14 @@ def _to_batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) ->
 
 
 def capture_runs(spark, folder: str) -> DataFrame:
-    """A sorted run of captures for each archive under ``folder``; a response's digest is checked against its payload.
+    """(captures, marks, and RUN's columns): a sorted run of captures for each archive under ``folder``.
 
-    record_offset is the place in the archive's uncompressed bytes.
+    A response's digest is checked against its payload.  record_offset is the place in the archive's
+    uncompressed bytes; marks are the keys of the run's first capture and every MARK_ROWS-th one after it.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
+    schema = T.StructType([T.StructField("captures", T.LongType()), T.StructField("marks", _MARK), *RUN.fields])
+    mark = pa.list_(pa.struct([(f.name, t) for f, t in zip(CAPTURE.fields[:3], _ARROW, strict=False)]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,9 +174,11 @@ def capture_runs(spark, folder: str) -> DataFrame:
                     refers = _page(head[b"warc-refers-to"]) if kind == "revisit" else None
                     rows.append((url_key(url), date, _page(head[b"warc-record-id"]), url, n, sha, kind, refers, path, at, length))
                 rows.sort(key=_order)
-                yield _to_batch(rows, RUN.names, _ARROW)
+                marks = [dict(zip(CAPTURE.names, r, strict=False)) for r in rows[::MARK_ROWS]]
+                columns = [pa.array([[r[c] for r in rows]], pa.list_(t)) for c, t in enumerate(_ARROW)]
+                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([marks], mark), *columns], names=schema.names)
 
-    return files.mapInArrow(parse, RUN)
+    return files.mapInArrow(lean(parse), schema)
 
 
 class LoserTree:
@@ -204,34 +221,71 @@ class LoserTree:
             self.tree[0] = i
 
 
+def range_bounds(runs: DataFrame, range_rows: int) -> list[tuple]:
+    """First keys of the ranges but the first, from a bounded sample of the runs' marks."""
+    n = -(-(runs.agg(F.sum("captures")).first()[0] or 0) // range_rows)
+    if n < 2:
+        return []
+    marks = runs.select(F.explode("marks").alias("m")).orderBy(F.xxhash64("m")).limit(MARKS).select("m.*")
+    keys = sorted(_key(tuple(r)) for r in marks.collect())
+    return sorted({keys[len(keys) * k // n] for k in range(1, n)})
+
+
 def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The runs as one index, in global order of (range_no, range_pos).
 
     Range bounds are over URL key, time and page, so that a URL with very many captures spans
-    several ranges; a task holds one range.
+    several ranges; a task holds one range's cuts.
     """
     kept = written(runs, "capture_runs")
-    n = max(1, -(-kept.count() // range_rows))
-    schema = T.StructType([*RUN.fields, T.StructField("range_no", T.IntegerType()), T.StructField("range_pos", T.LongType())])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+    spark = kept.sparkSession
+    bounds = range_bounds(kept, range_rows)
+    shared = spark.sparkContext.broadcast(bounds)
+    cuts = T.StructType([T.StructField("range_no", T.IntegerType()), *RUN.fields])
+    schema = T.StructType([*CAPTURE.fields, T.StructField("range_no", T.IntegerType()), T.StructField("range_pos", T.LongType())])
+    types = [*_ARROW, pa.int32(), pa.int64()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[8], []).append((_order(row), row))
-        for own in runs.values():
-            own.sort(key=lambda x: x[0])  # linear where the shuffle kept the run's order
-        part, out, at = TaskContext.get().partitionId(), [], 0
-        for row in LoserTree([iter(runs[k]) for k in sorted(runs)]):
-            out.append((*row, part, at))
+            for k in range(batch.num_rows):
+                columns = [batch.column(c)[k].values for c in range(len(CAPTURE))]
+                keys = [_key(x) for x in zip(*(c.to_pylist() for c in columns[:3]), strict=True)]
+                ranges, edges, at = [], [0], 0
+                while at < len(keys):  # where the run's own keys pass a bound
+                    no = bisect.bisect_right(shared.value, keys[at])
+                    at = bisect.bisect_left(keys, shared.value[no], at) if no < len(shared.value) else len(keys)
+                    ranges.append(no)
+                    edges.append(at)
+                offsets = pa.array(edges, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), *(pa.ListArray.from_arrays(offsets, c) for c in columns)], names=cuts.names)
+
+    def merged(no: int, own: list[tuple]) -> Iterator[pa.RecordBatch]:
+        streams = [((_order(row), row) for row in zip(*(c.values.to_pylist() for c in columns), strict=True)) for columns in own]
+        out, at = [], 0
+        for row in LoserTree(streams):
+            out.append((*row, no, at))
             at += 1
             if len(out) == 10_000:
-                yield _to_batch(out, schema.names, [*_ARROW, pa.int32(), pa.int64()])
+                yield _to_batch(out, schema.names, types)
                 out = []
         if out:
-            yield _to_batch(out, schema.names, [*_ARROW, pa.int32(), pa.int64()])
+            yield _to_batch(out, schema.names, types)
 
-    return kept.repartitionByRange(n, "url_key", "captured", "page_id").mapInArrow(merge, schema)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                no = batch.column(0)[k].as_py()
+                if no != now and own:
+                    yield from merged(now, own)
+                    own = []
+                now = no
+                own.append(tuple(batch.column(1 + c)[k] for c in range(len(CAPTURE))))
+        if own:
+            yield from merged(now, own)
+
+    pieces = kept.select(*RUN.names).mapInArrow(lean(cut), cuts)
+    return pieces.repartition(len(bounds) + 1, "range_no").sortWithinPartitions("range_no").mapInArrow(lean(merge), schema)
 
 
 def archive_index(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
