@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import LOWER, by_bytes, crc32_of, written
+from folia.llm.common import LOWER, by_bytes, crc32_of, lean, written
 
 #: Bytes of the longest piece that is used, its leading space included.
 LONGEST = 16
@@ -229,7 +229,7 @@ def fit_classes(docs: DataFrame, pieces: Pieces, classes: int = CLASSES, rounds:
                 counts.append(n[own >= 0])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=["ids", "counts"])
 
-    rows = written(docs.select("text").mapInArrow(count, "ids array<int>, counts array<long>").where(F.size("ids") > 0), "class_counts")
+    rows = written(docs.select("text").mapInArrow(lean(count), "ids array<int>, counts array<long>").where(F.size("ids") > 0), "class_counts")
     now = Classes(number, np.full(classes, 1 / classes), np.random.default_rng(11).normal(0, 1, (classes, len(number))) - 7)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(now)
@@ -250,7 +250,7 @@ def fit_classes(docs: DataFrame, pieces: Pieces, classes: int = CLASSES, rounds:
                     found[k] += np.bincount(ids, each[:, k], found.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(members), dtype=np.int32)), pa.array(members), pa.array(list(found))], names=["class", "members", "n"])
 
-        got = rows.mapInArrow(expect, "class int, members double, n array<double>").select("class", "members", F.posexplode("n").alias("at", "n")).groupBy("class", "at").agg(F.sum("members").alias("members"), F.sum("n").alias("n")).collect()
+        got = rows.mapInArrow(lean(expect), "class int, members double, n array<double>").select("class", "members", F.posexplode("n").alias("at", "n")).groupBy("class", "at").agg(F.sum("members").alias("members"), F.sum("n").alias("n")).collect()
         n, members = np.full(now.logs.shape, 0.1), np.full(classes, 1.0)
         for r in got:  # classes times words
             n[r["class"], r["at"]] += r["n"]
@@ -284,7 +284,7 @@ def word_counts(docs: DataFrame, train: str, classes: Classes) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), *(pa.array(counts if j == k else zero) for j in range(len(names)))], names=["word", *names])
 
     schema = T.StructType([T.StructField("word", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in names)])
-    return docs.select(train, "text").mapInArrow(count, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
+    return docs.select(train, "text").mapInArrow(lean(count), schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
 
 
 def fit(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
@@ -300,7 +300,7 @@ def fit(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(found[some])], names=["piece", "n"])
 
-        rows = words.where("n > 0").select("word", "n").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        rows = words.where("n > 0").select("word", "n").mapInArrow(lean(expect), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         n = np.full(len(pieces.text), SMOOTH)
         for r in rows:
             n[r["piece"]] += r["n"]
@@ -337,7 +337,7 @@ class Frequent(NamedTuple):
     scores: np.ndarray
 
 
-def _frequent(scored: DataFrame, most: int, classes: int) -> Frequent:
+def _frequent(scored: DataFrame, most: int, names: list[str]) -> Frequent:
     """The most frequent words, at most ``most`` of at most MOST_BYTES bytes each."""
     some = scored.where((F.length("word") <= MOST_BYTES) & (F.col("n") > 0))
     steps = some.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect()
@@ -348,15 +348,16 @@ def _frequent(scored: DataFrame, most: int, classes: int) -> Frequent:
             break
         least = r["n"]
     found = some.where(F.col("n") >= least).toArrow()
-    scores = np.column_stack([found.column(f"s{k}").to_numpy() for k in range(classes)])
+    scores = np.column_stack([found.column(c).to_numpy() for c in names])
     return Frequent({w: k for k, w in enumerate(found.column("word").to_pylist())}, found.column("n").to_numpy().astype(np.float64), scores.astype(np.float64))
 
 
 def document_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainder: int = 2, frequent: int = FREQUENT, rounds: int = ROUNDS, classes: int = CLASSES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of ``docs``.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score): a row for each row of ``docs``.
 
     Learns from the rows whose crc32(doc_id as text) mod ``modulus`` isn't ``remainder``.  Tokens are
-    the words of the lower-cased text and one end; scores are log10 probabilities.  A null text
+    the words of the lower-cased text and one end; scores are log10 probabilities.  ``lattice_score`` is that of the
+    lattice of pieces alone, the marginal over all segmentations, without word arcs and classes.  A null text
     is empty and has the end alone; equal rows score equally; an empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -375,21 +376,23 @@ def document_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainde
     law = Law(by[0] + ended, ended, by[3], np.clip(by[1] / np.maximum(by[1] + 2 * by[2], 1), 0.1, 0.95), mixture.prior)
     shared = spark.sparkContext.broadcast(fit(counts.select("word", "n"), pieces, rounds))
     score_names = [f"s{k}" for k in range(classes)]
-    with_scores = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType()), *(T.StructField(c, T.FloatType()) for c in score_names)])
+    go_on, stop = np.log10((n_words + 0.5) / (total + 1)), np.log10((ends + 0.5) / (total + 1))  # a text has another word, or ends
+    with_scores = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType()), *(T.StructField(c, T.FloatType()) for c in (*score_names, "lat"))])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared.value)
         for own, _, whole in _in_chunks(batches):
             by_class = np.column_stack([whole.column(2 + k).to_numpy() for k in range(classes)])
-            logs = law.logs(by_class, lattice.scores(own)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(1), *(pa.array(logs[:, k].copy()) for k in range(classes))], names=with_scores.names)
+            marginals = lattice.scores(own)
+            logs = np.column_stack([law.logs(by_class, marginals), marginals / np.log(10) + go_on]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(1), *(pa.array(logs[:, k].copy()) for k in range(classes + 1))], names=with_scores.names)
 
-    scored = written(counts.select("word", "n", *names).mapInArrow(rate, with_scores), "word_scores")
-    held = spark.sparkContext.broadcast(_frequent(scored, frequent, classes))
+    scored = written(counts.select("word", "n", *names).mapInArrow(lean(rate), with_scores), "word_scores")
+    held = spark.sparkContext.broadcast(_frequent(scored, frequent, [*score_names, "lat"]))
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("sums", T.ArrayType(T.DoubleType())), ("rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("tf", T.LongType())])))))])
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        logs, start = np.log10(own.n + 1), np.log10(law.prior) + law.end()
+        logs, start = np.log10(own.n + 1), np.append(np.log10(law.prior) + law.end(), stop)
         for batch in batches:
             tokens, base, sums, rare, times, edges = [], [], [], [], [], [0]
             for text in batch.column(2).cast(pa.binary()).to_pylist():
@@ -407,10 +410,10 @@ def document_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainde
             n = np.asarray(tokens, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy()), pa.array(base, pa.float64()), pa.array(sums, pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pairs)], names=schema.names)
 
-    per_doc = written(rows.mapInArrow(add, schema).withColumn("row", F.monotonically_increasing_id()), "document_sums")
+    per_doc = written(rows.mapInArrow(lean(add), schema).withColumn("row", F.monotonically_increasing_id()), "document_sums")
     rare = per_doc.where(F.size("rare") > 0).select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
     n, tf = F.col("n"), F.col("tf")
-    rare = rare.join(scored, "word").groupBy("row").agg(F.sum(F.when(n > 0, tf).otherwise(0)).alias("k"), F.sum(tf * F.log10(n + 1)).alias("b"), *(F.sum(tf * F.col(c).cast("double")).alias(c) for c in score_names))
+    rare = rare.join(scored, "word").groupBy("row").agg(F.sum(F.when(n > 0, tf).otherwise(0)).alias("k"), F.sum(tf * F.log10(n + 1)).alias("b"), *(F.sum(tf * F.col(c).cast("double")).alias(c) for c in (*score_names, "lat")))
     whole = per_doc.drop("rare").join(rare, "row", "left")
     by_class = F.array(*(F.col("sums")[k] + F.coalesce(c, F.lit(0.0)) for k, c in enumerate(score_names)))
     most = F.array_max("c")
@@ -418,4 +421,5 @@ def document_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainde
     return whole.withColumn("c", by_class).select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * log10(total + distinct + 1)).alias("base_score"), marginal.alias("score"),
+        (F.col("sums")[classes] + F.coalesce("lat", F.lit(0.0))).alias("lattice_score"),
     )

@@ -185,4 +185,12 @@ def test_document_scores(spark, frequent):
         base = sum(math.log10((seen[w] + 1) / (total + distinct + 1)) for w in own)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[r["doc_id"]], len(own), sum(seen[w] > 0 for w in own), total)
         assert r["base_score"] == pytest.approx(base) and r["score"] < 0
+    by_word, gone = {}, lattice.fit(spark.createDataFrame([(w.encode(), n) for w, n in seen.items() if w != "\n"], "word binary, n long"), lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    own = sorted({w for t in tokens.values() for w in t[:-1]})
+    by_word = dict(zip(own, lattice.Lattice(gone).scores([w.encode() for w in own]) / math.log(10), strict=True))
+    ends = seen["\n"]
+    for r in rows:
+        words_ = tokens[r["doc_id"]][:-1]
+        pure = sum(by_word[w] + math.log10((total - ends + 0.5) / (total + 1)) for w in words_) + math.log10((ends + 0.5) / (total + 1))
+        assert r["lattice_score"] == pytest.approx(pure, rel=1e-5)
     assert lattice.document_scores(docs.limit(0), public_tokenizers.path("piece_bpe_32k.model")).collect() == []
