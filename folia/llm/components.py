@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import written
+from folia.llm.common import forget, written
+
+
+def link_mark() -> list:
+    """Aggregates that tell tables of distinct links apart, whatever their number and order."""
+    return [F.count("*"), F.bit_xor(F.xxhash64("a", "b"))]
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -20,7 +25,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, seen = written(now, "links"), None
     while True:
-        mark = tuple(now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+        mark = tuple(now.agg(*link_mark()).first())
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
         seen = mark
@@ -29,4 +34,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large_stars")
         low = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        before, now = now, written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        for done in (before, least, large, low):  # each is read for the last time above
+            forget(done)

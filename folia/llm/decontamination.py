@@ -12,15 +12,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import LOWER, written
+from folia.llm.common import LOWER, fresh, lean, written
 
 WINDOW = 10
-#: The n-gram set is broadcast up to so many bytes of benchmark text.
-MOST_BYTES = 16_000_000
+#: The n-gram set is broadcast up to so many bytes of benchmark text, of which each makes some 40 bytes of it.
+MOST_BYTES = 4_000_000
 
 #: A-Z in lower case; bytes that no word has become spaces.
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in LOWER)
@@ -120,7 +121,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_bytes
                 found.append(_hits_of((text or b"", len(words)), *scanner.scan(words)))
             yield _batch(batch.column(0), found, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(scan), schema)
 
 
 def _hits_of(text: tuple[bytes, int], mask: np.ndarray | None, items: set[str]) -> tuple:
@@ -136,17 +137,21 @@ def _batch(ids: pa.Array, found: list[tuple], schema: T.StructType) -> pa.Record
     return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), clean], names=schema.names)
 
 
+def _hash(gram: bytes) -> int:
+    return xxhash.xxh64_intdigest(gram) - (1 << 63)
+
+
 def _find_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """The same for a benchmark of any size: windows meet in a join on their text."""
+    """The same for a benchmark of any size: hashes of windows meet in a join, and what meets is verified word by word."""
     kind = docs.schema["doc_id"].dataType
     rows = written(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "decontaminate")
 
     def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(str(i) if i is not None else "", w, min(n, len(words))) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) for words in (words_of(x or b""),) for w in set(windows_of(words, n))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int32()))], names=["item", "gram", "n"])
+            out = [(str(i) if i is not None else "", w, _hash(w), min(n, len(words))) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) for words in (words_of(x or b""),) for w in set(windows_of(words, n))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int32()))], names=["item", "gram", "h", "n"])
 
-    grams = written(benchmark.select("item_id", "text").mapInArrow(item_windows, "item string, gram binary, n int"), "grams")
+    grams = written(benchmark.select("item_id", "text").mapInArrow(lean(item_windows), "item string, gram binary, h long, n int"), "grams")
     sizes = sorted(r[0] for r in grams.select("n").distinct().collect())  # 1 to n
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,27 +160,29 @@ def _find_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
                 rid, words = whole.column(0)[at].as_py(), words_of(whole.column(1)[at].as_py() or b"")
                 for k in sizes:
                     for first in range(0, len(words) - k + 1, 50_000):
-                        own = [b" ".join(words[i : i + k]) for i in range(first, min(first + 50_000, len(words) - k + 1))]
-                        yield pa.RecordBatch.from_arrays([pa.array([rid] * len(own), pa.int64()), pa.array(range(first, first + len(own)), pa.int32()), pa.array(own, pa.binary()), pa.array([k] * len(own), pa.int32())], names=["rid", "at", "gram", "n"])
+                        own = [_hash(b" ".join(words[i : i + k])) for i in range(first, min(first + 50_000, len(words) - k + 1))]
+                        yield pa.RecordBatch.from_arrays([pa.array([rid] * len(own), pa.int64()), pa.array(range(first, first + len(own)), pa.int32()), pa.array(own, pa.int64()), pa.array([k] * len(own), pa.int32())], names=["rid", "at", "h", "n"])
 
-    places = rows.select("rid", F.col("text").cast("binary")).mapInArrow(doc_windows, "rid long, at int, gram binary, n int")
-    one = grams.groupBy("gram", "n").agg(F.collect_set("item").alias("of"))
-    hits = places.join(one, ["gram", "n"]).groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("of"))
+    places = rows.select("rid", F.col("text").cast("binary")).mapInArrow(lean(doc_windows), "rid long, at int, h long, n int")
+    one = grams.groupBy("h", "n", "gram").agg(F.collect_set("item").alias("of"))
+    hits = places.join(one, ["h", "n"]).groupBy("rid").agg(F.collect_list(F.struct("at", "n", "gram", "of")).alias("places"))
     schema = T.StructType([T.StructField("doc_id", kind), *HITS.fields])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for x, places, items in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words, mask = words_of(x or b""), None
-                if places:
-                    mask = np.zeros(len(words), bool)
-                    for p in places:
-                        mask[p["at"] : p["at"] + p["n"]] = True
-                found.append(_hits_of((x or b"", len(words)), mask, set(items or ())))
+            for x, places in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words, mask, items = words_of(x or b""), None, set()
+                for p in places or ():
+                    span = slice(p["at"], p["at"] + p["n"])
+                    if b" ".join(words[span]) == p["gram"]:
+                        mask = np.zeros(len(words), bool) if mask is None else mask
+                        mask[span] = True
+                        items.update(p["of"])
+                found.append(_hits_of((x or b"", len(words)), mask, items))
             yield _batch(batch.column(0), found, schema)
 
-    return rows.join(hits, "rid", "left").select("doc_id", "text", "places", "of").mapInArrow(apply, schema)
+    return rows.join(hits, "rid", "left").select("doc_id", "text", "places").mapInArrow(lean(apply), schema)
 
 
 def items_digest(ids: str = "items"):
@@ -184,10 +191,14 @@ def items_digest(ids: str = "items"):
 
 
 def drop_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, without those that a window occurs in."""
+    """The rows of ``docs``, all columns unchanged, without those that a window occurs in.
+
+    Null and empty texts have no words and stay; long ones are scanned whole; repeated rows stay or go
+    together; an empty table gives an empty one, and extra columns may have any names.
+    """
     grams = _grams_if_small(benchmark, n, most_bytes)
     if grams is None:
-        row = "_row_of_text"  # ids may be null or repeated
+        (row,) = fresh(docs.columns, "row")  # ids may be null or repeated
         rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
         bad = _find_by_join(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias(row))
         return rows.join(bad, row, "left_anti").select(*docs.columns)
@@ -199,5 +210,5 @@ def drop_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_bytes
         for batch in batches:
             yield batch.filter(pa.array([scanner.scan(words_of(x or b""))[0] is None for x in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lean(clean), docs.schema)
 

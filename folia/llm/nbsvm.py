@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folia.llm.calibration import logistic, sigmoid
+from folia.llm.common import lean
 from folia.llm.toxicity import training_labels
 
 #: Number of hashed features, one more than which is the highest sign of repetition.
@@ -58,7 +59,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ratios(texts: DataFrame) -> np.ndarray:
     """Log-count ratio of each feature between the labels of ``texts`` (text, label)."""
-    found = texts.select("text", "label").mapInArrow(_counts, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0"), F.sum("n1")).toArrow()
+    found = texts.select("text", "label").mapInArrow(lean(_counts), "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0"), F.sum("n1")).toArrow()
     n = np.full((2, BUCKETS + SIGNS), SMOOTH)  # a row for each feature at most comes to the driver
     at = found.column(0).to_numpy()
     n[0, at] += found.column(1).to_numpy()
@@ -110,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, count_rows: int = COUNT_ROWS, fit_ro
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in own], pa.binary())], names=["h", "label", "grams"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.xxhash64("doc_id").alias("h"), "label", "text")
-    found = sorted(picked.mapInArrow(cut, "h long, label int, grams binary").collect(), key=lambda r: (r["h"], r["grams"]))
+    found = sorted(picked.mapInArrow(lean(cut), "h long, label int, grams binary").collect(), key=lambda r: (r["h"], r["grams"]))
     rows = [np.frombuffer(r["grams"], np.int32) for r in found]
     y = np.asarray([int(r["label"] > 0) for r in found], np.int64)
     square = ratio**2
@@ -138,4 +139,4 @@ def score(docs: DataFrame, fitted: tuple[Model, np.ndarray], threshold: float =
             p = sigmoid(x @ model.beta[:-1] + model.beta[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.select(*names).mapInArrow(add, schema)
+    return docs.select(*names).mapInArrow(lean(add), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import written
+from folia.llm.common import fresh, lean, written
 
 VIRTUAL_NODES = 128
 #: Each arc is counted in so many parts, so that its keys are ranked by several tasks.
@@ -80,12 +80,13 @@ def assign(rows: DataFrame, shards: int, key: str = "doc_id", slack: float = 0.0
     A key's place on the ring is the hash of the column ``key`` as text (null: as empty text).
     With ``slack`` 0 the shards' counts differ by at most one.  Rows of equal keys stay together
     while there is room; equal rows are interchangeable.  An empty table gives an empty one.
-    Columns named shard and slot in the input are replaced.
+    Columns named shard and slot in the input are replaced; any other names may be in use.
     """
+    arc_, hash_, key_, part_, rank_ = fresh(rows.columns, "arc", "hash", "key", "part", "rank")
     names = [c for c in rows.columns if c not in ("shard", "slot")]
     positions, owners = ring(shards, virtual_nodes)
     at = names.index(key)
-    marked = T.StructType([*(rows.schema[c] for c in names), T.StructField("_arc", T.IntegerType()), T.StructField("_hash", T.LongType())])
+    marked = T.StructType([*(rows.schema[c] for c in names), T.StructField(arc_, T.IntegerType()), T.StructField(hash_, T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,11 +95,11 @@ def assign(rows: DataFrame, shards: int, key: str = "doc_id", slack: float = 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(arcs.astype(np.int32)), pa.array(hashes.view(np.int64))], names=marked.names)
 
     text = F.coalesce(F.col(names[at]).cast("string"), F.lit(""))
-    kept = written(rows.select(*names, text.alias("_key")).mapInArrow(place, marked), "ring").withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(PARTS)).cast("int"))
-    counts = {(r["_arc"], r["_part"]): r["count"] for r in kept.groupBy("_arc", "_part").count().collect()}  # nodes x PARTS rows at most
+    kept = written(rows.select(*names, text.alias(key_)).mapInArrow(lean(place), marked), "ring").withColumn(part_, F.pmod(F.xxhash64(*names), F.lit(PARTS)).cast("int"))
+    counts = {(r[arc_], r[part_]): r["count"] for r in kept.groupBy(arc_, part_).count().collect()}  # nodes x PARTS rows at most
     plan = flow(counts, owners, capacities(sum(counts.values()), shards, slack))
     shared = kept.sparkSession.sparkContext.broadcast({k: ([p[0] for p in places], places) for k, places in plan.items()})
-    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc", "_part").orderBy("_hash", *names)) - 1)
+    ranked = kept.withColumn(rank_, F.row_number().over(Window.partitionBy(arc_, part_).orderBy(hash_, *names)) - 1)
     schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,4 +113,4 @@ def assign(rows: DataFrame, shards: int, key: str = "doc_id", slack: float = 0.0
                 slot.append(start + rank - first)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(to, pa.int32()), pa.array(slot, pa.int64())], names=schema.names)
 
-    return ranked.select(*names, "_arc", "_part", "_rank").mapInArrow(send, schema)
+    return ranked.select(*names, arc_, part_, rank_).mapInArrow(lean(send), schema)

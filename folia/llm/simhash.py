@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import LOWER, by_bytes, written
+from folia.llm.common import LOWER, by_bytes, fresh, lean, written
 from folia.llm.components import connected_components
 
 SHINGLE = 4
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 fps = np.asarray([fingerprint(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()], "<u8")
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(make, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(make), schema)
 
 
 def hex_of(fp: str):
@@ -285,7 +285,7 @@ def links(fps: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS) ->
     total = fps.count()
     some = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
     parts = allot(np.asarray([r["fp"] for r in some], "<i8").view("<u8"), total, radius)
-    keyed = fps.select("fp").mapInArrow(_keys(parts), KEYED)
+    keyed = fps.select("fp").mapInArrow(lean(_keys(parts)), KEYED)
     n = keyed.groupBy("key").count().where(F.col("count") > group_rows)
     heavy = written(n, "heavy_keys")  # one row for each group_rows rows at most
     if heavy.isEmpty():
@@ -295,7 +295,7 @@ def links(fps: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS) ->
 
 
 def _compared(keyed: DataFrame, radius: int) -> DataFrame:
-    return keyed.repartition("key").sortWithinPartitions("key", "probe").mapInArrow(_link_groups(radius), "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "probe").mapInArrow(lean(_link_groups(radius)), "a long, b long")
 
 
 def _heavy_links(keyed: DataFrame, radius: int, group_rows: int) -> DataFrame:
@@ -313,7 +313,7 @@ def _heavy_links(keyed: DataFrame, radius: int, group_rows: int) -> DataFrame:
                 value = _mixed(k, fps.view("<u8") & _mask(bits)) ^ keys.view("<u8")
                 yield pa.RecordBatch.from_arrays([pa.array(_mixed(k, value).view("<i8")), pa.array(probe), pa.array(fps)], names=["key", "probe", "fp"])
 
-    fine = written(keyed.mapInArrow(refine, KEYED), "refined")
+    fine = written(keyed.mapInArrow(lean(refine), KEYED), "refined")
     blocks = fine.groupBy("key").count().select("key", F.ceil(F.col("count") / (group_rows // 2)).cast("int").alias("blocks"))
     placed = fine.join(blocks.where("blocks > 2"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -343,16 +343,17 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_R
 def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id, all columns unchanged.
 
-    Where several rows of a group share that doc_id (repeated rows, or null ids alone) one of them stays.
+    Where several rows of a group share that doc_id (repeated rows, or null ids alone) one of them stays.  Null and
+    empty texts are a group, long ones count whole, an empty table gives an empty one, and extra columns may have any names.
     """
     groups = written(near_groups(docs, radius), "near_groups")
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     n, ids = kept.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids:  # no id is null or repeated among those that stay
         return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    rid, fp = "_row_of_group", "_fp_of_group"
+    rid, fp, own, none = fresh(docs.columns, "row", "fp", "component", "none")
     rows = written(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
     marked = fingerprints(rows.select(F.struct("doc_id", rid).alias("doc_id"), "text")).select("doc_id.*", F.col("fp").alias(fp))
-    marked = marked.join(groups.select(F.col("fp").alias(fp), F.col("component_id").alias("_c")).distinct(), fp).where(F.col("doc_id").eqNullSafe(F.col("_c")))
-    roots = marked.groupBy("_c", F.when(F.col("_c").isNull(), F.col(fp)).alias("_f")).agg(F.min(rid).alias(rid))
+    marked = marked.join(groups.select(F.col("fp").alias(fp), F.col("component_id").alias(own)).distinct(), fp).where(F.col("doc_id").eqNullSafe(F.col(own)))
+    roots = marked.groupBy(own, F.when(F.col(own).isNull(), F.col(fp)).alias(none)).agg(F.min(rid).alias(rid))
     return rows.join(roots.select(rid), rid, "left_semi").select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folia.llm.calibration import logistic, sigmoid
-from folia.llm.common import by_bytes, crc32_of, written
+from folia.llm.common import by_bytes, crc32_of, lean, written
 
 #: Labelled rows of each class that the model is fitted to, with all their windows.
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
@@ -168,7 +168,7 @@ def _features_of(rows: DataFrame, model: Model, numbers: list[int]) -> np.ndarra
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_features(shared.value, batch.column(1))), pa.list_(pa.float64()))], names=["row", "x"])
 
-    found = {r["row"]: r["x"] for r in _picked(rows, numbers).mapInArrow(make, "row long, x array<double>").collect()}
+    found = {r["row"]: r["x"] for r in _picked(rows, numbers).mapInArrow(lean(make), "row long, x array<double>").collect()}
     return np.asarray([found[n] for n in numbers], np.float64).reshape(-1, 4)
 
 
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = _scores(shared.value, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
 
-    return docs.select(*names).mapInArrow(add, schema)
+    return docs.select(*names).mapInArrow(lean(add), schema)
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -230,4 +230,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folia.llm.common import by_bytes, written
+from folia.llm.common import by_bytes, lean, written
 
 PACKET = 188
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -188,7 +188,7 @@ def store(docs: DataFrame) -> DataFrame:
                 texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([mux(padded(x)) for x in texts], pa.binary())], names=schema.names)
 
-    return written(docs.select("doc_id", "text").mapInArrow(make, schema), "media", compression="zstd")
+    return written(docs.select("doc_id", "text").mapInArrow(lean(make), schema), "media", compression="zstd")
 
 
 def feature(stream: Stream) -> str:
@@ -217,4 +217,4 @@ def read(media: DataFrame) -> DataFrame:
                     rows.append((len(s.samples), hashlib.sha256(s.samples).hexdigest(), zlib.crc32(s.samples[-BLOCK:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s), s.pts, s.random_access))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], t) for k, (_, _, t) in enumerate(fields))], names=schema.names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(parse, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(parse), schema)

@@ -8,7 +8,10 @@ import zlib
 import brute
 import pytest
 
-from folia.llm import decontamination, ring, transport_stream, warc
+from pyspark.sql import functions as F
+
+from folia.llm import decontamination, packing, ring, simhash, substrings, transport_stream, warc
+from folia.llm.components import link_mark
 from folia.llm.stages import drop_contaminated
 
 TEXTS = [None, "", "a", "b" * 64, "c" * 65, "é" * 5000, "d" * 16384, "e" * 40_000, "a", "f" * 170, "g" * 162, "h" * 346]
@@ -76,6 +79,51 @@ def test_loser_tree_merges(k):
     assert list(warc.LoserTree([iter([((x,), x) for x in r]) for r in runs])) == sorted(x for r in runs for x in r)
 
 
+def test_flow_is_a_ring_walked_key_by_key():
+    rng = random.Random(6)
+    for _ in range(30):
+        shards = rng.randrange(1, 6)
+        owners = ring.np.asarray([rng.randrange(shards) for _ in range(12)] + list(range(shards)))
+        counts = {(a, p): rng.randrange(9) for a in range(len(owners)) for p in range(2)}
+        room = ring.capacities(sum(counts.values()), shards)
+        placed, left, slots = ring.flow(counts, owners, room), list(room), [0] * shards
+        for (arc, part), n in sorted(counts.items()):
+            for rank in range(n):
+                at = arc
+                while not left[owners[at % len(owners)]]:
+                    at += 1
+                shard = int(owners[at % len(owners)])
+                left[shard] -= 1
+                first, to, slot = next(p for p in reversed(placed[arc, part]) if p[0] <= rank)
+                assert (to, slot + rank - first) == (shard, slots[shard])
+                slots[shard] += 1
+
+
+def test_names_of_other_columns_are_free(spark):
+    own = ["_arc", "_hash", "_key", "_part", "_rank", "_before", "_n", "_parts", "_spread", "_order", "_digest", "_kept", "_first", "_sha", "_ord", "_row", "_fp", "_component", "_none"]
+    line = "this line is quite long and stands in several of the documents here"
+    docs = spark.createDataFrame([(k, f"{line} {(k or 0) % 3}", *range(len(own))) for k in (1, 2, 2, 5, None, None, (1 << 63) - 1)], "doc_id long, text string, " + ", ".join(f"{c} int" for c in own))
+    same = lambda df: all(tuple(r[c] for c in own) == tuple(range(len(own))) for r in df.collect())
+    assert same(ring.assign(docs, 3)) and same(packing.pack_pieces(docs.withColumn("length", F.lit(2000))))
+    assert same(substrings.remove_repeats(docs)) and same(simhash.keep_representatives(docs)) and same(decontamination.drop_hits(docs, docs.selectExpr("doc_id AS item_id", "'none of it' AS text"), most_bytes=0))
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in substrings.repeated_bytes(docs).where("doc_id IS NOT NULL").collect())[-1] == (False, (1 << 63) - 1)
+    none = docs.limit(0)
+    assert not ring.assign(none, 3).count() and not substrings.remove_repeats(none).count() and not simhash.keep_representatives(none).count()
+    assert not decontamination.drop_hits(none, none.selectExpr("doc_id AS item_id", "text")).count() and not transport_stream.read(transport_stream.store(none)).count()
+
+
+def test_long_payloads(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/", "ä" * 900_000), (2, "http://a.example/", "ä" * 900_000), (3, None, "<p>" * 700_000)], "page_id long, url string, html string")
+    rows = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_index(pages).collect()}
+    assert rows == {1: (1_800_000, "revisit", 2), 2: (1_800_000, "response", None), 3: (2_100_000, "response", None)}
+
+
+def test_link_marks_of_many_links(spark):
+    links = spark.range(20_000_000).select(F.col("id").alias("a"), (F.col("id") * 7).alias("b"))
+    a, b = (tuple(df.agg(*link_mark()).first()) for df in (links, links.where("a <> 12345")))
+    assert a[0] == 20_000_000 and a != b
+
+
 def test_url_keys():
     assert warc.url_key("https://www.Example.org:443/A?b#c") == "org,example)/a?b"
     assert warc.url_key("http://example.org") == "org,example)/"
