@@ -4,9 +4,8 @@ Sorting all suffixes of a corpus isn't needed to compare strings of bounded widt
 ``WIDTH`` bytes names its least-hashed q-gram (its anchor), so that equal windows name equal
 q-grams at equal places.  Documents first exchange only their anchors' hashes, one for each batch of
 documents; windows whose anchor no other document has are done.  For the others the text around
-the anchor is brought together by anchor, and the windows' order classes are found there: one
-direct sort of the bytes beside the q-gram, on each side, gives the buckets of every depth from the lengths
-of common prefixes, and pairs of buckets are sorted once a depth.
+the anchor is brought together by anchor, and bucket-pointer refinement tells their windows apart: buckets of
+8-byte q-grams are refined by the bucket pointers at later offsets, recursively.
 
 Copies of a whole text are settled beforehand, by digest.
 """
@@ -24,18 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import by_bytes, written
+from folia.llm.common import by_bytes, fresh, lean, written
 
 WIDTH = 50
 #: Bytes of the q-gram that a window is found by.
 GRAM = 24
 #: Bytes of text for each partition of the exchange of anchors.
-PART_BYTES = 24_000_000
-#: Contexts of one partition of the exchange of contexts.
-PART_CONTEXTS = 60_000
+PART_BYTES = 12_000_000
+#: Contexts of one partition of the exchange of contexts, and bytes of them that are refined together.
+PART_CONTEXTS = 40_000
+BUCKET_BYTES = 1_000_000
 #: Anchors with more contexts than this are compared window by window instead.
 HOT_CONTEXTS = 100_000
-#: A null doc_id counts as this, after all others.
+#: A null doc_id counts as this.
 LAST = (1 << 63) - 1
 
 _TOP = np.uint64(0xFFFFFFFF00000000)
@@ -145,26 +145,32 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(ids: np.ndarray, places: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(places.astype(np.int32)), pa.array(keys.astype(np.int64))], names=["ord", "place", "key"])
 
-    keys, ids, places = [], [], []
+    held: list[tuple[int, pa.Scalar, pa.Scalar]] = []  # as they came; places are unpacked once it is known which are wanted
+    keys = []
     for batch in batches:
-        for part, i, h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            i, p = _from_planes(i, "<i8").cumsum(), _from_planes(p, "<u4")
+        for part, i, h, p in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
             if part < 0:
-                if len(i):
-                    yield out(i, p, np.frombuffer(h, "<u8"))
+                i, p = _from_planes(i.as_py(), "<i8").cumsum(), _from_planes(p.as_py(), "<u4")
+                for at in range(0, len(i), 100_000):
+                    yield out(i[at : at + 100_000], p[at : at + 100_000], np.frombuffer(h.as_py(), "<u8")[at : at + 100_000])
             else:
-                keys.append(np.frombuffer(h, "<u4").astype(np.uint64) | np.uint64(part << 32))
-                ids.append(i)
-                places.append(p)
+                keys.append(np.frombuffer(h.as_py(), "<u4"))
+                held.append((part, i, p))
     if not keys:
         return
-    keys, ids, places = np.concatenate(keys), np.concatenate(ids), np.concatenate(places)
-    sort = np.argsort(keys)
-    same = keys[sort][1:] == keys[sort][:-1]
-    shared = sort[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-    for at in range(0, len(shared), 500_000):
-        some = shared[at : at + 500_000]
-        yield out(ids[some], places[some], keys[some])
+    sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+    parts = np.fromiter((part for part, _, _ in held), np.uint64, len(held))
+    keys = np.concatenate(keys).astype(np.uint64) | np.repeat(parts << np.uint64(32), sizes)
+    order = np.sort(keys)
+    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    del order
+    at = 0
+    for n, (_, i, p) in zip(sizes.tolist(), held, strict=True):
+        own = keys[at : at + n]
+        shared = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own) if len(twice) else ()
+        if len(shared):
+            yield out(_from_planes(i.as_py(), "<i8").cumsum()[shared], _from_planes(p.as_py(), "<u4")[shared], own[shared])
+        at += n
 
 
 _CONTEXT = T.StructType([T.StructField("key", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("row", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("at", T.IntegerType()), T.StructField("context", T.BinaryType())])
@@ -220,54 +226,71 @@ def _spread_key(row: int, start: int) -> int:
     return (row * 0x9E3779B97F4A7C15 + start * 0xC2B2AE3D27D4EB4F) >> 7 & (1 << 62) - 1
 
 
-def _pointers(group: np.ndarray, beside: np.ndarray) -> np.ndarray:
-    """Bucket pointers by depth: equal in row k where group and the first k bytes of ``beside`` are equal.
-
-    One sort orders each group's strings; the pointers of a depth split those of the depth before
-    at the places where neighbours first differ there.
-    """
-    n, depth = beside.shape
-    wide = np.zeros((n, -(-depth // 8) * 8), np.uint8)
-    wide[:, :depth] = beside
-    words = wide.view(">u8").astype(np.uint64)
-    order = np.lexsort((*(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), group))
-    differ = beside[order][1:] != beside[order][:-1]
-    common = np.where(differ.any(1), differ.argmax(1), depth)
-    common[group[order][1:] != group[order][:-1]] = -1
-    pointers = np.empty((depth + 1, n), np.int64)
-    for k in range(depth + 1):
-        pointers[k, order] = np.concatenate(([0], (common < k).cumsum()))
-    return pointers
-
-
-def refine(contexts: list[bytes], at: np.ndarray, group: np.ndarray, least: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def refine(contexts: list[bytes], group: np.ndarray, least: np.ndarray, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, from, to) of the bytes of contexts whose windows another context of a smaller ``least`` has.
 
-    ``group`` numbers the q-gram at place ``at`` of each context: the initial buckets.  A window that
-    begins k bytes before the q-gram is told by the pointer of depth k to the bytes before it,
-    backwards, and by that of the rest's depth to the bytes after it; pairs of pointers are sorted once a depth.
+    Equal windows are in contexts of one ``group``, so runs of whole groups are refined apart, in about
+    ``bucket_bytes`` bytes at a time.
+    """
+    order = np.argsort(group, kind="stable")
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))[order]
+    ends = np.flatnonzero(np.diff(group[order], append=-1)) + 1  # of groups
+    upto = np.append(0, sizes.cumsum())
+    found, at = [], 0
+    while at < len(order):
+        end = int(ends[max(np.searchsorted(ends, at, "right"), np.searchsorted(upto[ends], upto[at] + bucket_bytes, "right") - 1)])
+        some = order[at:end]
+        context, begin, stop = _refined([contexts[k] for k in some.tolist()], least[some], width)
+        found.append((some[context], begin, stop))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _refined(contexts: list[bytes], least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket-pointer refinement of the contexts' suffixes to the depth of ``width`` bytes.
+
+    The initial buckets are those of the 8-byte q-grams.  A round refines the buckets of several members: each member's
+    pointer is paired with the pointer at the place as many bytes on as the buckets are deep, the
+    pairs are sorted, and their ranks become the members' new pointers.  Those are what the next round
+    pairs, so each round doubles the depth.  A suffix alone in its bucket keeps its pointer.
     """
-    n, depth = len(contexts), width - gram
-    places = at.tolist()
-    before = np.frombuffer(b"".join(c[:a][::-1].ljust(depth, b"\0")[:depth] for c, a in zip(contexts, places, strict=True)), np.uint8).reshape(n, depth)
-    after = np.frombuffer(b"".join(c[a + gram :].ljust(depth, b"\0")[:depth] for c, a in zip(contexts, places, strict=True)), np.uint8).reshape(n, depth)
-    left, right = _pointers(group, before), _pointers(group, after)
-    room = np.fromiter(map(len, contexts), np.int64, n) - at - gram
-    gone = np.zeros((n, depth + 3), bool)
-    for k in range(depth + 1):
-        some = np.flatnonzero((at >= k) & (room >= depth - k))
-        if len(some) < 2:
-            continue
-        code = left[k, some] * n + right[depth - k, some]
-        order = np.argsort(code)
-        edges = np.flatnonzero(np.diff(code[order], prepend=-1))
-        first = np.repeat(np.minimum.reduceat(least[some][order], edges), np.diff(np.append(edges, len(order))))
-        gone[some[order], depth - k + 1] = first < least[some][order]
-    steps = np.diff(gone.astype(np.int8), axis=1)
-    context, begin = np.nonzero(steps == 1)
-    _, end = np.nonzero(steps == -1)  # column c + 1 is the window that begins depth - c bytes before the q-gram
-    shift = at[context] - depth
-    return context, begin + shift, end - 1 + shift + width
+    raw = b"".join(contexts) + bytes(8)
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    upto = sizes.cumsum()
+    room = np.repeat(upto, sizes) - np.arange(len(raw) - 8)  # bytes from a place to the end of its context
+    grams = np.ndarray((len(raw) - 8,), "<u8", raw, 0, (1,))
+    depth = 8
+    places = np.flatnonzero(room >= depth)
+    pointer = np.full(len(room), -1, np.int64)
+    pointer[places], many = _ranks(grams[places], 0)
+    places = places[many > 1]
+    while depth < width:
+        step = min(depth, width - depth)
+        places = places[room[places] >= depth + step]
+        top = int(pointer.max()) + 1
+        pointer[places], many = _ranks(pointer[places] * top + pointer[places + step], top)
+        places = places[many > 1]
+        depth += step
+    owner = np.searchsorted(upto, places, "right")
+    first = np.full(int(pointer.max()) + 1, LAST)
+    np.minimum.at(first, pointer[places], least[owner])
+    gone = np.zeros(len(room) + 2, bool)
+    gone[places + 1] = first[pointer[places]] < least[owner]
+    begin, stop = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(gone[:-1] & ~gone[1:])  # no run crosses contexts: each one's last places have no room
+    context = np.searchsorted(upto, begin, "right")
+    shift = upto[context] - sizes[context]
+    return context, begin - shift, stop - 1 + width - shift
+
+
+def _ranks(values: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values' ranks among the distinct ones, counted from ``start``, and how often each value occurs."""
+    order = np.argsort(values)
+    new = np.flatnonzero(np.diff(values[order], prepend=~values[order[:1]]))
+    sizes = np.diff(np.append(new, len(order)))
+    ranks, many = np.empty((2, len(order)), np.int64)
+    ranks[order] = np.repeat(np.arange(start, start + len(new)), sizes)
+    many[order] = np.repeat(sizes, sizes)
+    return ranks, many
 
 
 def _settle(width: int, gram: int):
@@ -304,7 +327,7 @@ def _settle(width: int, gram: int):
         active = np.flatnonzero(np.bincount(group)[group] > 1)  # buckets of one member need no refinement
         if not len(active):
             return
-        context, begin, end = refine([contexts[k] for k in active.tolist()], at[active], group[active], least[active], width, gram)
+        context, begin, end = refine([contexts[k] for k in active.tolist()], group[active], least[active], width)
         first = np.flatnonzero(~later)  # rows of the document that has the context first
         first = first[np.argsort(of[first], kind="stable")]
         a, b = (np.searchsorted(of[first], active[context], side) for side in ("left", "right"))
@@ -366,41 +389,46 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["ord", "sha", "text"])
 
 
+def _order_of(doc_id: str):
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(ord, sha, text as binary, n_bytes) of ``docs``."""
+    """(ord, absent, text as binary, sha, n_bytes) of ``docs``; absent tells a null doc_id."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), text.alias("text")).select("ord", "text", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
+    rows = docs.select(_order_of("doc_id").alias("ord"), F.col("doc_id").isNull().alias("absent"), text.alias("text"))
+    return rows.select("ord", "absent", "text", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 def changed_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """What is known of each row's whole text, and the texts that lose bytes to an earlier document.
 
-    The first table has (ord, sha, n_bytes, first) for each row of ``docs``: first is the smallest ord
+    The first table has (ord, absent, sha, n_bytes, first) for each row of ``docs``: first is the smallest ord
     of that text.  The second has (ord, sha, n_removed, n_spans, kept, kept_sha256) for those first rows
     that lose bytes.
     """
     rows = _numbered(docs)
-    info = written(rows.select("ord", "sha", "n_bytes"), "texts")
+    info = written(rows.select("ord", "absent", "sha", "n_bytes"), "texts")
     total = info.agg(F.sum("n_bytes")).first()[0] or 0
     firsts = written(info.groupBy("sha").agg(F.min("ord").alias("first")), "first_texts")
     parts = max(8, total // PART_BYTES)
-    flagged = rows.select("ord", "text").mapInArrow(_exchange(width, gram, parts), _EXCHANGED)
+    flagged = rows.select("ord", "text").mapInArrow(lean(_exchange(width, gram, parts)), _EXCHANGED)
     spread = F.when(F.col("part") < 0, F.xxhash64("places")).otherwise(F.col("part").cast("long"))
-    flagged = written(flagged.repartition(parts, spread).mapInArrow(_flag, "ord long, place int, key long"), "flagged")
+    flagged = written(flagged.repartition(parts, spread).mapInArrow(lean(_flag), "ord long, place int, key long"), "flagged")
     places = flagged.groupBy("ord").agg(F.collect_list("place").alias("places"))
     places = places.join(firsts.select(F.col("first").alias("ord"), "sha"), "ord")
-    held = rows.select("ord", "sha", "text").mapInArrow(_packed, "ord long, sha string, text binary").join(places, ["ord", "sha"]).withColumn("row", F.monotonically_increasing_id())
+    held = rows.select("ord", "sha", "text").mapInArrow(lean(_packed), "ord long, sha string, text binary").join(places, ["ord", "sha"]).withColumn("row", F.monotonically_increasing_id())
     held = written(held.select("ord", "row", "sha", "text", "places"), "flagged_texts")
     share = 16 if hot_contexts >= HOT_CONTEXTS else 1  # which way an anchor goes changes no result, so a share of the rows may tell
     some = flagged.select("key").where(F.pmod(F.xxhash64("ord", "place"), F.lit(share)) == 0) if share > 1 else flagged.select("key")
     hot = frozenset(r["key"] for r in some.groupBy("key").count().where(F.col("count") > hot_contexts // share).select("key").collect())  # one for each hot_contexts contexts at most
     n = max(8, flagged.count() // PART_CONTEXTS)
     found = held.select("ord", "row", "text", "places")
-    ranges = found.mapInArrow(_contexts(width, gram, parts, hot, False), _CONTEXT).repartition(n, "key").mapInArrow(_settle(width, gram), _RANGES)
+    ranges = found.mapInArrow(lean(_contexts(width, gram, parts, hot, False)), _CONTEXT).repartition(n, "key").mapInArrow(lean(_settle(width, gram)), _RANGES)
     if hot:
-        ranges = ranges.union(_hot_ranges(found.mapInArrow(_contexts(width, gram, parts, hot, True), _CONTEXT), width))
+        ranges = ranges.union(_hot_ranges(found.mapInArrow(lean(_contexts(width, gram, parts, hot, True)), _CONTEXT), width))
     ranges = ranges.groupBy("row").agg(F.collect_list("from").alias("begin"), F.collect_list("to").alias("end"))
-    cut = held.join(ranges, "row").select("ord", "sha", "text", "begin", "end").mapInArrow(_cut, _CUT)
+    cut = held.join(ranges, "row").select("ord", "sha", "text", "begin", "end").mapInArrow(lean(_cut), _CUT)
     return info.join(firsts, "sha"), cut
 
 
@@ -409,16 +437,17 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_co
 
     A byte is removed when a ``width``-byte string that covers it also starts in a document with
     a smaller doc_id.  Strings are judged on the whole input; matches never cross documents, and
-    rows of equal doc_id don't count against each other.  A null doc_id comes after all others, a null
-    text is empty, an empty table gives an empty one.
+    rows of equal doc_id, repeated rows among them, don't count against each other.  doc_id is an integer; a null
+    one counts as 2^63 - 1, hence comes after all others, and stays null.  A null text is empty, a long one is
+    judged whole, an empty table gives an empty one, and only doc_id and text are read, so extra columns can't clash.
     """
     info, cut = changed_texts(docs, width, gram, hot_contexts)
     info, cut = written(info, "texts"), written(cut.drop("kept").distinct(), "cut_texts")
     first = info.where("ord = first").join(cut, ["ord", "sha"], "left")
-    first = first.select("ord", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    first = first.select("ord", "absent", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
     whole = F.col("n_bytes") >= width
-    other = info.where("ord > first").select("ord", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"), F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"))
-    ids = F.when(F.col("ord") < LAST, F.col("ord")).cast(docs.schema["doc_id"].dataType)
+    other = info.where("ord > first").select("ord", "absent", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"), F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"))
+    ids = F.when(~F.col("absent"), F.col("ord")).cast(docs.schema["doc_id"].dataType)
     return first.unionByName(other).select(ids.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -426,17 +455,19 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     """``docs`` with the repeated bytes cut out of ``text``, other columns unchanged.
 
     Bytes of a character of which a part was cut go with it, so that texts stay valid UTF-8.
-    A null text stays null.
+    A null text stays null and a long one is judged whole.  Rows of equal doc_id, repeated rows among them, don't
+    count against each other; a null doc_id comes after all others.  An empty table gives an empty one, and
+    extra columns may have any names.
     """
     info, cut = changed_texts(docs, width, gram)
-    cut = written(cut.select("ord", "sha", "kept").distinct().mapInArrow(_decoded, "ord long, sha string, kept string"), "cut_texts")
+    order, digest, kept, first = fresh(docs.columns, "order", "digest", "kept", "first")
+    cut = written(cut.select("ord", "sha", "kept").distinct().mapInArrow(lean(_decoded), "ord long, sha string, kept string"), "cut_texts")
     firsts = written(info.select("sha", "first").distinct(), "first_texts")
     n = F.octet_length(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    marked = docs.withColumns({"_ord": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_sha": F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)})
-    marked = marked.join(cut.select(F.col("ord").alias("_ord"), F.col("sha").alias("_sha"), F.col("kept").alias("_kept")), ["_ord", "_sha"], "left")
-    copies = firsts.select(F.col("sha").alias("_sha"), F.col("first").alias("_first"))
-    marked = marked.join(copies, "_sha")
-    text = F.when((F.col("_ord") > F.col("_first")) & (n >= width), F.lit("")).otherwise(F.coalesce("_kept", "text"))
+    marked = docs.withColumns({order: _order_of("doc_id"), digest: F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)})
+    marked = marked.join(cut.select(F.col("ord").alias(order), F.col("sha").alias(digest), F.col("kept").alias(kept)), [order, digest], "left")
+    marked = marked.join(firsts.select(F.col("sha").alias(digest), F.col("first").alias(first)), digest)
+    text = F.when((F.col(order) > F.col(first)) & (n >= width), F.lit("")).otherwise(F.coalesce(F.col(kept), F.col("text")))
     return marked.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 

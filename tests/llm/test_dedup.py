@@ -107,6 +107,29 @@ def test_repeats_match_brute_force(spark, hot):
         assert (rows[i]["n_bytes"], rows[i]["n_removed"], rows[i]["n_spans"], rows[i]["kept_sha256"]) == (len(raw), int(mask.sum()), spans, hashlib.sha256(raw[~mask].tobytes()).hexdigest()), i
 
 
+def test_refinement_tells_windows_apart():
+    rng = random.Random(8)
+    for bucket_bytes in (100, 10**6):
+        base = ["".join(rng.choice("ab") for _ in range(70)) for _ in range(4)]
+        contexts = [b[: rng.randint(50, 70)][rng.randint(0, 3) :].ljust(50, "c").encode() for b in base * 9]
+        contexts = [c[:k] + b"x" + c[k + 1 :] if k % 2 else c for c, k in ((c, rng.randrange(50)) for c in contexts)]
+        least, width = np.asarray([rng.randrange(20) for _ in contexts]), 12
+        got = np.zeros((len(contexts), 80), bool)
+        for k, a, b in zip(*substrings.refine(contexts, np.zeros(len(contexts), np.int64), least, width, bucket_bytes), strict=True):
+            got[k, a:b] = True
+        first = {}
+        for c, n in zip(contexts, least.tolist(), strict=True):
+            for at in range(len(c) - width + 1):
+                w = c[at : at + width]
+                first[w] = min(n, first.get(w, n))
+        want = np.zeros_like(got)
+        for k, (c, n) in enumerate(zip(contexts, least.tolist(), strict=True)):
+            for at in range(len(c) - width + 1):
+                if first[c[at : at + width]] < n:
+                    want[k, at : at + width] = True
+        assert (got == want).all() and want.any()
+
+
 def test_repeats_with_null_and_repeated_ids(spark):
     line = "this line is quite long and stands in several of the documents here"
     df = spark.createDataFrame([(None, line), (3, line), (3, line + "!"), (None, line + "?"), (5, None)], "doc_id long, text string")
