@@ -11,19 +11,58 @@ from pyspark.sql import functions as F
 
 # The forms of the artefacts in extracted court documents.
 SIGNATURE_CODE = r"[A-Z0-9]{5,20}"
-SIGNATURE = r"(?iu)(?:(?:SEC\s+)?C[óo]digo|Cvc)\s*:?\s*([A-Z0-9]{5,20})\s+Este documento tiene firma electr[óo]nica y su original puede ser validado en\s+https?://verificadoc\.pjud\.cl(?:\s+o\s+en\s+la\s+tramitaci[óo]n\s+de\s+la\s+causa\.?)?"
+SIGNATURE = r"(?iu)(?:(?:SEC\s+)?C[óo]digo|Cvc)\s*:?\s*([A-Z0-9]{5,20})\s+Este documento tiene firma electr[óo]nica y su original puede ser validado en\s+h\s*t\s*t\s*p\s*s?\s*:\s*/\s*/\s*v\s*e\s*r\s*i\s*f\s*i\s*c\s*a\s*d\s*o\s*c\s*\.\s*p\s*j\s*u\s*d\s*\.\s*c\s*l(?:\s+o\s+en\s+la\s+tramitaci[óo]n\s+de\s+la\s+causa\.?)?"
 PAGE_MARKER = r"--\s*(\d{1,4})\s+of\s+(\d{1,4})\s*--"
 OCR_PAGE_MARKER = r"(?<=\s)-(\d{1,3})-(?=\s)"
 REPEATED_ROL = r"[CEV]-\d{1,6}-\d{4}\s+Foja:\s*\d+"
 HOUR_NOTICE = r"(?isu)A contar del \d{2} de \p{L}+ de \d{4},\s*la hora visualizada .*?https?://www\.horaoficial\.cl"
 PRIVATE_SIGNER = r"(?iu)C[óo]digo:\s*\d{10,20}\s+validar en https?://www\.esigner\.cl/\S+"
-SCANNER = r"(?i)Scanned with [A-Za-z0-9_]+"
+SCANNER = r"(?i)Scanned with \w+"
 HEADER = r"(?isu)NOMENCLATURA\s*:.*?JUZGADO\s*:\s*(.*?)\s*CAUSA\s+ROL\s*:\s*([CEV]-\d{1,6}-\d{4})\s+CARATULADO\s*:\s*([^,]*?)(?=\s+\p{L}+,)"
 FLOATING_ACCENT = r"\s+[óáéíúñÓÁÉÍÚÑ]\s+(?=\p{L})"
-# Words that lose an accented letter in extraction, and how they are spelt.
-REPAIRS = (("presentaci n", "presentación"), ("resoluci n", "resolución"), ("notificaci n", "notificación"), ("ejecuci n", "ejecución"), ("prescripci n", "prescripción"), ("excepci n", "excepción"), ("obligaci n", "obligación"), ("art culo", "artículo"), ("p blico", "público"), ("c dula", "cédula"), ("pagar s", "pagarés"), ("se or", "señor"))
-
-REMOVALS = (("signature", SIGNATURE), ("page_marker", PAGE_MARKER), ("page_marker", OCR_PAGE_MARKER), ("repeated_rol", REPEATED_ROL), ("header", HEADER), ("hour_notice", HOUR_NOTICE), ("private_signer", PRIVATE_SIGNER), ("scanner", SCANNER))
+GARBLED_SIGNATURE = r"(?iu)[A-ZÁÉÍÓÚÑ]+\s+Firmado\s+digitalmente\s+[A-ZÁÉÍÓÚÑ]+\s+por\s+[A-ZÁÉÍÓÚÑ\s]+\s*Fecha:\s*\d{4}\.\d{2}\.\d{2}\s*[A-ZÁÉÍÓÚÑ]+\s+\d{2}:\d{2}:\d{2}\s*-\d{2}'\d{2}'"
+# Words that lose an accented letter in extraction, and how they are spelt, in the order of their repair.
+# A bar is the edge of a word, an underline white space beside it.
+REPAIRS = (
+    # -ción, -sión
+    ("ci n|", "ción"), ("si n|", "sión"),
+    # código
+    ("|C digo", "Código"), ("|c digo", "código"),
+    # ñ
+    ("|se ala", "señala"), ("|Se ala", "Señala"), ("|se al|", "señal"), ("_a o_", "año"), ("|do a|", "doña"), ("|Do a|", "Doña"), ("|da o", "daño"), ("|Da o", "Daño"), ("|due o", "dueño"), ("|ni o", "niño"), ("|compa ", "compaña"), ("|rese ado", "reseñado"), ("|orse ado", "orseñado"),
+    ("|Cama o", "Camaño"), ("|Mu oz", "Muñoz"), ("|Nu ez", "Nuñez"), ("|Iba ez", "Ibañez"), ("|Ordo ez", "Ordoñez"), ("|Ya ez", "Yañez"), ("|Zu iga", "Zuñiga"), ("|pe a|", "peña"), ("|Pe a|", "Peña"),
+    # -ía
+    ("|Miner a|", "Minería"), ("|miner a|", "minería"), ("|policí a|", "policía"),
+    # á
+    ("|m quina", "máquina"), ("|M quina", "Máquina"), ("|telem tico", "telemático"), ("|telem tica", "telemática"), ("|cl usula", "cláusula"), ("|Cl usula", "Cláusula"), ("|pr ctic", "práctic"), ("_m s_", "más"), ("|dem s|", "demás"), ("|pag r ", "pagar"),
+    # é
+    ("|c dula", "cédula"), ("|C dula", "Cédula"), ("|m rito", "mérito"), ("|t rmino", "término"), ("|T rmino", "Término"), ("|trav s|", "través"), ("|Andr s|", "Andrés"), ("|P rez|", "Pérez"), ("|Guti rrez|", "Gutiérrez"), ("|Jim nez|", "Jiménez"), ("|Ram rez|", "Ramírez"), ("|Fern ndez|", "Fernández"), ("|Hern ndez|", "Hernández"), ("|Gonz lez|", "González"), ("|Rodr guez|", "Rodríguez"), ("|L pez|", "López"), ("|Mart nez|", "Martínez"),
+    # í
+    ("_d a_", "día"), ("|d as|", "días"), ("|art culo", "artículo"), ("|Art culo", "Artículo"), ("|art culos", "artículos"), ("|Art culos", "Artículos"), ("|jur dico", "jurídico"), ("|jur dica", "jurídica"), ("|s ntesis", "síntesis"), ("|t tulo", "título"), ("|T tulo", "Título"), ("|per odo", "período"), ("|Per odo", "Período"), ("|Roc o|", "Rocío"),
+    # ú
+    ("|gr as|", "grúas"), ("|ltimo", "último"), ("|n mero", "número"), ("|N mero", "Número"), ("|p blico", "público"), ("|P blico", "Público"), ("|p blica", "pública"), ("|P blica", "Pública"),
+    # ó
+    ("|electr nico", "electrónico"), ("|electr nica", "electrónica"),
+    # ordinals
+    ("|D cimo|", "Décimo"), ("|d cimo|", "décimo"), ("|D CIMO|", "DÉCIMO"), ("|vig simo", "vigésimo"), ("|VIG SIMO", "VIGÉSIMO"), ("|S ptimo|", "Séptimo"), ("|s ptimo|", "séptimo"), ("|S PTIMO|", "SÉPTIMO"), ("|Und cimo", "Undécimo"), ("|UND CIMO", "UNDÉCIMO"), ("|Duod cimo", "Duodécimo"), ("|DUOD CIMO", "DUODÉCIMO"),
+    # verbs and closing formulas
+    ("|concedi |", "concedió"), ("|recibi |", "recibió"), ("|Reg strese", "Regístrese"), ("|reg strese", "regístrese"), ("|notif quese", "notifíquese"), ("|arch vese", "archívese"),
+    # numbers in words
+    ("|veintis is|", "veintiséis"), ("|Veintis is|", "Veintiséis"), ("|veintitr s|", "veintitrés"), ("|Veintitr s|", "Veintitrés"), ("|veintid s|", "veintitrés"), ("|Veintid s|", "Veintitrés"), ("|habi ndose|", "habiéndose"), ("|Est ndose|", "Estándose"),
+)
+# The labelled fields of a certificate of sending.
+CERTIFICATE_MARKS = ("OFICINA JUDICIAL VIRTUAL", "CERTIFICADO DE ENV")
+CERTIFICATE = (
+    ("court", r"(?im)Juzgado:\s*(.+?)(?:\s+N[°º]|\s+$)"),
+    ("rol", r"(?i)N[°º]\s*Rol/Rit:\s*([^\s]+)"),
+    ("ruc", r"(?i)Ruc:\s*([^\s]+)"),
+    ("caption", r"(?im)Caratulado:\s*(.+?)(?:\s+Procedimiento|\s+$)"),
+    ("procedure", r"(?im)Procedimiento:\s*(.+?)(?:\s+Materia|\s+$)"),
+    ("matter", r"(?im)Materia\(s\):\s*(.+?)(?:\s+Fecha|\s+$)"),
+    ("sent", r"(?i)Fecha\s+Env[ií]o\s*:\s*(\d{2}/\d{2}/\d{4}\s+\d{2}:\d{2}:\d{2})"),
+)
+
+REMOVALS = (("signature", SIGNATURE), ("page_marker", PAGE_MARKER), ("page_marker", OCR_PAGE_MARKER), ("repeated_rol", REPEATED_ROL), ("header", HEADER), ("hour_notice", HOUR_NOTICE), ("private_signer", PRIVATE_SIGNER), ("private_signer", GARBLED_SIGNATURE), ("scanner", SCANNER))
 
 
 def removed(text: Column, *kinds: str) -> Column:
@@ -38,12 +77,40 @@ def occurrences(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 
 
+def _pattern(broken: str) -> str:
+    before = r"(?<![\p{L}\p{N}_])" if broken[0] == "|" else r"(?<=\s)" if broken[0] == "_" else ""
+    after = r"(?![\p{L}\p{N}_])" if broken[-1] == "|" else r"(?=\s)" if broken[-1] == "_" else ""
+    return before + broken.strip("|_") + after
+
+
+def repairs(text: Column) -> Column:
+    """(text, fixes): floating accents go, then known words get their accented letter back, and how many of both there were.
+
+    One fold over the table of repairs; a pattern runs only on texts that hold its letters.
+    """
+    rules = F.array(*(F.struct(F.lit(b.strip("|_")).alias("letters"), F.lit(_pattern(b)).alias("pattern"), F.lit(w).alias("whole")) for b, w in REPAIRS))
+    start = F.struct(F.regexp_replace(text, FLOATING_ACCENT, " ").alias("text"), occurrences(text, FLOATING_ACCENT).cast("int").alias("fixes"))
+
+    def step(now: Column, r: Column) -> Column:
+        mended = F.struct(F.regexp_replace(now["text"], r["pattern"], r["whole"]).alias("text"), (now["fixes"] + F.regexp_count(now["text"], r["pattern"])).cast("int").alias("fixes"))
+        return F.when(F.contains(now["text"], r["letters"]), mended).otherwise(now)
+
+    return F.aggregate(rules, start, step)
+
+
 def repaired(text: Column) -> Column:
-    """Floating accents go, then known words get their accented letter back."""
-    text = F.regexp_replace(text, FLOATING_ACCENT, " ")
-    for broken, whole in REPAIRS:
-        text = F.regexp_replace(text, rf"(?<![\p{{L}}]){broken}(?![\p{{L}}])", whole)
-    return text
+    return repairs(text)["text"]
+
+
+def certificate(text: Column) -> Column:
+    """The labelled fields of a certificate of sending, null where the text isn't one or has no such field; the text stays as it is."""
+    one = F.contains(text, F.lit(CERTIFICATE_MARKS[0])) & F.contains(text, F.lit(CERTIFICATE_MARKS[1]))
+    return F.struct(*(F.when(one, F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))).alias(n) for n, p in CERTIFICATE))
+
+
+def total_pages(text: Column) -> Column:
+    """The largest M of the markers 'N of M' of the raw text; null without one."""
+    return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(PAGE_MARKER), F.lit(2)), lambda m: m.cast("int")))
 
 
 def squeezed(text: Column) -> Column:

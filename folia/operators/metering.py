@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 # Limits of the four plans by action (-1: none), whether they count over a lifetime, and soft ones.
 PLANS = ("free", "basic", "pro", "ultra")
 LIMITS = (
-    ("free", "case", 1, True, False), ("free", "chat", 10, True, False), ("free", "deep", 3, True, False), ("free", "editor", 1, True, False),
-    ("basic", "case", 500, False, False), ("basic", "chat", 100, False, False), ("basic", "deep", 5, False, False), ("basic", "editor", 5, False, False),
-    ("pro", "case", 500, False, False), ("pro", "chat", 60, False, True), ("pro", "deep", 50, False, False), ("pro", "editor", -1, False, False),
-    ("ultra", "case", -1, False, False), ("ultra", "chat", 30, False, True), ("ultra", "deep", 100, False, False), ("ultra", "editor", -1, False, False),
+    ("free", "case", 1, True, False), ("free", "chat", 20, True, False), ("free", "full", 5, True, False), ("free", "deep", 2, True, False),
+    ("basic", "case", 10, False, False), ("basic", "chat", 200, False, False), ("basic", "full", 15, False, False), ("basic", "deep", 5, False, False),
+    ("pro", "case", 30, False, False), ("pro", "chat", 500, False, True), ("pro", "full", 50, False, False), ("pro", "deep", 12, False, False),
+    ("ultra", "case", 100, False, False), ("ultra", "chat", 800, False, True), ("ultra", "full", 100, False, False), ("ultra", "deep", 25, False, False),
 )
 THROTTLE_SECONDS = 30
 # Dollars for a million tokens in and out, by mode.

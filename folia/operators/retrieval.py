@@ -10,7 +10,7 @@ from folia.sources.tables import NOW, moment
 # Weights of the two candidate lists, boosts by age, and how much is fetched for k results.
 VECTOR_WEIGHT, TEXT_WEIGHT, FLOOR = 0.7, 0.3, 0.001
 RECENT = ((30.0, 0.1), (90.0, 0.05))
-RECENCY_WORDS = ("último", "ultimo", "reciente", "nuevo", "nueva", "hoy", "ayer", "semana", "mes")
+RECENCY_WORDS = ("último", "última", "actual", "vigente", "reciente", "estado", "hoy", "pendiente", "próximo", "vence")
 
 
 def over_fetch(k: int) -> int:
@@ -72,13 +72,19 @@ def recency_boost(score: Column, created: str) -> Column:
     return F.round(score + F.when(age < RECENT[0][0], RECENT[0][1]).when(age < RECENT[1][0], RECENT[1][1]).otherwise(0.0), 6)
 
 
-def asks_for_recent(query: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, RECENCY_WORDS)), lambda w: F.contains(F.lower(query), w))
+def asks_for_recent(question: str) -> bool:
+    return any(w in question.lower() for w in RECENCY_WORDS)
 
 
-def hybrid(vectors: DataFrame, docs: DataFrame, created: DataFrame, query: list[float], terms: list[str], k: int, label: int | None = None) -> DataFrame:
-    """(id, score): fused and boosted, the best k.  ``created`` has (id, created_at)."""
+def hybrid(vectors: DataFrame, docs: DataFrame, created: DataFrame, query: list[float], terms: list[str], k: int, label: int | None = None, question: str = "") -> DataFrame:
+    """(id, score): fused, boosted by age where the question asks for recent documents, the best k.
+
+    ``created`` has (id, created_at); a candidate without a date gets no boost.
+    """
     n = over_fetch(k)
     found = fuse(vector_search(vectors, query, n, label).withColumnRenamed("vec_id", "id"), text_search(docs, terms, n).withColumnRenamed("doc_id", "id"))
-    aged = created.join(F.broadcast(found), "id")  # 2 n rows at most
-    return aged.select("id", recency_boost(F.col("score"), "created_at").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    if asks_for_recent(question):
+        few = F.broadcast(found.select(F.col("id").alias("of")))  # 2 n rows at most
+        dated = created.join(few, F.col("id") == F.col("of"), "left_semi")
+        found = found.join(F.broadcast(dated), "id", "left").select("id", recency_boost(F.col("score"), "created_at").alias("score"))
+    return found.orderBy(F.desc("score"), "id").limit(k)

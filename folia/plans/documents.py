@@ -69,7 +69,7 @@ def nrm9(s, d):
 
 @register("nrm10_encoding_repairs")
 def nrm10(s, d):
-    return table(s, d, "documents").select("doc_id", normalise.occurrences(F.col("text"), normalise.FLOATING_ACCENT).alias("accents"), F.md5(normalise.repaired(F.col("text"))).alias("repaired"))
+    return table(s, d, "documents").select("doc_id", normalise.occurrences(F.col("text"), normalise.FLOATING_ACCENT).alias("accents"), normalise.repairs(F.col("text")).alias("r")).select("doc_id", "accents", F.md5("r.text").alias("repaired"), F.col("r.fixes").alias("fixes"))
 
 
 @register("nrm11_whitespace_collapse", r"""
@@ -127,12 +127,12 @@ def sec4(s, d):
 
 
 @register("sec5_intervals_between_lines", """
-SELECT doc_id, k, start, lead(start, 1, n + 1) OVER (PARTITION BY doc_id ORDER BY start) AS stop FROM (SELECT doc_id, k, length(text) AS n, CAST(1 + coalesce(list_sum(list_transform(p[1:k - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start FROM (SELECT doc_id, text, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents WHERE n_chars < 5000)))""")
+SELECT doc_id, k, start, lead(start, 1, n + 1) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM (SELECT doc_id, k, n, CAST(1 + coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT doc_id, length(text) AS n, unnest(p) AS line, unnest(range(1, len(p) + 1)) AS k FROM (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents)))""")
 def sec5(s, d):
     from pyspark.sql import Window
 
     p = F.split("text", "\n")
-    rows = table(s, d, "documents").where("n_chars < 5000").select("doc_id", F.length("text").alias("n"), F.posexplode(p).alias("k", "line"))
+    rows = table(s, d, "documents").select("doc_id", F.length("text").alias("n"), F.posexplode(p).alias("k", "line"))
     w = Window.partitionBy("doc_id").orderBy("k")
     start = 1 + F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.select("doc_id", (F.col("k") + 1).cast(L).alias("k"), "n", start.alias("start"))
@@ -149,10 +149,10 @@ def sec6(s, d):
 
 
 @register("sec7_structure_classifier", """
-SELECT user_id, CASE WHEN bool_or(event_type = 'signup') AND bool_or(event_type = 'purchase') THEN 'judgment' WHEN bool_or(event_type = 'error') THEN 'hearing' WHEN bool_or(event_type = 'click') THEN 'pleading' ELSE 'undetermined' END AS kind FROM events WHERE event_id % 3 = 0 GROUP BY user_id""")
+SELECT user_id, CASE WHEN bool_or(event_type = 'signup') AND bool_or(event_type = 'purchase') THEN 'judgment' WHEN bool_or(event_type = 'error') THEN 'hearing' WHEN bool_or(event_type = 'click') THEN 'pleading' ELSE 'undetermined' END AS kind FROM events GROUP BY user_id""")
 def sec7(s, d):
     has = lambda t: F.bool_or(F.col("event_type") == t)
-    return table(s, d, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.when(has("signup") & has("purchase"), "judgment").when(has("error"), "hearing").when(has("click"), "pleading").otherwise("undetermined").alias("kind"))
+    return table(s, d, "events").groupBy("user_id").agg(F.when(has("signup") & has("purchase"), "judgment").when(has("error"), "hearing").when(has("click"), "pleading").otherwise("undetermined").alias("kind"))
 
 
 @register("sec8_procedure_classifier", """
@@ -201,12 +201,12 @@ def chk9(s, d):
 
 
 @register("emb1_embedding_input", """
-SELECT d.doc_id, '[' || concat_ws(' | ', lang, CASE WHEN l.quality = 1 THEN source END, CASE WHEN d.doc_id % 7 <> 0 THEN 'Folio ' || (d.doc_id % 7) ELSE 'Folio ' || n_chars END) || '] ' || substring(text, 1, 40) AS input FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+SELECT d.doc_id, '[' || concat_ws(' | ', lang, CASE WHEN l.quality = 1 THEN source END, CASE WHEN d.doc_id % 7 <> 0 THEN 'Folio ' || (d.doc_id % 7) ELSE 'Folio ' || n_chars END) || '] ' || text AS input FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def emb1(s, d):
     folio = F.coalesce(F.nullif(F.col("doc_id") % 7, F.lit(0)), F.col("n_chars"))
     rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left")
     head = F.concat_ws(" | ", "lang", F.when(F.col("quality") == 1, F.col("source")), F.concat(F.lit("Folio "), folio.cast("string")))
-    return rows.select("doc_id", F.concat(F.lit("["), head, F.lit("] "), F.substring("text", 1, 40)).alias("input"))
+    return rows.select("doc_id", F.concat(F.lit("["), head, F.lit("] "), "text").alias("input"))
 
 
 @register("emb2_citation_label", "SELECT o_orderkey, concat_ws(', ', o_orderpriority, CASE WHEN o_custkey % 2 = 0 THEN 'Cuaderno ' || (o_custkey % 5) END, strftime(o_orderdate, '%d/%m/%Y')) AS label FROM orders")
@@ -233,16 +233,81 @@ def htm13(s, d):
     return table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="/([A-Za-z]+)"'), F.lit(1))).alias("token")).where("length(token) > 8")
 
 
+# The driver's pages have no tables, so each query makes a page of the kind around a page's own fields: a row that counts
+# in its tab, the same row outside of any tab, and in the tab a row that lacks what the kind needs.
+TOKEN = "'kkkkkkkkkkkkkkkkkkkk' || page_id"
+DOC = ' <form action="/x/{}?y"><input type="text" name="z" value="{}"><input type="hidden" name="dta" value="{}"></form>'
+KINDS = {
+    "folio_history": ("historiaCiv", "n d a 3 4 5 6 7", "docuS.php", "anexoSolicitudCivil", f"CAST(page_id AS INT) AS folio, 'c3 ' || url AS stage, 'c4 ' || url AS procedure, 'c5 ' || url AS description, 'c6 ' || url AS date, 0 AS page, {TOKEN} AS document_token, NULL AS certificate_token, {TOKEN} AS annex_token, true AS has_document, false AS has_certificate, true AS has_annex"),
+    "litigants": ("litigantesCiv", "0 1 2 3", "", "", "'c0 ' || url AS participant, 'c1 ' || url AS rut, 'c2 ' || url AS person, 'c3 ' || url AS name"),
+    "notifications": ("notificacionesCiv", "0 1 2 3 4 5 6 7", "", "", "'c0 ' || url AS rol, 'c1 ' || url AS state, 'c2 ' || url AS type, 'c3 ' || url AS date, 'c4 ' || url AS participant_type, 'c5 ' || url AS name, 'c6 ' || url AS procedure, 'c7 ' || url AS failure"),
+    "pending_filings": ("escritosCiv", "d a 2 3 4", "docuN.php", "any", f"'c2 ' || url AS date, 'c3 ' || url AS type, 'c4 ' || url AS applicant, {TOKEN} AS document_token, true AS has_document, true AS has_annex"),
+    "letters_rogatory": ("exhortosCiv", "0 1 a 3 4 5 6", "", "detalleExhortosCivil", f"'c0 ' || url AS origin, 'c1 ' || url AS type, 'see' AS destination, 'c3 ' || url AS ordered, 'c4 ' || url AS entered, 'c5 ' || url AS court, 'c6 ' || url AS state, {TOKEN} AS detail_token, true AS has_detail"),
+    "rogatory_pieces": ("piezasExhortoCiv", "n d 2 a 4 5 6 7 n", "docuS.php", "any", f"CAST(page_id AS INT) AS folio, 'c2 ' || url AS book, 'c4 ' || url AS stage, 'c5 ' || url AS procedure, 'c6 ' || url AS description, 'c7 ' || url AS date, CAST(page_id AS INT) AS page, {TOKEN} AS document_token, true AS has_document, true AS has_annex"),
+    "annexes": ("any", "d 1 2", "anexoDocCivil.php", "", f"'c1 ' || url AS date, 'c2 ' || url AS reference, {TOKEN} AS document_token, true AS has_document"),
+    "rogatory_documents": ("any", "d 1 2 3", "docDetalleExhorto.php", "", f"'c1 ' || url AS date, 'c2 ' || url AS reference, 'c3 ' || url AS procedure, {TOKEN} AS document_token, true AS has_document"),
+    "bailiff_withdrawals": ("any", "0 1 2 3", "", "", "'c0 ' || url AS book, 'c1 ' || url AS data, 'c2 ' || url AS date, 'c3 ' || url AS state"),
+    "appeal_movements": ("movimientosApe", "n d a 3 s 5 6 7", "docCausaApelaciones.php", "anexoEscritoApelaciones", f"CAST(page_id AS INT) AS folio, 'c3 ' || url AS procedure, 'span ' || page_id AS description, 'title ' || page_id AS nomenclatures, 'c5 ' || url AS date, 'c6 ' || url AS room, 'c7 ' || url AS state, {TOKEN} AS document_token, NULL AS certificate_token, {TOKEN} AS annex_token, true AS has_document, false AS has_certificate, true AS has_annex"),
+    "appeal_annexes": ("any", "d 1 2 3 4", "anexoDocEscritoApelaciones.php", "", f"'c1 ' || url AS code, 'c2 ' || url AS type, 'c3 ' || url AS quantity, 'c4 ' || url AS remark, {TOKEN} AS document_token, true AS has_document"),
+    "appeal_litigants": ("litigantesApe", "0 1 2 3", "", "", "'c0 ' || url AS subject, 'c1 ' || url AS rut, 'c2 ' || url AS person, 'c3 ' || url AS name"),
+}
+
+
+def _made(pages, tab, cells, action, called, rest=""):
+    """``pages`` with the html of a table of one row around url and page_id, and its two other rows."""
+    def page(row, kind):
+        whole = f'<div id="{tab}"><table class="t"><thead><tr><th>head</th></tr></thead><tbody>{row}<tr>{kind}</tr></tbody></table></div>'
+        return whole + (f"<div><table><tbody>{row}</tbody></table></div>" if tab != "any" else "")
+
+    forms = {"n": "@ID@ ", "d": DOC.format(action, "k" * 30, "k" * 20 + "@ID@") + "<a>d</a>", "a": f"""<a onclick="{called}( 'kkkkkkkkkkkkkkkkkkkk@ID@' )">see</a>""", "s": '<b>x</b><span title=" title @ID@ ">span @ID@</span>'}
+    row = "<tr>" + "".join(f"<td>{forms.get(c) or f'c{c}  @URL@&nbsp;'}</td>" for c in cells.split()) + "</tr>"
+    short = DOC.format(action, "", "k" * 20) if action else ""
+    text = page(row, f"<td>{short}</td>" + "<td></td>" * (len(cells.split()) - 1)) + rest
+    return pages.select("page_id", F.replace(F.replace(F.lit(text), F.lit("@ID@"), F.col("page_id").cast("string")), F.lit("@URL@"), F.col("url")).alias("html"))
+
+
 def _tables(name):
+    tab, cells, action, called, _ = KINDS[name]
+
     def query(s, d):
-        return html.extract(table(s, d, "pages"), name)
+        return html.extract(_made(table(s, d, "pages"), tab, cells, action, called), name).drop("table_no", "row_no")
 
     query.__doc__ = f"The table '{name}' of each page's HTML, by its declared columns."
     return query
 
 
-for _number, _name in enumerate(html.TABLES, 2):
-    register(f"htm{_number}_{_name}")(_tables(_name))
+for _number, _name in enumerate(KINDS, 2):
+    register(f"htm{_number if _number < 13 else 11}_{_name}", f"SELECT page_id, {KINDS[_name][4]} FROM pages")(_tables(_name))
+
+APPEAL = """<form action="newebookapelaciones.php"><input name="dtaEbook" value="eeeeeeeeeeeeeeeeeeee@ID@"></form>
+<table class="table table-titulos"><tbody><tr><td>Libro : Civil - @ID@</td><td>Fecha: 01/02/2024</td><td>Estado Recurso: Fallado</td></tr><tr><td>Estado Procesal: En tabla</td><td>Ubicación: Relator</td><td>Recurso: Apelación @ID@</td></tr><tr><td>Corte: C.A. de @URL@</td></tr></tbody></table>
+<table class="table-titulos"><tbody><tr><td><form action="docCertificado.php"><input name="dtaCert" value="cccccccccccccccccccc@ID@"></form></td><td><form action="docTexto.php"><input type="hidden" name="t" value="tttttttttttttttttttt@ID@"></form></td><td><a onclick="anexo('eyJa@ID@.b.c')">x</a></td></tr></tbody></table>
+<div id="ExhortosApe"><table><tbody><tr><td>1</td><td>letter @ID@</td></tr><tr><td></td><td></td></tr></tbody></table></div>
+<div id="expedienteApe"><table class="table-titulos"><tbody><tr><td>Causa Origen: C - @ID@ - 2024</td><td>Tribunal: 1º Civil</td></tr><tr><td>Caratulado: A / B</td><td>Materia: Cobro</td><td>Ruc: 24-@ID@</td><td>Fecha Ingreso: 03/04/2024</td></tr></tbody></table></div>"""
+
+
+def _appeals(s, d):
+    return _made(table(s, d, "pages"), "any", "0", "", "", APPEAL)
+
+
+@register("htm11_appeal_metadata", "SELECT page_id, 'Civil - ' || page_id AS book, '01/02/2024' AS date, 'Fallado' AS appeal_state, 'En tabla' AS procedural_state, 'Relator' AS place, 'Apelación ' || page_id AS appeal, 'C.A. de ' || url AS court FROM pages")
+def htm11_metadata(s, d):
+    return html.appeal_metadata(_appeals(s, d))
+
+
+@register("htm11_appeal_documents", "SELECT page_id, 'eeeeeeeeeeeeeeeeeeee' || page_id AS ebook_token, 'cccccccccccccccccccc' || page_id AS certificate_token, 'tttttttttttttttttttt' || page_id AS text_token, 'eyJa' || page_id || '.b.c' AS annex_token FROM pages")
+def htm11_documents(s, d):
+    return html.appeal_documents(_appeals(s, d))
+
+
+@register("htm11_appeal_letters", "SELECT page_id, 'letter ' || page_id AS entry FROM pages")
+def htm11_letters(s, d):
+    return html.appeal_list(_appeals(s, d), "appeal_letters_rogatory")
+
+
+@register("htm11_appeal_origin", "SELECT page_id, 'C-' || page_id || '-2024' AS origin, '1º Civil' AS court, 'A / B' AS caption, 'Cobro' AS matter, '24-' || page_id AS ruc, '03/04/2024' AS entered FROM pages")
+def htm11_origin(s, d):
+    return html.appeal_origin(_appeals(s, d))
 
 
 @register("sel1_best_table_score", r"""

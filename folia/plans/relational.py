@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folia.catalog import register
 from folia.functions.folds import admitted, greedy_within
 from folia.operators.upserts import batches, duplicates, fill_in, insert_new, latest, upsert
+from folia.operators.ranks import numbered
 from folia.sources.tables import extracted, first_complete, moment, now, optional, scoped, table
 
 L, D = "long", "double"
@@ -233,11 +234,13 @@ def jon11(s, d):
 
 
 @register("jon12_name_contains_first_match", """
-SELECT p_partkey, min(b) AS brand FROM part JOIN (SELECT DISTINCT p_brand AS b, split_part(p_type, ' ', 1) AS w FROM part WHERE p_partkey <= 50) ON contains(p_type, w) GROUP BY p_partkey""")
+SELECT p_partkey, min(b) AS brand FROM part JOIN (SELECT DISTINCT p_brand AS b, split_part(p_type, ' ', 1) AS w FROM part) ON contains(p_type, w) GROUP BY p_partkey""")
 def jon12(s, d):
     part = table(s, d, "part")
-    few = part.where("p_partkey <= 50").select(F.col("p_brand").alias("b"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("w")).distinct()
-    return part.join(F.broadcast(few), F.contains("p_type", F.col("w"))).groupBy("p_partkey").agg(F.min("b").alias("brand"))  # 50 rows at most are broadcast
+    words = part.groupBy(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("w")).agg(F.min("p_brand").alias("b"))
+    types = part.select("p_type").distinct()  # the words and types are few, whatever the number of parts
+    brands = types.join(words, F.contains("p_type", F.col("w"))).groupBy("p_type").agg(F.min("b").alias("brand"))
+    return part.join(brands, "p_type").select("p_partkey", "brand")
 
 
 @register("jon13_regex_key_lookup", r"""
@@ -252,7 +255,7 @@ def jon13(s, d):
 SELECT conv_id, turn, i AS cited, item_id FROM (SELECT conv_id, turn, unnest([turn % 40, length(text) % 40]) AS i FROM conversations) JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM benchmark) ON i = pos WHERE item_id % 4 <> 0""")
 def jon14(s, d):
     cited = table(s, d, "conversations").select("conv_id", "turn", F.explode(F.array(F.col("turn") % 40, (F.length("text") % 40).cast(L))).alias("cited"))
-    context = table(s, d, "benchmark").select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast(L).alias("cited"))  # the context of one answer
+    context = numbered(table(s, d, "benchmark"), "n", "item_id").select("item_id", (F.col("n") - 1).alias("cited"))
     return cited.join(context, "cited").where("item_id % 4 <> 0").select("conv_id", "turn", "cited", "item_id")
 
 
@@ -266,12 +269,19 @@ def jon15(s, d):
 
 
 @register("jon17_tolerant_match", """
-SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END AS t FROM customer WHERE c_custkey <= 300) JOIN (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE ' building ' END AS u FROM supplier) ON c_nationkey = s_nationkey AND (t IS NULL OR u IS NULL OR lower(trim(t)) = lower(trim(u)))""")
+SELECT c_custkey, count(s_suppkey) AS matches, min(s_suppkey) AS first_match FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END AS t FROM customer) LEFT JOIN (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE ' building ' END AS u FROM supplier) ON c_nationkey = s_nationkey AND (t IS NULL OR u IS NULL OR lower(trim(t)) = lower(trim(u))) GROUP BY c_custkey""")
 def jon17(s, d):
-    a = table(s, d, "customer").where("c_custkey <= 300").select("c_custkey", F.col("c_nationkey").alias("k"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("t"))
-    b = table(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), F.when(F.col("s_suppkey") % 3 != 0, F.lit(" building ")).alias("u"))
-    same = F.col("t").isNull() | F.col("u").isNull() | (F.lower(F.trim("t")) == F.lower(F.trim("u")))
-    return a.join(b, "k").where(same).select("c_custkey", "s_suppkey")
+    """How many suppliers each customer matches, a missing name on either side matching any: suppliers meet as counts by name."""
+    name = lambda c: F.lower(F.trim(c))
+    a = table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), name(F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment"))).alias("t"))
+    b = table(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), name(F.when(F.col("s_suppkey") % 3 != 0, F.lit(" building "))).alias("u"))
+    all_, some, named = (F.count("*"), F.count_if(F.col("u").isNull()), F.min(F.when(F.col("u").isNull(), F.col("s_suppkey"))))
+    by_nation = b.groupBy("k").agg(all_.alias("n"), F.min("s_suppkey").alias("least"), some.alias("n0"), named.alias("least0"))
+    by_name = b.where("u IS NOT NULL").groupBy("k", F.col("u").alias("t")).agg(F.count("*").alias("n1"), F.min("s_suppkey").alias("least1"))
+    rows = a.join(by_nation, "k", "left").join(by_name, ["k", "t"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    matches = F.when(F.col("t").isNull(), zero("n")).otherwise(zero("n0") + zero("n1"))
+    return rows.select("c_custkey", matches.cast(L).alias("matches"), F.when(F.col("t").isNull(), F.col("least")).otherwise(F.least("least0", "least1")).alias("first_match"))
 
 
 @register("agg1_status_counts", """
@@ -462,7 +472,7 @@ def set3(s, d):
     for prio, (kind, rows) in enumerate(parts):
         rows = rows.select(F.lit(prio).alias("prio"), F.lit(kind).alias("kind"), "id")
         whole = rows if whole is None else whole.unionByName(rows)
-    return whole.select(F.row_number().over(Window.orderBy("prio", "id")).cast(L).alias("ctx_pos"), "kind", "id")  # one answer's context
+    return numbered(whole, "ctx_pos", "id", "prio").select("ctx_pos", "kind", "id")
 
 
 @register("set4_distinct_insertion", "SELECT DISTINCT source, lang FROM documents")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folia.catalog import register
 from folia.functions import fulltext, selection
 from folia.operators import metering, retrieval, snapshot
+from folia.operators.ranks import numbered
 from folia.operators.upserts import latest
 from folia.sources.tables import table
 
@@ -61,7 +62,7 @@ def jon6(s, d):
     return a.join(table(s, d, "embeddings").withColumnRenamed("vec_id", "id"), "id", "full").select("id", "quality", "label")
 
 
-AGED = """SELECT id, round(score + CASE WHEN age < 30 THEN 0.1 WHEN age < 90 THEN 0.05 ELSE 0 END, 6) AS score FROM (SELECT id, score, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 86400000000.0 AS age FROM f JOIN events ON id = event_id)"""
+AGED = """SELECT id, round(score + CASE WHEN age < 30 THEN 0.1 WHEN age < 90 THEN 0.05 ELSE 0 END, 6) AS score FROM (SELECT id, score, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 86400000000.0 AS age FROM f LEFT JOIN events ON id = event_id)"""
 
 
 @register("ret5_recency_boost", FUSED + AGED + " ORDER BY score DESC, id LIMIT 10")
@@ -69,7 +70,15 @@ def ret5(s, d):
     """The flagship: both searches, fusion, boost and the best ten."""
     vectors = table(s, d, "embeddings")
     created = table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
-    return retrieval.hybrid(vectors, table(s, d, "documents"), created, retrieval.query_vector(vectors, 0), TERMS, 10, 2)
+    return retrieval.hybrid(vectors, table(s, d, "documents"), created, retrieval.query_vector(vectors, 0), TERMS, 10, 2, "¿Cuál es el estado actual de la causa?")
+
+
+@register("ret5_no_boost_unless_asked", FUSED + "SELECT id, score FROM f ORDER BY score DESC, id LIMIT 10")
+def ret5_plain(s, d):
+    """The same for a question that doesn't ask for recent documents: no boost."""
+    vectors = table(s, d, "embeddings")
+    created = table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return retrieval.hybrid(vectors, table(s, d, "documents"), created, retrieval.query_vector(vectors, 0), TERMS, 10, 2, "¿Quién es el demandante?")
 
 
 @register("ret6_query_origins", """
@@ -88,8 +97,11 @@ def ret7(s, d):
 
 @register("ret8_document_selection")
 def ret8(s, d):
-    docs = table(s, d, "documents").select(F.col("source").alias("case_id"), "doc_id", F.col("lang").alias("document_type"), F.col("doc_id").alias("created_at"), "text")
-    return selection.select(docs, ["es", "fr"], ["de"], budget=5_000)
+    """What a sumario case's question of deadlines gets of each source's documents; types are by the document's number."""
+    kinds = F.array(*map(F.lit, ("demanda", "resolucion", "escrito", "acta de audiencia", "anexo_causa", "otro")))
+    kind = F.get(kinds, F.pmod("doc_id", F.lit(6)).cast("int"))
+    docs = table(s, d, "documents").select(F.col("source").alias("case_id"), "doc_id", kind.alias("document_type"), F.col("doc_id").alias("created_at"), "text")
+    return selection.select(docs, ["anexo_causa"], "sumario", 5_000, ["escrito"])
 
 
 @register("ret9_inventory_text", """
@@ -121,7 +133,7 @@ def ret12(s, d):
     key = table(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
     rag = table(s, d, "embeddings").where("label = 2").select(F.col("vec_id").alias("id")).join(key, "id", "left_anti")
     both = key.select(F.lit(0).alias("prio"), "id").unionByName(rag.select(F.lit(1).alias("prio"), "id"))
-    return both.select(F.row_number().over(Window.orderBy("prio", "id")).cast(L).alias("ctx_pos"), "id")  # one answer's context
+    return numbered(both, "ctx_pos", "id", "prio").select("ctx_pos", "id")
 
 
 @register("ret13_mode_routing", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'der') THEN 'deadline' WHEN contains(lower(text), 'le ') THEN 'updates' WHEN turn > 3 THEN 'web' ELSE 'plain' END AS mode FROM conversations")
@@ -130,9 +142,9 @@ def ret13(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.when(has("der"), "deadline").when(has("le "), "updates").when(F.col("turn") > 3, "web").otherwise("plain").alias("mode"))
 
 
-@register("ret14_prompt_assembly", "SELECT conv_id, turn, concat_ws(chr(10), 'Rol: ' || role, nullif(trim(substring(text, 1, 20)), ''), CASE WHEN turn > 0 THEN 'Turno ' || turn END) AS prompt FROM conversations")
+@register("ret14_prompt_assembly", "SELECT conv_id, turn, concat_ws(chr(10), 'Rol: ' || role, nullif(trim(text), ''), CASE WHEN turn > 0 THEN 'Turno ' || turn END) AS prompt FROM conversations")
 def ret14(s, d):
-    parts = (F.concat(F.lit("Rol: "), "role"), F.nullif(F.trim(F.substring("text", 1, 20)), F.lit("")), F.when(F.col("turn") > 0, F.concat(F.lit("Turno "), F.col("turn").cast("string"))))
+    parts = (F.concat(F.lit("Rol: "), "role"), F.nullif(F.trim("text"), F.lit("")), F.when(F.col("turn") > 0, F.concat(F.lit("Turno "), F.col("turn").cast("string"))))
     return table(s, d, "conversations").select("conv_id", "turn", F.concat_ws("\n", *parts).alias("prompt"))
 
 
@@ -142,9 +154,9 @@ def ret15(s, d):
     return table(s, d, "customer").select("c_custkey", F.explode(F.when(F.col("c_mktsegment") == "BUILDING", F.concat(common, F.array(F.lit("defence")))).otherwise(common)).alias("action"))
 
 
-@register("ret16_citation_mapping", "SELECT o_orderkey, l_linenumber AS position, l_partkey AS cited FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 2 AND l_partkey IS NOT NULL")
+@register("ret16_citation_mapping", "SELECT o_orderkey, l_linenumber AS position, l_partkey AS cited FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey IS NOT NULL")
 def ret16(s, d):
-    lines = table(s, d, "lineitem").where("l_linenumber <= 2 and l_partkey is not null").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("cited"))
+    lines = table(s, d, "lineitem").where("l_partkey is not null").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("cited"))
     return table(s, d, "orders").select("o_orderkey").join(lines, "o_orderkey")
 
 
@@ -259,13 +271,16 @@ def dup8(s, d):
     return table(s, d, "orders").select("o_orderkey", F.regexp_extract(rol, r"^C-(\d+)-(\d{4})$", 2).cast("int").alias("year")).where("year between 1990 and 2030")
 
 
-USAGE = "SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'basic' WHEN 2 THEN 'pro' ELSE 'ultra' END AS plan, CASE event_type WHEN 'signup' THEN 'case' WHEN 'click' THEN 'chat' WHEN 'error' THEN 'deep' ELSE 'editor' END AS action, count(*) AS lifetime_n, count(*) FILTER (ts >= TIMESTAMP '2024-01-15 00:00:00') AS monthly_n FROM events GROUP BY 1, 2, 3"
-LIMIT_ROWS = ", ".join(f"('{p}', '{a}', {n}, {str(life).lower()}, {str(soft).lower()})" for p, a, n, life, soft in metering.LIMITS)
+USAGE = "SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'basic' WHEN 2 THEN 'pro' ELSE 'ultra' END AS plan, CASE event_type WHEN 'signup' THEN 'case' WHEN 'click' THEN 'chat' WHEN 'error' THEN 'deep' ELSE 'full' END AS action, count(*) AS lifetime_n, count(*) FILTER (ts >= TIMESTAMP '2024-01-15 00:00:00') AS monthly_n FROM events GROUP BY 1, 2, 3"
+LIMIT_ROWS = """('free', 'case', 1, true, false), ('free', 'chat', 20, true, false), ('free', 'full', 5, true, false), ('free', 'deep', 2, true, false),
+('basic', 'case', 10, false, false), ('basic', 'chat', 200, false, false), ('basic', 'full', 15, false, false), ('basic', 'deep', 5, false, false),
+('pro', 'case', 30, false, false), ('pro', 'chat', 500, false, true), ('pro', 'full', 50, false, false), ('pro', 'deep', 12, false, false),
+('ultra', 'case', 100, false, false), ('ultra', 'chat', 800, false, true), ('ultra', 'full', 100, false, false), ('ultra', 'deep', 25, false, false)"""
 
 
 def _usage(s, d):
     plan = F.element_at(F.array(*map(F.lit, metering.PLANS)), (F.col("user_id") % 4 + 1).cast("int"))
-    action = F.when(F.col("event_type") == "signup", "case").when(F.col("event_type") == "click", "chat").when(F.col("event_type") == "error", "deep").otherwise("editor")
+    action = F.when(F.col("event_type") == "signup", "case").when(F.col("event_type") == "click", "chat").when(F.col("event_type") == "error", "deep").otherwise("full")
     recent = F.count_if(F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
     return table(s, d, "events").groupBy("user_id", plan.alias("plan"), action.alias("action")).agg(F.count("*").alias("lifetime_n"), recent.alias("monthly_n"))
 

@@ -7,9 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folia.functions import chunking, fulltext, html, normalise, sections, selection
+from folia.functions import chunking, fulltext, html, normalise, rules, sections, selection
 from folia.functions.folds import admitted, apart, greedy_within
 from folia.operators import snapshot
+from folia.operators.ranks import numbered
 from folia.streaming.queue import MOST_ATTEMPTS, machine, retry_after
 
 JUDGMENT = "Vistos: la demanda. PRIMERO: Que consta. SEGUNDO: Que no consta. Por ello se resuelve: Que se acoge. Regístrese y archívese."
@@ -77,13 +78,23 @@ def test_chunk_table(spark):
 
 
 def test_html_tables(spark):
-    page = "<table><tr><th>Folio</th></tr><tr>" + "".join(f"<td>{x}</td>" for x in ("12", "d", "", "s", "t", "x  y​", "01/02/2024", "3")) + "</tr><tr><td>n</td></tr></table>"
-    df = spark.createDataFrame([(1, page), (2, "<p>none</p>"), (3, None)], "page_id long, html string")
+    cells = "".join(f"<td>{x}</td>" for x in ("12 bis", "d", "", "s", "t", "x  y​", "01/02/2024", "n"))
+    page = f"<div id=historiaCiv><table><thead><tr><th>Folio</th></tr></thead><tbody><tr>{cells}</tr><tr><td>n</td></tr></tbody></table></div><table><tbody><tr>{cells}</tr></tbody></table>"
+    df = spark.createDataFrame([(1, page), (2, "<p>none</p>"), (3, None), (4, page.replace("tbody", "tfoot")), (5, page.replace("historiaCiv", "x"))], "page_id long, html string")
     rows = html.extract(df, "folio_history").collect()
-    assert [(r["page_id"], r["folio"], r["description"]) for r in rows] == [(1, "12", "x y")]
-    token = "k" * 21
-    page = f"<table><tr><td><form><input value='{token}'></form></td><td>1/1/24</td><td>ref</td></tr><tr><td><input value='{'k' * 20}'></td><td>a</td><td>b</td></tr></table>"
-    assert [r["reference"] for r in html.extract(spark.createDataFrame([(1, page)], "page_id long, html string"), "annexes").collect()] == ["ref"]
+    assert [(r["page_id"], r["folio"], r["description"], r["page"], r["has_document"]) for r in rows] == [(1, 12, "x y", 0, False)]
+    form = "<td><form action='/a/docuS.php?x'><input name='z' value='{}'><input type='hidden' value='{}'></form></td>"
+    page = "<table><tbody>" + "".join(f"<tr>{form.format('z' * 30, 'k' * n)}<td>1/1/24</td><td>ref{n}</td></tr>" for n in (20, 21)) + "<tr>" + form.format("", "k" * 30).replace("docuS", "other") + "<td>a</td><td>b</td></tr></tbody></table>"
+    assert [(r["reference"], r["document_token"]) for r in html.extract(spark.createDataFrame([(1, page)], "page_id long, html string"), "annexes").collect()] == [("ref21", "k" * 21)]
+
+
+def test_tables_of_other_kinds_stay_out(spark):
+    row = "<tr>" + "".join(f"<td>v{k}</td>" for k in range(8)) + "</tr>"
+    page = "".join(f"<div id={tab}><table><tbody>{row}</tbody></table></div>" for tab in ("litigantesCiv", "notificacionesCiv", "exhortosCiv"))
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert [html.extract(df, k).count() for k in ("litigants", "notifications", "letters_rogatory", "pending_filings", "bailiff_withdrawals")] == [1, 1, 1, 0, 3]
+    found = html.extract(df, "notifications").first()
+    assert (found["participant_type"], found["procedure"], found["failure"]) == ("v4", "v6", "v7")
 
 
 def test_cover_density_prefers_close_terms():
@@ -98,7 +109,46 @@ def test_stemmer_keeps_short_words():
 def test_selection_phases():
     docs = [{"doc_id": i, "document_type": t, "created_at": i, "n": n} for i, (t, n) in enumerate([("a", 400), ("b", 4000), ("c", 40), ("b", 80)])]
     taken = selection.choose(docs, ["a"], ["c"], budget=200)
-    assert [(p, x["doc_id"]) for _, p, x in taken] == [("priority", 0), ("essential", 2), ("recent", 3)]
+    assert [(p, x["doc_id"]) for _, p, x in taken] == [("priority", 0), ("essential", 2), ("fill", 3)]
+
+
+def test_selection_of_changes_and_deadlines():
+    def docs():
+        kinds = ("folio", "Resolución", "anexo", "Auto de prueba", "sentencia", "mandamiento", "x", "x")
+        return [{"doc_id": i, "document_type": t, "origin": "exhorto" if i == 6 else None, "procedure": "decreto" if i == 7 else None, "created_at": i, "n": 40} for i, t in enumerate(kinds)]
+
+    names = lambda **k: [(p, x["doc_id"]) for _, p, x in selection.choose(docs(), ["anexo"], ["mandamiento"], **k)]
+    assert names(changed=["exhorto"]) == [("changed", 6), ("priority", 2), ("essential", 5), ("recent", 7), ("recent", 4), ("recent", 3), ("recent", 1), ("fill", 0)]
+    assert names(deadline=True)[:5] == [("deadline", k) for k in (7, 5, 4, 3, 1)]
+    assert [p for _, p, _ in selection.choose(docs(), None, [])] == ["priority"] * 8
+
+
+@pytest.mark.parametrize("text, kind", [("DÉCIMO TERCERO: x", "considerando_n"), ("Décimo Primero: x", "considerando_n"), ("DÉCIMO PRIMERO: x", None), ("DÉCIMO OTRA: x", None), ("Se recibe la causa a prueba", "audiencia_prueba"), ("recibió la causa a prueba", None), ("llamado a conciliación", "audiencia_conciliacion"), ("se llamó a las partes", None), ("En Talca, a uno de mayo del año dos mil veinte, " + "x " * 300 + "me constituí", "receptor_diligencia"), ("En Talca, a uno de mayo de 2020, me constituí", None)])
+def test_markers_and_near_misses(text, kind):
+    found = [m[2] for m in sections.find(text)]
+    assert kind in found if kind else not {"audiencia_prueba", "audiencia_conciliacion", "receptor_diligencia"} & set(found) and "DÉCIMO" not in "".join(m[3] for m in sections.find(text))
+
+
+def test_repairs_leave_whole_words(spark):
+    text = "el último código, la presentaci n y C digo. Regístrese"
+    got = one(spark, normalise.repairs(F.col("text")), text=text)
+    assert (got["text"], got["fixes"]) == ("el último código, la presentación y Código. Regístrese", 2)
+    assert len(normalise.REPAIRS) == 106
+
+
+def test_citations_and_heads(spark):
+    none = F.lit(None)
+    label = rules.citation_label(none.cast("string"), F.lit("Resolución"), F.lit("2024-03-12"), F.lit(31), none.cast("int"), F.lit("Principal"), F.lit(5))
+    assert one(spark, label, x=1) == "Resolución, de fecha 12/03/2024, folio 31, cuaderno Principal, (pág. 5)"
+    text = rules.embedding_input(F.lit("Que"), F.lit("folio"), none.cast("string"), F.lit("considerando_n"), F.lit(6), F.lit(0.9), F.lit("sumario"), F.lit(31), none.cast("int"), F.lit("Principal"))
+    assert one(spark, text, x=1) == "[Folio | Considerando 6 | Sumario | Folio 31 | Principal] Que"
+
+
+def test_numbers_of_whole_tables(spark):
+    values = [(p, i) for p in (1, 0) for i in (5, 30_000, None, 12_000, -3)]
+    got = {(r["prio"], r["id"]): r["n"] for r in numbered(spark.createDataFrame(values, "prio int, id long"), "n", "id", "prio").collect()}
+    order = sorted(values, key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+    assert got == {v: k for k, v in enumerate(order, 1)}
 
 
 def rows(spark, values):
