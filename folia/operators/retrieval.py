@@ -48,6 +48,8 @@ def text_search(docs: DataFrame, terms: list[str], k: int) -> DataFrame:
     def times(term: str) -> Column:
         return F.size(F.filter("w", lambda x: x == term))
 
+    for t in terms:  # a text without a term's letters isn't split into words
+        docs = docs.where(F.contains(F.lower("text"), F.lit(t)))
     counted = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), *(times(t).alias(f"t{i}") for i, t in enumerate(terms)))
     hits = sum(F.col(f"t{i}") for i in range(len(terms)))
     every = F.array_min(F.array(*(F.col(f"t{i}") for i in range(len(terms))))) > 0
@@ -84,7 +86,7 @@ def hybrid(vectors: DataFrame, docs: DataFrame, created: DataFrame, query: list[
     n = over_fetch(k)
     found = fuse(vector_search(vectors, query, n, label).withColumnRenamed("vec_id", "id"), text_search(docs, terms, n).withColumnRenamed("doc_id", "id"))
     if asks_for_recent(question):
-        few = F.broadcast(found.select(F.col("id").alias("of")))  # 2 n rows at most
-        dated = created.join(few, F.col("id") == F.col("of"), "left_semi")
+        found = docs.sparkSession.createDataFrame(found.collect(), found.schema)  # 2 n rows at most, which two joins need
+        dated = created.join(F.broadcast(found.select(F.col("id").alias("of"))), F.col("id") == F.col("of"), "left_semi")
         found = found.join(F.broadcast(dated), "id", "left").select("id", recency_boost(F.col("score"), "created_at").alias("score"))
     return found.orderBy(F.desc("score"), "id").limit(k)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folia.catalog import register
 from folia.functions import chunking, html, normalise, sections
-from folia.sources.tables import cell, table
+from folia.sources.tables import cell, dealt, table
 
 L = "long"
 
@@ -98,13 +98,13 @@ def nrm15(s, d):
 
 @register("nrm_chain_whole_documents")
 def nrm_chain(s, d):
-    clean = normalise.normalised(F.col("text"))
-    return table(s, d, "documents").select("doc_id", F.md5(clean).alias("clean_md5"), normalise.statistics(F.col("text"), clean).alias("x")).select("doc_id", "clean_md5", "x.*")
+    rows = dealt(table(s, d, "documents"), "doc_id").select("doc_id", "text", normalise.normalised(F.col("text")).alias("clean"))
+    return rows.select("doc_id", F.md5("clean").alias("clean_md5"), normalise.statistics(F.col("text"), F.col("clean")).alias("x")).select("doc_id", "clean_md5", "x.*")
 
 
 @register("sec1_marker_catalogue")
 def sec1(s, d):
-    found = table(s, d, "documents").select("doc_id", F.explode(sections.markers("text")).alias("m"))
+    found = dealt(table(s, d, "documents"), "doc_id").select("doc_id", F.explode(sections.markers("text")).alias("m"))
     return found.select("doc_id", "m.*")
 
 
@@ -123,7 +123,7 @@ def sec3(s, d):
 
 @register("sec4_sections")
 def sec4(s, d):
-    return sections.detect(table(s, d, "documents"))
+    return sections.detect(dealt(table(s, d, "documents"), "doc_id"))
 
 
 @register("sec5_intervals_between_lines", """
@@ -175,7 +175,7 @@ def chk2(s, d):
 
 @register("chk5_semantic_chunks")
 def chk5(s, d):
-    return chunking.chunk(table(s, d, "documents")).select("doc_id", "chunk_index", "start_offset", "end_offset", "token_estimate", "overlap", F.md5("chunk_text").alias("chunk_md5"))
+    return chunking.chunk(dealt(table(s, d, "documents"), "doc_id")).select("doc_id", "chunk_index", "start_offset", "end_offset", "token_estimate", "overlap", F.md5("chunk_text").alias("chunk_md5"))
 
 
 @register("chk_fixed_stride", """
@@ -188,7 +188,7 @@ def chk_fixed(s, d):
 
 @register("chk8_section_of_chunk")
 def chk8(s, d):
-    docs = table(s, d, "documents")
+    docs = dealt(table(s, d, "documents"), "doc_id")
     return chunking.section_of(chunking.chunk(docs), sections.detect(docs)).select("doc_id", "chunk_index", "section_type")
 
 

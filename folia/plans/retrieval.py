@@ -10,7 +10,7 @@ from folia.functions import fulltext, selection
 from folia.operators import metering, retrieval, snapshot
 from folia.operators.ranks import numbered
 from folia.operators.upserts import latest
-from folia.sources.tables import table
+from folia.sources.tables import dealt, table
 
 L = "long"
 QUERY = "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) "
@@ -70,7 +70,7 @@ def ret5(s, d):
     """The flagship: both searches, fusion, boost and the best ten."""
     vectors = table(s, d, "embeddings")
     created = table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
-    return retrieval.hybrid(vectors, table(s, d, "documents"), created, retrieval.query_vector(vectors, 0), TERMS, 10, 2, "¿Cuál es el estado actual de la causa?")
+    return retrieval.hybrid(vectors, dealt(table(s, d, "documents"), "doc_id"), created, retrieval.query_vector(vectors, 0), TERMS, 10, 2, "¿Cuál es el estado actual de la causa?")
 
 
 @register("ret5_no_boost_unless_asked", FUSED + "SELECT id, score FROM f ORDER BY score DESC, id LIMIT 10")
@@ -78,7 +78,7 @@ def ret5_plain(s, d):
     """The same for a question that doesn't ask for recent documents: no boost."""
     vectors = table(s, d, "embeddings")
     created = table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
-    return retrieval.hybrid(vectors, table(s, d, "documents"), created, retrieval.query_vector(vectors, 0), TERMS, 10, 2, "¿Quién es el demandante?")
+    return retrieval.hybrid(vectors, dealt(table(s, d, "documents"), "doc_id"), created, retrieval.query_vector(vectors, 0), TERMS, 10, 2, "¿Quién es el demandante?")
 
 
 @register("ret6_query_origins", """

@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is unset, under a temporary folder in local mode, else the warehouse."""
+    """A new path under ``spark.checkpoint.dir``; where that is unset, under a temporary folder in local mode, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
         local = master.startswith("local") and not master.startswith("local-cluster")
-        root = f"file://{tempfile.gettempdir()}/folia-checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not local:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        root = f"file://{tempfile.gettempdir()}/folia-checkpoints"
     return f"{root.rstrip('/')}/folia-{name}-{uuid.uuid4().hex}"

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A table of fewer files than there are cores, dealt out by ``keys``, as a small file is one task's; others stay as they are.
+
+    For work that costs much more than moving the rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def scoped(df: DataFrame, owner, column: str = "user_id") -> DataFrame:
     """Rows of one tenant; every tenant-facing query goes through it."""
     return df.where(F.col(column) == F.lit(owner))
