@@ -32,6 +32,8 @@ SAMPLE = 4096
 GROUP_ROWS = 8192
 #: Cost of a probe row, in compared candidates.
 PROBE_COST = 60.0
+#: Ids of rows that go which are broadcast, at most (some 40 bytes each); more of them are joined.
+FEW_IDS = 1_000_000
 #: Candidates that are compared at once.
 CHUNK = 1 << 20
 
@@ -347,10 +349,12 @@ def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     empty texts are a group, long ones count whole, an empty table gives an empty one, and extra columns may have any names.
     """
     groups = written(near_groups(docs, radius), "near_groups")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    n, ids = kept.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if n == ids:  # no id is null or repeated among those that stay
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    n, ids = groups.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == ids:  # no id is null or repeated
+        gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+        if gone.limit(FEW_IDS + 1).count() <= FEW_IDS:  # the texts stay where they are
+            gone = F.broadcast(gone)
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     rid, fp, own, none = fresh(docs.columns, "row", "fp", "component", "none")
     rows = written(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
     marked = fingerprints(rows.select(F.struct("doc_id", rid).alias("doc_id"), "text")).select("doc_id.*", F.col("fp").alias(fp))

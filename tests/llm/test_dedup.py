@@ -93,6 +93,20 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(again, key=lambda x: (x is None, x)) == [*sorted(set(want.values())), None]
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_representatives_by_either_join(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_IDS", few)
+    docs = corpus()
+    want = brute.components({i: brute.simhash(t) for i, t in docs})
+    assert sorted(r["doc_id"] for r in simhash.keep_representatives(table(spark, docs)).collect()) == sorted(set(want.values()))
+
+
+def test_representatives_of_repeated_ids(spark):
+    own, other = "one two three four five six", "quite another text of several words"
+    df = spark.createDataFrame([(1, own), (3, own), (3, other), (None, own)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_representatives(df).collect()) == [(1, own), (3, other)]
+
+
 @pytest.mark.parametrize("hot", [substrings.HOT_CONTEXTS, 3])
 def test_repeats_match_brute_force(spark, hot):
     docs = corpus()
