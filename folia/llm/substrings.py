@@ -461,17 +461,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     """
     info, cut = changed_texts(docs, width, gram)
     order, digest, kept, first = fresh(docs.columns, "order", "digest", "kept", "first")
-    cut = written(cut.select("ord", "sha", "kept").distinct().mapInArrow(lean(_decoded), "ord long, sha string, kept string"), "cut_texts")
-    firsts = written(info.select("sha", "first").distinct(), "first_texts")
+    cut = cut.select("sha", "kept").distinct().mapInArrow(lean(_decoded), "sha string, kept string")  # a text loses bytes only in its first document
+    known = written(info.select("sha", "first").distinct().join(cut, "sha", "left"), "known_texts")
     n = F.octet_length(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     marked = docs.withColumns({order: _order_of("doc_id"), digest: F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)})
-    marked = marked.join(cut.select(F.col("ord").alias(order), F.col("sha").alias(digest), F.col("kept").alias(kept)), [order, digest], "left")
-    marked = marked.join(firsts.select(F.col("sha").alias(digest), F.col("first").alias(first)), digest)
-    text = F.when((F.col(order) > F.col(first)) & (n >= width), F.lit("")).otherwise(F.coalesce(F.col(kept), F.col("text")))
+    marked = marked.join(known.select(F.col("sha").alias(digest), F.col("first").alias(first), F.col("kept").alias(kept)), digest)
+    text = F.when(F.col(order) == F.col(first), F.coalesce(F.col(kept), F.col("text"))).when(n >= width, F.lit("")).otherwise(F.col("text"))
     return marked.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = pa.array([x.decode("utf-8", "ignore") for x in batch.column(2).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], names=["ord", "sha", "kept"])
+        kept = pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), kept], names=["sha", "kept"])
