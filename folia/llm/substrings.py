@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -365,20 +366,24 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_CUT = T.StructType([T.StructField("ord", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for s in spans for x in s), len(text)]
+    return b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+
+
+_CUT = T.StructType([T.StructField("ord", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out = []
         for ord_, sha, text, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = unpack(text)
             spans = _merged(list(zip(begin, end, strict=True)))
-            edges = [0, *(x for s in spans for x in s), len(text)]
-            kept = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
-            out.append((ord_, sha, len(text) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
+            kept = _without(text, spans)
+            out.append((ord_, sha, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=_CUT.names)
 
 
@@ -400,13 +405,21 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return rows.select("ord", "absent", "text", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-def changed_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """What is known of each row's whole text, and the texts that lose bytes to an earlier document.
+class Shared(NamedTuple):
+    """``info`` has (ord, absent, sha, n_bytes) for each row of the documents, ``firsts`` (sha, first): the smallest ord of each text.
 
-    The first table has (ord, absent, sha, n_bytes, first) for each row of ``docs``: first is the smallest ord
-    of that text.  The second has (ord, sha, n_removed, n_spans, kept, kept_sha256) for those first rows
-    that lose bytes.
+    ``held`` has (ord, row, sha, text, places) for the first rows of texts with shared anchors, texts compressed;
+    ``ranges`` has (row, begin, end) for those of them that lose bytes to an earlier document.
     """
+
+    info: DataFrame
+    firsts: DataFrame
+    held: DataFrame
+    ranges: DataFrame
+
+
+def shared_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> Shared:
+    """What is known of each row's whole text, and the byte ranges that an earlier document has too."""
     rows = _numbered(docs)
     info = written(rows.select("ord", "absent", "sha", "n_bytes"), "texts")
     total = info.agg(F.sum("n_bytes")).first()[0] or 0
@@ -428,8 +441,7 @@ def changed_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_con
     if hot:
         ranges = ranges.union(_hot_ranges(found.mapInArrow(lean(_contexts(width, gram, parts, hot, True)), _CONTEXT), width))
     ranges = ranges.groupBy("row").agg(F.collect_list("from").alias("begin"), F.collect_list("to").alias("end"))
-    cut = held.join(ranges, "row").select("ord", "sha", "text", "begin", "end").mapInArrow(lean(_cut), _CUT)
-    return info.join(firsts, "sha"), cut
+    return Shared(info, firsts, held, ranges)
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -441,8 +453,9 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_co
     one counts as 2^63 - 1, hence comes after all others, and stays null.  A null text is empty, a long one is
     judged whole, an empty table gives an empty one, and only doc_id and text are read, so extra columns can't clash.
     """
-    info, cut = changed_texts(docs, width, gram, hot_contexts)
-    info, cut = written(info, "texts"), written(cut.drop("kept").distinct(), "cut_texts")
+    info, firsts, held, ranges = shared_ranges(docs, width, gram, hot_contexts)
+    cut = held.join(ranges, "row").select("ord", "sha", "text", "begin", "end").mapInArrow(lean(_cut), _CUT)
+    info, cut = written(info.join(firsts, "sha"), "texts"), written(cut.distinct(), "cut_texts")
     first = info.where("ord = first").join(cut, ["ord", "sha"], "left")
     first = first.select("ord", "absent", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
     whole = F.col("n_bytes") >= width
@@ -459,19 +472,21 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     count against each other; a null doc_id comes after all others.  An empty table gives an empty one, and
     extra columns may have any names.
     """
-    info, cut = changed_texts(docs, width, gram)
-    order, digest, kept, first = fresh(docs.columns, "order", "digest", "kept", "first")
-    cut = written(cut.select("ord", "sha", "kept").distinct().mapInArrow(lean(_decoded), "ord long, sha string, kept string"), "cut_texts")
-    firsts = written(info.select("sha", "first").distinct(), "first_texts")
-    n = F.octet_length(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    marked = docs.withColumns({order: _order_of("doc_id"), digest: F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)})
-    marked = marked.join(cut.select(F.col("ord").alias(order), F.col("sha").alias(digest), F.col("kept").alias(kept)), [order, digest], "left")
-    marked = marked.join(firsts.select(F.col("sha").alias(digest), F.col("first").alias(first)), digest)
-    text = F.when((F.col(order) > F.col(first)) & (n >= width), F.lit("")).otherwise(F.coalesce(F.col(kept), F.col("text")))
+    info, firsts, held, ranges = shared_ranges(docs, width, gram)
+    order, digest, first, begin, end = fresh(docs.columns, "order", "digest", "first", "begin", "end")
+    spans = held.select("row", "sha").join(ranges, "row").select("sha", "begin", "end").dropDuplicates(["sha"])  # repeated rows have equal ones
+    known = written(firsts.join(spans, "sha", "left"), "spans")
+    known = known.select(F.col("sha").alias(digest), F.col("first").alias(first), F.col("begin").alias(begin), F.col("end").alias(end))
+    whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    marked = docs.withColumns({order: _order_of("doc_id"), digest: F.sha2(whole, 256)}).join(known, digest)
+    later = F.col(order) > F.col(first)
+    loses = ~later & F.col(begin).isNotNull()
+    cut = _cut_text(F.when(loses, whole), F.when(loses, F.col(begin)), F.when(loses, F.col(end)))
+    text = F.when(later & (F.octet_length(whole) >= width), F.lit("")).when(loses, cut).otherwise(F.col("text"))
     return marked.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = pa.array([x.decode("utf-8", "ignore") for x in batch.column(2).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], names=["ord", "sha", "kept"])
+@F.pandas_udf(T.StringType())
+def _cut_text(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    """The texts without those ranges of bytes, and without characters of which a part is gone."""
+    return pd.Series([None if t is None else _without(t, _merged(list(zip(a, b, strict=True)))).decode("utf-8", "ignore") for t, a, b in zip(texts, begins, ends, strict=True)], dtype=object)
