@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,9 @@ STOP_WORDS = frozenset("a al con de del el en es la las lo los no o para por que
 ENDINGS = ("aciones", "amiento", "imiento", "ación", "mente", "ciones", "ción", "idad", "ando", "iendo", "ados", "idos", "adas", "idas", "ado", "ido", "ada", "ida", "es", "os", "as", "o", "a", "e", "s")
 LEAST_STEM = 3
 
+#: Rows of a frame of postings; folders of a stored index; files over which a folder's documents are spread.
+FRAME_ROWS, PARTS, SALTS = 100_000, 64, 8
+
 
 def stem(word: str) -> str:
     """The word without the first of the endings that leaves a stem of three letters or more."""
@@ -30,17 +34,56 @@ def lexemes(text: str | None) -> list[tuple[str, int]]:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, lexeme, position) of all texts, made where the texts are."""
+    """(doc_id, lexeme, position) of all texts, made where the texts are, some 100,000 rows at a time."""
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, names, places = [], [], []
         for frame in frames:
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                found = lexemes(text)
-                yield pd.DataFrame({"doc_id": doc_id, "lexeme": [x for x, _ in found], "position": [k for _, k in found]})
+                for lexeme, place in lexemes(text):
+                    ids.append(doc_id)
+                    names.append(lexeme)
+                    places.append(place)
+                if len(ids) >= FRAME_ROWS:
+                    yield pd.DataFrame({"doc_id": ids, "lexeme": names, "position": places})
+                    ids, names, places = [], [], []
+        if ids:
+            yield pd.DataFrame({"doc_id": ids, "lexeme": names, "position": places})
 
     return docs.select("doc_id", "text").mapInPandas(make, "doc_id long, lexeme string, position int")
 
 
+def store(docs: DataFrame, path: str) -> None:
+    """Writes the inverted index of all texts: a row for each lexeme of a document with its places.
+
+    Rows are laid out by a checksum of the lexeme and sorted by lexeme in each file, so a search reads few
+    folders and, in them, few row groups.  A lexeme of very many documents is spread over ``SALTS`` files.
+    Repeated rows of documents give repeated places; a null text gives none.
+    """
+    rows = postings(docs).groupBy("lexeme", "doc_id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    rows = rows.withColumn("part", F.crc32(F.col("lexeme").cast("binary")) % PARTS)
+    spread = rows.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    spread.sortWithinPartitions("part", "lexeme", "doc_id").write.partitionBy("part").mode("errorifexists").parquet(path)
+
+
+def search_stored(index: DataFrame, query: str, k: int) -> DataFrame:
+    """As ``search``, from a stored index: only the query's lexemes are read, texts never; no lexemes find nothing."""
+    wanted = sorted({x for x, _ in lexemes(query)})
+    parts = sorted({zlib.crc32(w.encode()) % PARTS for w in wanted})
+    found = index.where(F.col("part").isin(parts) & F.col("lexeme").isin(wanted))
+    # one row for each lexeme of the query, so a document's group is as large as its own words
+    docs = found.groupBy("doc_id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("found")).where(F.size("found") == len(wanted))
+    ways = F.array_sort(F.flatten(F.transform("found", lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("position"), x["lexeme"].alias("lexeme"))))))
+
+    def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ranks = [round(cover_density(list(zip(p, n, strict=True)), len(wanted)), 6) for n, p in zip(frame["names"], frame["places"], strict=True)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "rank": pd.Series(ranks, index=frame.index, dtype="float64")})
+
+    placed = docs.select("doc_id", ways.alias("w")).select("doc_id", F.col("w.lexeme").alias("names"), F.col("w.position").alias("places"))
+    return placed.mapInPandas(rank, "doc_id long, rank double").where("rank > 0").orderBy(F.desc("rank"), "doc_id").limit(k)
+
+
 def cover_density(places: list[tuple[int, int]], terms: int) -> float:
     """Sum over minimal covers of (terms / words the cover spans): places are (position, term), sorted."""
     last, total = {}, 0.0

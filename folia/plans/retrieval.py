@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from folia.catalog import register
 from folia.functions import fulltext, selection
 from folia.operators import metering, retrieval, snapshot
+from folia.functions.signing import signature
 from folia.operators.ranks import numbered
 from folia.operators.upserts import latest
+from folia.sources.folders import shared
 from folia.sources.tables import dealt, table
 
 L = "long"
@@ -44,6 +46,14 @@ def ret3(s, d):
     return fulltext.search(table(s, d, "documents"), "the from that", 50)
 
 
+@register("ret3_search_of_stored_index")
+def ret3_stored(s, d):
+    """The same from an inverted index that is stored first."""
+    path = shared(s, "index")
+    fulltext.store(dealt(table(s, d, "documents"), "doc_id"), path)
+    return fulltext.search_stored(s.read.parquet(path), "the from that", 50)
+
+
 @register("ret3_text_rank", "WITH " + TEXT + " SELECT doc_id, rank FROM t")
 def ret3_text(s, d):
     return retrieval.text_search(table(s, d, "documents"), TERMS, 20)
@@ -305,6 +315,16 @@ def met3(s, d):
     return ranked.select("user_id", "event_id", F.least("r", F.lit(20)).alias("counter"), (F.col("r") <= 20).alias("admitted"))
 
 
+@register("met3_plan_counters", f"""
+SELECT user_id, action, count(*) AS asked, CAST(CASE WHEN any_value(soft) THEN count(*) ELSE least(count(*), any_value(plan_limit)) END AS BIGINT) AS counter FROM (SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'basic' WHEN 2 THEN 'pro' ELSE 'ultra' END AS plan, CASE event_type WHEN 'signup' THEN 'case' WHEN 'click' THEN 'chat' WHEN 'error' THEN 'deep' ELSE 'full' END AS action FROM events) e JOIN (VALUES {LIMIT_ROWS}) AS l(plan, action, plan_limit, lifetime, soft) USING (plan, action) GROUP BY user_id, action""")
+def met3_counters(s, d):
+    """Each user's counter of an action after all attempts: a denied attempt isn't counted, one beyond a soft limit is."""
+    used = _usage(s, d).select("user_id", "plan", "action", F.col("lifetime_n").alias("asked"))
+    limits = s.createDataFrame(metering.LIMITS, "plan string, action string, plan_limit long, lifetime boolean, soft boolean")
+    counter = F.when(F.col("soft") | (F.col("plan_limit") < 0), F.col("asked")).otherwise(F.least("asked", "plan_limit"))
+    return used.join(F.broadcast(limits), ["plan", "action"]).select("user_id", "action", "asked", counter.alias("counter"))
+
+
 @register("met4_profile_statistics", """
 SELECT user_id, CAST(floor((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(min(ts))) / 86400000000.0) AS BIGINT) AS age_days, CASE WHEN max(ts) >= TIMESTAMP '2024-01-30 00:00:00' THEN 'active' WHEN max(ts) >= TIMESTAMP '2024-01-28 00:00:00' THEN 'warn' ELSE 'idle' END AS tier FROM events GROUP BY user_id""")
 def met4(s, d):
@@ -393,6 +413,16 @@ def sig1(s, d):
     return table(s, d, "orders").select("o_orderkey", F.sha2(F.aggregate(pairs, F.lit(""), lambda a, p: F.concat(a, p["k"], p["v"])), 256).alias("digest"))
 
 
+PADS = [bytes(b ^ pad for b in b"folia-key".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@register("sig1_keyed_signature", f"SELECT o_orderkey, sha256(unhex('{PADS[1]}') || unhex(sha256(unhex('{PADS[0]}') || encode('amount' || CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) || 'key' || o_orderkey || 'status' || o_orderstatus)))) AS signature FROM orders")
+def sig1_keyed(s, d):
+    """The keyed digest of each order's sorted fields."""
+    fields = {"status": F.col("o_orderstatus"), "key": F.col("o_orderkey"), "amount": F.round("o_totalprice").cast(L)}
+    return table(s, d, "orders").select("o_orderkey", signature(fields, b"folia-key").alias("signature"))
+
+
 @register("upl1_upload_pieces", "SELECT doc_id, i AS piece, i * 600 AS first_byte, least((i + 1) * 600, n) - 1 AS last_byte FROM (SELECT doc_id, strlen(text) AS n, unnest(range(0, (strlen(text) + 599) // 600)) AS i FROM documents WHERE strlen(text) > 0)")
 def upl1(s, d):
     docs = table(s, d, "documents").select("doc_id", F.octet_length(F.col("text").cast("binary")).cast(L).alias("n")).where("n > 0")

@@ -176,3 +176,25 @@ def test_queue_machine():
         state = machine(*state, event)
     assert state == ("failed", MOST_ATTEMPTS) and machine("completed", 1, "enqueue") == ("completed", 1)
     assert [retry_after(n) for n in (1, 2, 3)] == [60, 300, 300]
+
+
+@pytest.mark.parametrize("key", [b"k", b"x" * 64, b"long" * 40])
+def test_signatures(spark, key):
+    import hashlib
+    import hmac
+
+    from folia.functions.signing import signature
+
+    got = one(spark, signature({"b": F.lit("ñ"), "a": F.lit(7), "c": F.lit(None).cast("string")}, key), x=1)
+    assert got == hmac.new(key, "a7bñc".encode(), hashlib.sha256).hexdigest()
+
+
+def test_stored_index_finds_what_the_texts_give(spark, tmp_path):
+    texts = ["notificación del plazo", "plazo y notificaciones, plazo", "", None, "notificado fuera de todo plazo legal", "plazo", "Notificado plazo " * 300]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, part string")
+    fulltext.store(docs, str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for query in ("plazo notificación", "plazo", "legal fuera", "nada", "de la", ""):
+        want = [tuple(r) for r in fulltext.search(docs, query, 5).collect()]
+        assert [tuple(r) for r in fulltext.search_stored(index, query, 5).collect()] == want, query
+    fulltext.store(docs.limit(0), str(tmp_path / "empty"))
