@@ -98,6 +98,13 @@ SECTION_NAMES = {
 PROCEDURE_NAMES = {"ordinario": "Ordinario", "ejecutivo": "Ejecutivo", "sumario": "Sumario", "monitorio": "Monitorio", "voluntario": "Voluntario"}
 SURE = 0.70
 
+# Upper bounds of the size tiers, and what estimates of sending and reading a file take for granted.
+MEGABYTE = 1024 * 1024
+SIZE_TIERS = (("standard", 50 * MEGABYTE), ("large", 500 * MEGABYTE), ("tomo", 5 * 1024 * MEGABYTE))
+LARGEST_TIER = "mega"
+SENT_PER_SECOND, TEXT_SHARE, TOKENS_PER_MEGABYTE, PAGE_MEGABYTES = 2.0, 0.2, 250_000.0, 0.5
+FIRST_PRICE, CACHED_PRICE = (0.5, 2), (0.05, 3)
+
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
     """Whether the lower-cased text has one of the words."""
@@ -190,3 +197,19 @@ def citation_label(description: Column, document_type: Column, date: Column, fol
     number = F.concat(F.lit("(pág. "), F.nullif(page_number, F.lit(0)).cast("string"), F.lit(")"))
     rest = _given(F.concat(F.lit("de fecha "), F.nullif(citation_date(date), F.lit(""))), F.concat(F.lit("folio "), folio_of(folio, page)), F.concat(F.lit("cuaderno "), F.nullif(book, F.lit(""))), number)
     return F.array_join(F.concat(F.array(name), rest), ", ")
+
+
+def size_tier(size: Column) -> Column:
+    """The tier of a file's bytes; null for a null size."""
+    tier = F.when(size.isNull(), None)
+    for name, most in SIZE_TIERS:
+        tier = tier.when(size <= most, name)
+    return tier.otherwise(LARGEST_TIER)
+
+
+def processing_estimates(size: Column) -> Column:
+    """What a file of so many bytes costs: seconds to send it, tokens, pages and cents-rounded prices of reading it first and again."""
+    megabytes = size / F.lit(float(MEGABYTE))
+    tokens = F.ceil(megabytes * TEXT_SHARE * TOKENS_PER_MEGABYTE)
+    money = lambda price, digits: F.round(tokens / F.lit(1e6) * price, digits)
+    return F.struct(F.ceil(megabytes / SENT_PER_SECOND).alias("upload_seconds"), tokens.alias("tokens"), F.ceil(megabytes / PAGE_MEGABYTES).alias("pages"), money(*FIRST_PRICE).alias("first_cost"), money(*CACHED_PRICE).alias("cached_cost"))

@@ -145,3 +145,11 @@ def emb2_citations(s, d):
     date = F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
     label = rules.citation_label(F.when(k % 3 == 0, F.col("o_orderpriority")), F.when(k % 3 == 1, "folio"), date, F.nullif(c % 4, F.lit(0)), F.lit(None).cast("long"), F.when(c % 2 == 0, "Principal"), k % 5)
     return table(s, d, "orders").select("o_orderkey", label.alias("label"))
+
+
+@register("dup6_tiers_and_estimates", """
+SELECT doc_id, CASE WHEN size <= 52428800 THEN 'standard' WHEN size <= 524288000 THEN 'large' WHEN size <= 5368709120 THEN 'tomo' ELSE 'mega' END AS tier, CAST(ceil(size / 1048576.0::DOUBLE / 2) AS BIGINT) AS upload_seconds, CAST(ceil(size / 1048576.0::DOUBLE * 0.2::DOUBLE * 250000) AS BIGINT) AS tokens, CAST(ceil(size / 1048576.0::DOUBLE / 0.5::DOUBLE) AS BIGINT) AS pages, round(CAST(ceil(size / 1048576.0::DOUBLE * 0.2::DOUBLE * 250000) AS DOUBLE) / 1e6 * 0.5::DOUBLE, 2) AS first_cost, round(CAST(ceil(size / 1048576.0::DOUBLE * 0.2::DOUBLE * 250000) AS DOUBLE) / 1e6 * 0.05::DOUBLE, 3) AS cached_cost FROM (SELECT doc_id, CAST(n_chars AS BIGINT) * 65536 AS size FROM documents)""")
+def dup6_tiers(s, d):
+    """Documents as files of 65,536 bytes a character: tiers and what they cost."""
+    size = F.col("n_chars").cast("long") * 65_536
+    return table(s, d, "documents").select("doc_id", rules.size_tier(size).alias("tier"), rules.processing_estimates(size).alias("x")).select("doc_id", "tier", "x.*")

@@ -106,19 +106,34 @@ def two():
     return old, new
 
 
+@pytest.fixture(scope="module")
+def stored(spark, two, tmp_path_factory):
+    """Both snapshots' tables, read from files."""
+    found = []
+    for k, cases in enumerate(two):
+        root = tmp_path_factory.mktemp(f"snapshot{k}")
+        for name, rows in tables(spark, cases).items():
+            rows.coalesce(1).write.parquet(f"{root}/{name}")
+        found.append({b.category: spark.read.parquet(f"{root}/{b.category}") for b in BRANCHES})
+    return found
+
+
 def ordered(rows):
     return sorted((tuple(r) for r in rows), key=repr)
 
 
-def test_changes_of_every_branch(spark, two):
+def test_changes_of_every_branch(two, stored):
     old, new = two
     want = expected(old, new)
     assert {c for _, c, *_ in want} == {b.category for b in BRANCHES} and {t for _, _, t, *_ in want} == {"added", "removed", "changed"}
-    assert ordered(case_tree.changes(tables(spark, old), tables(spark, new)).collect()) == ordered(want)
+    assert ordered(case_tree.changes(*stored).collect()) == ordered(want)
 
 
-def test_snapshots_nest_and_come_back(spark, two):
-    old, new = (case_tree.build(tables(spark, x)) for x in two)
+def test_snapshots_nest_and_come_back(two, stored, tmp_path):
+    for k, x in enumerate(stored):
+        case_tree.build(x).write.parquet(f"{tmp_path}/{k}")
+    session = stored[0][CASE].sparkSession
+    old, new = (session.read.parquet(f"{tmp_path}/{k}") for k in range(2))
     got = {r["case_id"]: r["snapshot"].asDict(recursive=True) for r in old.collect()}
     assert got == two[0]
     assert ordered(case_tree.changes(case_tree.tables_of(old), case_tree.tables_of(new)).collect()) == ordered(expected(*two))
