@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folia.llm import sql
 from folia.llm.common import crc32_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +106,17 @@ def op4_subword_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFram
     from folia.llm.lattice import document_scores
 
     return document_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.manifest import leaf_of, manifest, proof_digest, verified
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs, altered = table(spark, sf_dir, "documents"), F.replace("text", F.lit("\n"), F.lit(""))
+    tampered = docs.withColumn("altered", F.when(crc32_of("doc_id") % 2 == 0, altered).otherwise(F.col("text")))
+    kept = tampered.withColumn("altered_leaf", leaf_of(*fields[:-1], "altered"))
+    proved = manifest(kept, fields, "source", "doc_id", keep=("altered_leaf",))
+    return verified(proved, F.col("altered_leaf")).select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+SQL_op12_merkle_manifest = sql.MANIFEST
