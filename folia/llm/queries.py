@@ -120,3 +120,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_op12_merkle_manifest = sql.MANIFEST
+
+
+def op11_rule_bitmask_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.ledger import kept, ledger
+
+    rows = ledger(table(spark, sf_dir, "documents"))
+    asked = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rows.select(*asked, (~kept(1)).alias("base_failed"), kept().alias("kept"), "failures")
+
+
+SQL_op11_rule_bitmask_ledger = sql.LEDGER

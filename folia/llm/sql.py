@@ -47,3 +47,27 @@ FROM d JOIN s USING (g) LEFT JOIN h ON h.g = d.g AND h.pos = d.pos
 JOIN (SELECT g, pos, arg_max(node, lvl) AS node FROM e GROUP BY g, pos) t ON t.g = d.g AND t.pos = d.pos
 CROSS JOIN (SELECT node FROM u WHERE c = 1) r
 """
+
+WORD, LETTER = r"[^\x20\x09-\x0D]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LEDGER = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {BLANK}) <> '') AS lines FROM documents),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid),
+m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(w, lambda x: regexp_matches(x, '{LETTER}'))) AS n_alpha_words,
+    len(list_filter(lines, lambda x: regexp_matches(trim(x, {BLANK}), '^[-*•]'))) AS n_bullet_lines,
+    len(list_filter(lines, lambda x: regexp_matches(trim(x, {BLANK}), '(\\.\\.\\.|…)$'))) AS n_ellipsis_lines
+  FROM d LEFT JOIN r USING (rid)),
+f AS (SELECT *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (n_words > 100000)::bigint
+    + 8 * (word_chars < 3 * n_words)::bigint + 16 * (word_chars > 10 * n_words)::bigint + 32 * (10 * n_symbols > n_words)::bigint
+    + 64 * (100 * n_dup_lines > 30 * n_lines)::bigint + 128 * (100 * n_alpha_words < 80 * n_words)::bigint
+    + 256 * (100 * n_bullet_lines > 90 * n_lines)::bigint + 512 * (100 * n_ellipsis_lines > 30 * n_lines)::bigint AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+"""
