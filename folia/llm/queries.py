@@ -131,3 +131,9 @@ def op11_rule_bitmask_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_op11_rule_bitmask_ledger = sql.LEDGER
+
+
+def op13_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
