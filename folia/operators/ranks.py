@@ -1,24 +1,43 @@
-"""Row numbers of whole tables without a task that holds them all."""
+"""Row numbers of whole tables and groups without a task that holds them all."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ids of one bucket at most.
-BUCKET = 10_000
+from folia.sources.folders import stored
 
 
-def numbered(rows: DataFrame, name: str, number: str, *before: str) -> DataFrame:
-    """``rows`` with ``name``, their number from 1 in the order of ``before`` and then of the whole number ``number``.
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with none of ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def ranked(rows: DataFrame, name: str, groups: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``name``, their number from 1 in their group by ``order``, nulls first.
 
-    Rows are ranked within buckets of neighbouring ids, and buckets by running sums of their counts; the
-    table of counts is by 10,000 times smaller where ids are dense.  A null id comes first.
+    Sampled ranges of (groups, order) are stored and counted by group; a row's number is that in its range,
+    which is of one task's size, after the group's rows in former ranges.  So neither a group of very
+    many rows nor sparse ids gather in one task.  Rows that are equal in ``order`` are numbered in any order.
     """
-    keys = [*before, "_bucket"]
-    marked = rows.withColumn("_bucket", F.coalesce(F.floor(F.col(number) / BUCKET), F.lit(-(1 << 62))))
-    counts = marked.groupBy(*keys).agg(F.count("*").alias("_n"))
-    ahead = F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*keys, ahead.alias("_ahead"))
-    ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(number)))
-    return ranked.join(starts, keys).withColumn(name, (F.col("_rank") + F.col("_ahead")).cast("long")).drop("_bucket", "_rank", "_ahead")
+    part, size, ahead, *same = fresh([*rows.columns, name], "part", "size", "ahead", *(f"same{k}" for k in range(len(groups))))
+    dealt = stored(rows.repartitionByRange(*(F.col(c).asc_nulls_first() for c in (*groups, *order))).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*groups, part).agg(F.count("*").alias(size))  # a row for each group and range at most
+    before = F.sum(size).over(Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*(F.col(g).alias(s) for g, s in zip(groups, same, strict=True)), F.col(part).alias(f"{part}_"), F.coalesce(before, F.lit(0)).alias(ahead))
+    inside = F.row_number().over(Window.partitionBy(*groups, part).orderBy(*(F.col(c).asc_nulls_first() for c in order)))
+    match = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(s)) for g, s in zip(groups, same, strict=True)), F.col(part) == F.col(f"{part}_"))
+    return dealt.withColumn(name, inside).join(starts, match).withColumn(name, (F.col(name) + F.col(ahead)).cast("long")).drop(part, f"{part}_", ahead, *same)
+
+
+def numbered(rows: DataFrame, name: str, number: str, *before: str) -> DataFrame:
+    """``rows`` with ``name``, their number from 1 in the order of ``before`` and then of ``number``, nulls first."""
+    return ranked(rows, name, [], [*before, number])

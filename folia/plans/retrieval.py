@@ -283,9 +283,9 @@ def dup8(s, d):
 
 USAGE = "SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'basic' WHEN 2 THEN 'pro' ELSE 'ultra' END AS plan, CASE event_type WHEN 'signup' THEN 'case' WHEN 'click' THEN 'chat' WHEN 'error' THEN 'deep' ELSE 'full' END AS action, count(*) AS lifetime_n, count(*) FILTER (ts >= TIMESTAMP '2024-01-15 00:00:00') AS monthly_n FROM events GROUP BY 1, 2, 3"
 LIMIT_ROWS = """('free', 'case', 1, true, false), ('free', 'chat', 20, true, false), ('free', 'full', 5, true, false), ('free', 'deep', 2, true, false),
-('basic', 'case', 10, false, false), ('basic', 'chat', 200, false, false), ('basic', 'full', 15, false, false), ('basic', 'deep', 5, false, false),
-('pro', 'case', 30, false, false), ('pro', 'chat', 500, false, true), ('pro', 'full', 50, false, false), ('pro', 'deep', 12, false, false),
-('ultra', 'case', 100, false, false), ('ultra', 'chat', 800, false, true), ('ultra', 'full', 100, false, false), ('ultra', 'deep', 25, false, false)"""
+('basic', 'case', 10, true, false), ('basic', 'chat', 200, false, false), ('basic', 'full', 15, false, false), ('basic', 'deep', 5, false, false),
+('pro', 'case', 30, true, false), ('pro', 'chat', 500, false, true), ('pro', 'full', 50, false, false), ('pro', 'deep', 12, false, false),
+('ultra', 'case', 100, true, false), ('ultra', 'chat', 800, false, true), ('ultra', 'full', 100, false, false), ('ultra', 'deep', 25, false, false)"""
 
 
 def _usage(s, d):
@@ -315,14 +315,41 @@ def met3(s, d):
     return ranked.select("user_id", "event_id", F.least("r", F.lit(20)).alias("counter"), (F.col("r") <= 20).alias("admitted"))
 
 
-@register("met3_plan_counters", f"""
-SELECT user_id, action, count(*) AS asked, CAST(CASE WHEN any_value(soft) THEN count(*) ELSE least(count(*), any_value(plan_limit)) END AS BIGINT) AS counter FROM (SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'basic' WHEN 2 THEN 'pro' ELSE 'ultra' END AS plan, CASE event_type WHEN 'signup' THEN 'case' WHEN 'click' THEN 'chat' WHEN 'error' THEN 'deep' ELSE 'full' END AS action FROM events) e JOIN (VALUES {LIMIT_ROWS}) AS l(plan, action, plan_limit, lifetime, soft) USING (plan, action) GROUP BY user_id, action""")
+ATTEMPTS = f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts + INTERVAL 15 DAY AS t, CASE event_type WHEN 'signup' THEN 'case' WHEN 'click' THEN 'chat' WHEN 'error' THEN 'deep' ELSE 'full' END AS action FROM events),
+f AS (SELECT *, date_trunc('month', t) AS month, CASE (user_id + month(t)) % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'basic' WHEN 2 THEN 'pro' ELSE 'ultra' END AS plan,
+  row_number() OVER (PARTITION BY user_id, action, date_trunc('month', t) ORDER BY t, event_id) AS r FROM e),
+m AS (SELECT user_id, action, month, plan, count(*) AS n, row_number() OVER (PARTITION BY user_id, action ORDER BY month) AS k FROM f GROUP BY 1, 2, 3, 4),
+l AS (SELECT m.*, l.plan_limit, l.lifetime, l.soft FROM m JOIN (VALUES {LIMIT_ROWS}) AS l(plan, action, plan_limit, lifetime, soft) ON m.plan = l.plan AND m.action = l.action),
+c(user_id, action, k, before, taken) AS (
+  SELECT user_id, action, k, CAST(0 AS BIGINT), CASE WHEN soft THEN n ELSE least(n, plan_limit) END FROM l WHERE k = 1
+  UNION ALL SELECT l.user_id, l.action, l.k, c.before + c.taken, CASE WHEN soft THEN n ELSE least(n, greatest(plan_limit - CASE WHEN lifetime THEN c.before + c.taken ELSE 0 END, 0)) END
+  FROM c JOIN l ON l.user_id = c.user_id AND l.action = c.action AND l.k = c.k + 1),
+x AS (SELECT f.user_id, f.action, f.event_id, f.plan, plan_limit, soft, before, CASE WHEN lifetime THEN before ELSE 0 END + least(r - 1, taken) AS used, least(r, taken) AS monthly_count, before + least(r, taken) AS lifetime_count
+  FROM f JOIN l USING (user_id, action, month) JOIN c USING (user_id, action, k)),
+y AS (SELECT user_id, action, event_id, plan, used, CASE WHEN used < plan_limit THEN 'allowed' WHEN soft THEN 'throttled' ELSE 'denied' END AS verdict, monthly_count, lifetime_count FROM x)"""
+
+
+def attempts_of(events):
+    """Events as attempts, by a clock fifteen days ahead so that they cross a month, in which users change plans."""
+    at = F.col("ts") + F.make_dt_interval(days=F.lit(15))
+    action = F.when(F.col("event_type") == "signup", "case").when(F.col("event_type") == "click", "chat").when(F.col("event_type") == "error", "deep").otherwise("full")
+    rows = events.select("user_id", "event_id", at.alias("ts"), action.alias("action"))
+    plan = F.element_at(F.array(*map(F.lit, metering.PLANS)), ((F.col("user_id") + F.month("ts")) % 4 + 1).cast("int"))
+    return rows.withColumn("plan", plan)
+
+
+@register("met3_attempts_in_order", ATTEMPTS + " SELECT *, CASE WHEN verdict = 'throttled' THEN 30 ELSE 0 END AS wait_seconds FROM y")
+def met3_attempts(s, d):
+    """Each attempt against its plan's limit, with both counters after it."""
+    return metering.counted(attempts_of(table(s, d, "events"))).drop("ts")
+
+
+@register("met3_plan_counters", ATTEMPTS + " SELECT user_id, action, count(*) AS asked, count(*) FILTER (verdict = 'denied') AS denied, max(lifetime_count) AS counter FROM y GROUP BY 1, 2")
 def met3_counters(s, d):
     """Each user's counter of an action after all attempts: a denied attempt isn't counted, one beyond a soft limit is."""
-    used = _usage(s, d).select("user_id", "plan", "action", F.col("lifetime_n").alias("asked"))
-    limits = s.createDataFrame(metering.LIMITS, "plan string, action string, plan_limit long, lifetime boolean, soft boolean")
-    counter = F.when(F.col("soft") | (F.col("plan_limit") < 0), F.col("asked")).otherwise(F.least("asked", "plan_limit"))
-    return used.join(F.broadcast(limits), ["plan", "action"]).select("user_id", "action", "asked", counter.alias("counter"))
+    rows = metering.counted(attempts_of(table(s, d, "events"))).groupBy("user_id", "action")
+    return rows.agg(F.count("*").alias("asked"), F.count_if(F.col("verdict") == "denied").alias("denied"), F.max("lifetime_count").alias("counter"))
 
 
 @register("met4_profile_statistics", """

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folia.catalog import register
+from folia.operators import metering
+from folia.plans.retrieval import ATTEMPTS, attempts_of
 from folia.sources.folders import shared
 from folia.sources.tables import moment, table
 from folia.streaming import queue
@@ -75,3 +77,11 @@ def src3(s, d):
     table(s, d, "pages").select("html").write.option("maxRecordsPerFile", 100).text(folder)
     files = s.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
     return files.select("length", F.sha2("content", 256).alias("sha256"))
+
+
+@register("met3_counters_as_stream", ATTEMPTS + " SELECT user_id, action, count(*) AS asked, count(*) FILTER (verdict = 'denied') AS denied, max(lifetime_count) AS counter FROM y GROUP BY 1, 2")
+def met3_stream(s, d):
+    """The counters of attempts that come as a stream."""
+    rows = metering.counted_stream(attempts_of(queue.stream(s, d, "events")))
+    done = queue.written_out(rows, shared(s, "counters")).groupBy("user_id", "action")
+    return done.agg(F.count("*").alias("asked"), F.count_if(F.col("verdict") == "denied").alias("denied"), F.max("lifetime_count").alias("counter"))
