@@ -1,3 +1,3 @@
 """The registered queries; importing this package registers them."""
 
-from folia.plans import cases, documents, relational, retrieval, rules, streams  # noqa: F401
+from folia.plans import cases, documents, indexes, relational, retrieval, rules, streams  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folia.catalog import register
-from folia.functions import fulltext, selection
+from folia.functions import selection
 from folia.operators import metering, retrieval, snapshot
 from folia.functions.signing import signature
 from folia.operators.ranks import numbered
@@ -36,24 +36,6 @@ def jon16(s, d):
     return vectors.select("label", "vec_id", sim.alias("similarity")).withColumn("r", rank).where("r <= 3").select("label", "vec_id")
 
 
-@register("ret2_lexeme_postings")
-def ret2(s, d):
-    return fulltext.postings(table(s, d, "documents")).groupBy("lexeme").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("places"))
-
-
-@register("ret3_cover_density")
-def ret3(s, d):
-    return fulltext.search(table(s, d, "documents"), "the from that", 50)
-
-
-@register("ret3_search_of_stored_index")
-def ret3_stored(s, d):
-    """The same from an inverted index that is stored first."""
-    path = shared(s, "index")
-    fulltext.store(dealt(table(s, d, "documents"), "doc_id"), path)
-    return fulltext.search_stored(s.read.parquet(path), "the from that", 50)
-
-
 @register("ret3_text_rank", "WITH " + TEXT + " SELECT doc_id, rank FROM t")
 def ret3_text(s, d):
     return retrieval.text_search(table(s, d, "documents"), TERMS, 20)
