@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folia.llm import stages
-from folia.llm.common import table, written
+from folia.llm.common import forget, table, written
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -19,7 +19,10 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """Applies the stages to ``documents``, each to the table that the one before it wrote."""
-    docs = table(spark, sf_dir, "documents")
+    docs, former = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if former is not None:
+            forget(former)
+        former = docs
     return STAGES[-1][1](spark, docs, sf_dir)

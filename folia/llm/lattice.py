@@ -29,8 +29,6 @@ from pyspark.sql import types as T
 
 from folia.llm.common import LOWER, by_bytes, crc32_of, lean, written
 
-#: Bytes of the longest piece that is used, its leading space included.
-LONGEST = 16
 #: Rounds of expectation-maximisation of the pieces; pseudo-count of each piece.
 ROUNDS, SMOOTH = 2, 0.01
 #: Classes of documents, told by how often the first CLASS_WORDS words of the vocabulary occur, and rounds of their fit.
@@ -66,7 +64,7 @@ def vocabulary(path: str) -> Pieces:
     found: dict[bytes, float] = {}
     for i in range(model.get_piece_size()):
         raw = model.id_to_piece(i).replace("▁", " ").encode()
-        if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or raw != raw.translate(LOWER) or len(raw) > LONGEST or b" " in raw[1:]:
+        if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or raw != raw.translate(LOWER) or b" " in raw[1:]:
             continue
         found[raw] = 1 / (10 - model.get_score(i))
     least = min(found.values(), default=1.0) / 10

@@ -111,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, count_rows: int = COUNT_ROWS, fit_ro
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in own], pa.binary())], names=["h", "label", "grams"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.xxhash64("doc_id").alias("h"), "label", "text")
-    found = sorted(picked.mapInArrow(lean(cut), "h long, label int, grams binary").collect(), key=lambda r: (r["h"], r["grams"]))
+    cuts = picked.mapInArrow(lean(cut), "h long, label int, grams binary")
+    found = cuts.orderBy("h", "grams").limit(fit_rows).collect()  # a doc_id may have any number of rows
     rows = [np.frombuffer(r["grams"], np.int32) for r in found]
     y = np.asarray([int(r["label"] > 0) for r in found], np.int64)
     square = ratio**2

@@ -26,6 +26,8 @@ from folia.llm.common import by_bytes, crc32_of, lean, written
 
 #: Labelled rows of each class that the model is fitted to, with all their windows.
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
+#: Bytes of texts of each class that fitting takes at most; whole texts only.
+FIT_BYTES = 64 << 20
 #: Bytes of a window, and of one without a space at most.
 WINDOW, LONGEST = 96, 384
 LEVEL = 9
@@ -135,19 +137,27 @@ def training_labels(labels: DataFrame, column: str) -> DataFrame:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int) -> tuple[DataFrame, float]:
-    """The sampled rows (row, h, label, text) with their whole texts, and the share of toxic labels."""
+    """Rows (row, h, label, size, text) of the sampled doc_ids with their whole texts, written, and the share of toxic labels."""
     known = training_labels(labels, "toxic")
     count = dict(known.groupBy("label").count().collect())
     share = count.get(1, 0) / max(1, sum(count.values()))
     some = known.where("label = 1").orderBy(F.xxhash64("doc_id")).limit(toxic_rows).union(known.where("label = 0").orderBy(F.xxhash64("doc_id")).limit(ordinary_rows))
     picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    return written(picked.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id").alias("h"), "label", "text"), "labelled_rows"), share
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")
+    return written(picked.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id").alias("h"), "label", size, "text"), "labelled_rows"), share
 
 
-def _numbered(rows: DataFrame) -> dict[int, list[int]]:
-    """By label, the sampled rows' numbers in a fixed order."""
-    own = sorted(tuple(r) for r in rows.select("label", "h", F.xxhash64("text"), "row").collect())
-    return {c: [row for label, _, _, row in own if label == c] for c in (0, 1)}
+def _numbered(rows: DataFrame, most: dict[int, int], fit_bytes: int) -> dict[int, list[int]]:
+    """By label, numbers of sampled rows in a fixed order, at most so many and with whole texts of at most ``fit_bytes`` together.
+
+    A doc_id may have any number of rows, so both bounds are set here, after the join.
+    """
+    out = {}
+    for c, n in most.items():
+        own = rows.where(F.col("label") == c).select("h", F.xxhash64("text").alias("t"), "row", "size").orderBy("h", "t", "row").limit(n).collect()
+        ends = np.cumsum([r["size"] for r in own])
+        out[c] = [r["row"] for r, end in zip(own, ends, strict=True) if end <= fit_bytes]
+    return out
 
 
 def _picked(rows: DataFrame, numbers: list[int]) -> DataFrame:
@@ -172,14 +182,14 @@ def _features_of(rows: DataFrame, model: Model, numbers: list[int]) -> np.ndarra
     return np.asarray([found[n] for n in numbers], np.float64).reshape(-1, 4)
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
-    """Learns from at most ``toxic_rows`` and ``ordinary_rows`` labelled rows, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
+    """Learns from at most ``toxic_rows`` and ``ordinary_rows`` labelled rows of at most ``fit_bytes`` a class, none of them held out.
 
     Two thirds of them train the dictionaries and the rest calibrate.  Without labels of both
     classes every text gets the same score.
     """
     rows, share = _sample(docs, labels, toxic_rows, ordinary_rows)
-    by = _numbered(rows)
+    by = _numbered(rows, {0: ordinary_rows, 1: toxic_rows}, fit_bytes)
     learn = {c: _windows_of(rows, [n for k, n in enumerate(own) if k % 3] or own) for c, own in by.items()}
     check = {c: own[::3] for c, own in by.items()}
     ordinary, both = dictionaries(learn[1], learn[0])
