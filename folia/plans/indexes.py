@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folia.catalog import register
-from folia.operators import text_index
+from folia.operators import retrieval, text_index, vector_index
 from folia.sources.folders import shared
 from folia.sources.tables import dealt, table
 
@@ -80,3 +80,45 @@ def ret3(s, d):
     path = shared(s, "index")
     text_index.create(dealt(table(s, d, "documents"), "doc_id"), path, "simple")
     return text_index.search(s, path, "the from that", 50)
+
+
+EACH = """WITH n AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 100 = 0)
+SELECT query, vec_id, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS place FROM n) WHERE place <= 10"""
+
+
+def _indexed(s, d):
+    path = shared(s, "vectors")
+    vectors = table(s, d, "embeddings")
+    vector_index.create(vectors, path)
+    return path, vectors
+
+
+@register("ret1_index_with_all_cells", EACH)
+def ret1_all(s, d):
+    """The ten nearest of every vector whose id is divisible by 100, from all cells, which is exact."""
+    path, vectors = _indexed(s, d)
+    return vector_index.search_many(vectors.where("vec_id % 100 = 0"), path, 10, vector_index.MOST_CELLS)
+
+
+@register("ret1_index_with_few_cells")
+def ret1_few(s, d):
+    """The same from as many cells as the index found enough."""
+    path, vectors = _indexed(s, d)
+    return vector_index.search_many(vectors.where("vec_id % 100 = 0"), path, 10)
+
+
+@register("ret1_recall_of_few_cells")
+def ret1_recall(s, d):
+    """Of the ten exact neighbours of each of these vectors, how many the nearest cells give."""
+    path, vectors = _indexed(s, d)
+    asked = vectors.where("vec_id % 100 = 0")
+    exact = vector_index.search_many(asked, path, 10, vector_index.MOST_CELLS).select("query", "vec_id")
+    few = vector_index.search_many(asked, path, 10).select("query", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(few, ["query", "vec_id"], "left").groupBy("query").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+
+
+@register("ret1_vector_topk_from_index", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])), 6) AS similarity FROM embeddings, q WHERE label = 2 ORDER BY similarity DESC, vec_id LIMIT 10")
+def ret1_one(s, d):
+    """The filtered search of one vector, from all cells."""
+    path, vectors = _indexed(s, d)
+    return vector_index.search(s, path, retrieval.query_vector(vectors, 0), 10, vector_index.MOST_CELLS, F.col("label") == 2)
