@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def greedy_within(items: Column, budget: int) -> Column:
+def greedy_within(items: Column, budget: int | Column) -> Column:
     """Indices (from 0) taken in order from an array of sizes while they fit; what doesn't fit is skipped.
 
     Unlike a running sum, a later small item may still be taken after a large one was skipped.
     """
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("taken"))
+    start = F.struct((budget if isinstance(budget, Column) else F.lit(budget)).cast("long").alias("left"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("taken"))
 
     def step(state: Column, size: Column) -> Column:
         fits = size <= state["left"]

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folia.catalog import register
-from folia.functions.folds import admitted, greedy_within
+from folia.functions.folds import admitted
 from folia.operators.upserts import batches, duplicates, fill_in, insert_new, latest, upsert
+from folia.operators.budget import greedy
 from folia.operators.ranks import numbered
 from folia.sources.tables import extracted, first_complete, moment, now, optional, scoped, table
 
@@ -410,12 +411,15 @@ def win8(s, d):
     return times.select("user_id", F.size("t").cast(L).alias("requests"), F.size(admitted(F.col("t"), 2, 86_400.0)).cast(L).alias("admitted"))
 
 
-@register("win9_greedy_budget")
+@register("win9_greedy_budget", """
+WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+f(source, k, doc_id, free, taken) AS (
+  SELECT source, k, doc_id, 20000 - CASE WHEN n_chars <= 20000 THEN n_chars ELSE 0 END, n_chars <= 20000 FROM o WHERE k = 1
+  UNION ALL SELECT o.source, o.k, o.doc_id, free - CASE WHEN n_chars <= free THEN n_chars ELSE 0 END, n_chars <= free FROM f JOIN o ON o.source = f.source AND o.k = f.k + 1)
+SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS ctx_pos FROM f WHERE taken""")
 def win9(s, d):
     """Documents of a source in order, within a budget of 20,000 characters; too large ones are skipped."""
-    sized = table(s, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("docs"))
-    taken = greedy_within(F.col("docs.n_chars"), 20_000)
-    return sized.select("source", F.posexplode(F.transform(taken, lambda i: F.col("docs")[i]["doc_id"])).alias("ctx_pos", "doc_id"))
+    return greedy(table(s, d, "documents").where("source IS NOT NULL"), 20_000, "source", ["doc_id"], "n_chars").select("source", "ctx_pos", "doc_id")
 
 
 @register("top1_top_k_by_distance", "SELECT part.p_partkey, p_retailprice FROM part ORDER BY abs(p_retailprice - 1200), p_partkey LIMIT 10")

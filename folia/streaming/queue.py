@@ -76,6 +76,70 @@ def queue(events: DataFrame) -> DataFrame:
     return events.groupBy("document_id").applyInPandasWithState(advance, "document_id long, status string, attempts int, delay_s int", "status string, attempts int", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Microseconds that a finished document's state is kept for.
+KEEP = 7 * 86_400_000_000
+State = tuple[str, int, int]  # status, attempts, and when its timer fires, in microseconds, or 0
+FRESH: State = ("queued", 0, 0)
+
+
+def advanced(state: State, at: int, event: str, keep: int = KEEP) -> State:
+    """The state after an event: a change to failed sets the timer of the next try, one to an end that of expiry, any other stops it."""
+    status, attempts = machine(state[0], state[1], event)
+    if (status, attempts) == state[:2]:
+        return state
+    if status == "failed" and attempts < MOST_ATTEMPTS:
+        return status, attempts, at + 1_000_000 * retry_after(attempts)
+    return status, attempts, at + keep if status in ("failed", "completed") else 0
+
+
+def fired(state: State) -> tuple[State | None, str]:
+    """The state after its timer, none where it expires, and what the timer was for."""
+    status, attempts, _ = state
+    return (("queued", attempts, 0), "retry") if status == "failed" and attempts < MOST_ATTEMPTS else (None, "expiry")
+
+
+def timed_queue(events: DataFrame, delay: str = "0 seconds", keep: int = KEEP) -> DataFrame:
+    """(document_id, at, cause, status, attempts) of each event and each timer of a stream of (document_id, at, event), ``at`` a timestamp.
+
+    A failed document is queued again 10, 60 or 300 seconds later without an event, as the watermark (the latest
+    time seen less ``delay``) passes; a completed one, or one that failed for the last time, expires ``keep`` microseconds
+    after that and its state is removed.  Timers that are due before a document's next event fire first, so rows don't depend on
+    how events fall into batches, as long as they aren't later than ``delay``.
+    """
+    watched = events.withWatermark("at", delay).withColumn("micros", F.unix_micros("at"))
+    columns = ["document_id", "micros", "cause", "status", "attempts"]
+
+    def advance(key, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        state, out = (tuple(group.get) if group.exists else None), []
+
+        def fire(state: State) -> State | None:
+            after, cause = fired(state)
+            out.append((key[0], state[2], cause, after[0] if after else "gone", state[1]))
+            return after
+
+        if not group.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values(["micros", "event"])
+            for at, event in zip(rows["micros"].tolist(), rows["event"].tolist(), strict=True):
+                while state and 0 < state[2] <= at:
+                    state = fire(state)
+                state = advanced(state or FRESH, at, event, keep)
+                out.append((key[0], at, event, *state[:2]))
+        while state and 0 < state[2] // 1000 < group.getCurrentWatermarkMs():
+            state = fire(state)
+        if state is None:
+            group.remove()
+        else:
+            group.update(state)
+            if state[2]:
+                group.setTimeoutTimestamp(max(state[2] // 1000, group.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=columns)
+
+    rows = watched.groupBy("document_id").applyInPandasWithState(
+        advance, "document_id long, micros long, cause string, status string, attempts int", "status string, attempts int, due long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return rows.select("document_id", F.timestamp_micros("micros").alias("at"), "cause", "status", "attempts")
+
+
 def written_out(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there, into a table in ``folder``, and reads that table."""
     done = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{folder}/rows")
