@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folia.catalog import register
-from folia.functions import chunking, html, normalise, sections
+from folia.functions import chunking, edits, html, normalise, sections
 from folia.sources.tables import cell, dealt, table
 
 L = "long"
@@ -16,13 +16,56 @@ def nrm0(s, d):
     return table(s, d, "documents").select("doc_id", (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).alias("blank"))
 
 
-@register("nrm1_page_boundaries")
+MARKED = """
+p AS (SELECT doc_id, coalesce(text, '') AS text, greatest(1, (length(coalesce(text, '')) + 999) // 1000) AS n FROM documents),
+i AS (SELECT doc_id, text, n, unnest(range(1, n + 1)) AS k FROM p),
+m AS (SELECT *, substring(text, CAST(k * 1000 - 999 AS BIGINT), 1000) AS piece, '-- ' || k || ' of ' || n || ' --' AS mark FROM i),
+b AS (SELECT *, sum(length(piece) + 1 + length(mark)) OVER (PARTITION BY doc_id ORDER BY k) + k - 1 AS stop, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY k) + k - 1 AS clean_stop FROM m)"""
+
+
+def _marked(s, d):
+    """Texts with an invented page mark after every 1,000 characters."""
+    docs = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 1000)).cast("int")
+    piece = lambda k: F.concat(F.substring("text", (k - 1) * 1000 + 1, F.lit(1000)), F.lit(" -- "), k.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" -- "))
+    return docs.select("doc_id", F.array_join(F.transform(F.sequence(F.lit(1), n), piece), "").alias("text"))
+
+
+@register("nrm1_page_boundaries", "WITH " + MARKED + " SELECT doc_id, CAST(0 AS BIGINT) AS page, CAST(0 AS HUGEINT) AS at FROM p UNION ALL SELECT doc_id, k, stop FROM b")
 def nrm1(s, d):
-    """Places just after each page marker of the raw text, 0 first."""
-    parts = F.split("text", normalise.PAGE_MARKER)
-    marks = F.regexp_extract_all("text", F.lit(f"({normalise.PAGE_MARKER})"), F.lit(1))
-    ends = F.aggregate(F.sequence(F.lit(0), F.size(marks)), F.array(F.lit(0)), lambda a, i: F.when(i == 0, a).otherwise(F.concat(a, F.array(F.element_at(a, -1) + F.length(F.get(parts, i - 1)) + F.length(F.get(marks, i - 1))))))
-    return table(s, d, "documents").select("doc_id", F.posexplode(F.filter(ends, lambda x: (x == 0) | (x < F.length("text")))).alias("page", "at"))
+    """Places just after each page break of the raw text, 0 first."""
+    return edits.mapped(dealt(_marked(s, d), "doc_id")).select("doc_id", F.posexplode("pages").alias("page", "at"))
+
+
+@register("nrm13_edit_map", "WITH " + MARKED + " SELECT doc_id, k - 1 AS edit, 'page_marker' AS kind, clean_stop AS at, mark AS content, stop - length(mark) AS raw_start, stop AS raw_stop FROM b")
+def nrm13_edits(s, d):
+    """What cleaning takes out of each text: its kind and content, and where it stood."""
+    edit = F.posexplode("edits").alias("edit", "x")
+    return edits.mapped(dealt(_marked(s, d), "doc_id")).select("doc_id", edit).select("doc_id", "edit", "x.*")
+
+
+@register("nrm13_marks_from_last_to_first", "WITH " + MARKED + " SELECT doc_id, md5(string_agg(piece || ' ««page_marker»»' || mark || '««/page_marker»» ', '' ORDER BY k)) AS marked, md5(string_agg(piece || '  ', '' ORDER BY k)) AS clean FROM b GROUP BY doc_id")
+def nrm13_marked(s, d):
+    """The dry run over all kinds at once, and the clean text."""
+    return edits.mapped(dealt(_marked(s, d), "doc_id"), marks=True).select("doc_id", F.md5("marked").alias("marked"), F.md5("clean").alias("clean"))
+
+
+@register("chk7_page_of_clean_chunk", "WITH " + MARKED + """, c AS (SELECT doc_id, n, unnest(range(0, (length(text) + 2 * n + 3264) // 3265)) AS chunk_index FROM p)
+SELECT c.doc_id, chunk_index, 1 + count(*) FILTER (b.clean_stop <= chunk_index * 3265) AS page FROM c JOIN b USING (doc_id) GROUP BY 1, 2""")
+def chk7_pages(s, d):
+    """The page that each chunk of the clean text begins on, by page breaks of the raw one."""
+    maps = edits.mapped(dealt(_marked(s, d), "doc_id")).select("doc_id", F.length("clean").alias("n"), "clean_pages")
+    at = F.explode(F.sequence(F.lit(0).cast(L), F.ceil(F.col("n") / 3265) - 1)).alias("chunk_index")
+    return maps.select("doc_id", "clean_pages", at).select("doc_id", "chunk_index", edits.page_of(F.col("chunk_index") * 3265, F.col("clean_pages")).alias("page"))
+
+
+@register("chk7_pages_of_chunks")
+def chk7_real(s, d):
+    """Chunks of the clean texts, at legal and sentence ends, with the page they begin on."""
+    maps = edits.mapped(dealt(_marked(s, d), "doc_id"))
+    chunks = chunking.chunk(maps.select("doc_id", F.col("clean").alias("text"))).drop("chunk_text")
+    paged = chunks.join(maps.select("doc_id", "clean_pages"), "doc_id")
+    return paged.withColumn("page", edits.page_of(F.col("start_offset"), F.col("clean_pages"))).drop("clean_pages")
 
 
 @register("nrm2_signature_codes", r"""
