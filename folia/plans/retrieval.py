@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folia.catalog import register
 from folia.functions import selection
-from folia.operators import metering, retrieval, snapshot
+from folia.operators import cache, metering, retrieval, snapshot
 from folia.functions.signing import signature
 from folia.operators.ranks import numbered
 from folia.operators.upserts import latest
@@ -152,12 +152,35 @@ def ret16(s, d):
     return table(s, d, "orders").select("o_orderkey").join(lines, "o_orderkey")
 
 
-@register("ret17_prompt_cache_keys")
+HASHED = "list_reduce(list_concat([0::BIGINT], list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295)"
+
+
+@register("ret17_prompt_cache_keys", f"""
+SELECT doc_id, CASE WHEN h >= 2147483648 THEN '-' || lower(to_base(4294967296 - h, 36)) ELSE lower(to_base(h, 36)) END AS cache_key FROM (SELECT doc_id, {HASHED} AS h FROM documents WHERE length(text) > 4092)""")
 def ret17(s, d):
-    """A 32-bit rolling hash of each prompt of 1,024 tokens or more (four characters each), as a fold."""
-    step = lambda h, c: F.pmod(h * 31 + F.ascii(c), F.lit(1 << 32))
-    long = table(s, d, "documents").where(F.length("text") >= 4096)
-    return long.select("doc_id", F.aggregate(F.split("text", ""), F.lit(0).cast(L), step).alias("cache_key"))
+    """The key of each prompt of 1,024 tokens or more (four characters each)."""
+    return table(s, d, "documents").where(cache.worth_caching(F.col("text"))).select("doc_id", cache.prompt_hash(F.col("text")).alias("cache_key"))
+
+
+@register("ret17_cache_over_time", """
+WITH a AS (SELECT doc_id, source, text, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS model, coalesce(length(text) > 4092, false) AS long FROM documents),
+k AS (SELECT model, text, min(doc_id) FILTER (doc_id % 2 = 0) AS c0, min(doc_id) AS c1, arg_min(source, doc_id) FILTER (doc_id % 2 = 0) AS s0, arg_min(source, doc_id) AS s1 FROM a WHERE long GROUP BY 1, 2),
+j AS (SELECT a.*, c0, c1, coalesce(s0, s1) IS NOT DISTINCT FROM 'src3' AS gone FROM a LEFT JOIN k USING (model, text))
+SELECT 0 AS round, doc_id, CASE WHEN NOT long THEN 'short' WHEN doc_id = c0 THEN 'miss' ELSE 'shared' END AS status FROM j WHERE doc_id % 2 = 0
+UNION ALL SELECT 1, doc_id, CASE WHEN NOT long THEN 'short' WHEN c0 IS NOT NULL THEN 'hit' WHEN doc_id = c1 THEN 'miss' ELSE 'shared' END FROM j
+UNION ALL SELECT 2, doc_id, CASE WHEN NOT long THEN 'short' WHEN NOT gone AND c0 IS NULL THEN 'hit' WHEN doc_id <> c1 THEN 'shared' WHEN gone THEN 'miss' ELSE 'expired' END FROM j""")
+def ret17_rounds(s, d):
+    """Prompts that are asked for at 0, 20 and 35 minutes; entries live 30 minutes, and those of one source are invalidated after the second time."""
+    path = shared(s, "cache")
+    asked = table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b").alias("model"), F.col("text").alias("prompt"), F.col("source").alias("case_id"))
+
+    def at(number, minute, rows):
+        made = cache.serve(rows, path, f"2024-01-01 10:{minute:02d}:00", lambda df: df.withColumn("value", F.concat_ws(":", "model", "hash")), "doc_id")
+        return made.select(F.lit(number).alias("round"), "doc_id", "status")
+
+    rounds = [at(0, 0, asked.where("doc_id % 2 = 0")), at(1, 20, asked)]
+    cache.invalidate(s, path, s.createDataFrame([("src3",)], "case_id string"))
+    return rounds[0].unionByName(rounds[1]).unionByName(at(2, 35, asked))
 
 
 @register("dif1_canonical_values", r"SELECT c_custkey, trim(regexp_replace(CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN '  a  ' || c_name ELSE CASE WHEN c_acctbal > 0 THEN 'sí' ELSE 'no' END END, '\s+', ' ', 'g')) AS v FROM customer")
