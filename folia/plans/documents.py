@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folia.catalog import register
-from folia.functions import chunking, edits, html, normalise, sections
+from folia.functions import chunking, edits, html, normalise, page_choice, sections
 from folia.sources.tables import cell, dealt, table
 
 L = "long"
@@ -368,6 +368,42 @@ def sel2(s, d):
     return table(s, d, "pages").select("page_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("score"))
 
 
+FOUND = """
+made AS (SELECT page_id, page_id % 5 AS a, page_id % 12 AS b FROM pages),
+score AS (SELECT page_id, 4 + CASE WHEN a > 0 THEN 0.5 ELSE 0 END + CASE WHEN a > 1 THEN 0.15 * (a + 1) ELSE 0 END + 0.1 * a AS one, 2 + CASE WHEN b > 0 THEN 0.5 ELSE 0 END + CASE WHEN b > 1 THEN 0.15 * least(b + 1, 10) ELSE 0 END + 0.1 * least(b, 10) AS two, page_id % 3 AS kind FROM made)"""
+
+
+def _with_tables(s, d):
+    """Pages with invented tables and elements after their own text: one table or two by page_id % 3, of rows by page_id."""
+    pages = table(s, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    n = lambda m: (F.col("page_id") % m).cast("int")
+    one = F.concat(F.lit("<table><thead><tr><th>ROL</th><th>Tribunal</th></tr></thead><tbody>"), F.repeat(F.lit('<tr><td><a href="#">fecha</a></td><td>x</td></tr>'), n(5)), F.lit("</tbody></table>"))
+    two = F.concat(F.lit("<table><tr><td>Fecha</td></tr>"), F.repeat(F.lit("<tr><td>tipo <a>x</a></td></tr>"), n(12)), F.lit("</table>"))
+    tables = F.when(n(3) == 0, one).when(n(3) == 1, two).otherwise(F.concat(two, one))
+    links = F.concat(
+        F.lit('<a href="/docs/'), F.col("page_id").cast("string"), F.lit('.pdf" target="_blank">Descargar</a><button onclick="verDoc(1)">Abrir</button><a href="#" '),
+        F.when(n(2) == 1, F.lit('title="Sentencia"')).otherwise(F.lit("")), F.lit('><i class="fa-file-pdf"></i></a><a href="/p?page=2">Descargar pdf documento</a>'),
+    )
+    return pages.select("page_id", F.concat("html", tables, links).alias("html"))
+
+
+@register("sel1_best_table", "WITH " + FOUND + """
+SELECT page_id, CASE WHEN kind = 2 AND one > two THEN 1 ELSE 0 END AS table_no, CAST(round(best, 4) AS DOUBLE) AS score, CAST(round(least(best / 8, 0.9), 4) AS DOUBLE) AS confidence
+FROM (SELECT *, CASE kind WHEN 0 THEN one WHEN 1 THEN two ELSE greatest(one, two) END AS best FROM score) WHERE best > 2""")
+def sel1_best(s, d):
+    """The likeliest table of each page that has one."""
+    found = dealt(_with_tables(s, d), "page_id").select("page_id", page_choice.best_table(page_choice.facts("html")).alias("t"))
+    return found.where("t IS NOT NULL").select("page_id", "t.*")
+
+
+@register("sel2_download_elements", """
+SELECT page_id, 'a' AS tag, CAST(0.9 AS DOUBLE) AS score FROM pages UNION ALL SELECT page_id, 'button', 0.65 FROM pages UNION ALL SELECT page_id, 'a', 0.4 FROM pages WHERE page_id % 2 = 1""")
+def sel2_elements(s, d):
+    """The elements of each page that are likely to lead to a download."""
+    found = dealt(_with_tables(s, d), "page_id").select("page_id", F.explode(page_choice.download_elements(page_choice.facts("html"))).alias("e"))
+    return found.select("page_id", "e.tag", "e.score")
+
+
 @register("ttl1_title", r"""
 SELECT conv_id, turn, CASE WHEN length(text) <= 60 THEN text ELSE regexp_replace(substring(text, 1, 60), ' [^ ]*$', '') || '...' END AS title FROM conversations""")
 def ttl1(s, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folia.catalog import register
 from folia.operators import metering, worklist
 from folia.plans.retrieval import ATTEMPTS, attempts_of
+from folia.sources import digests
 from folia.sources.folders import shared
 from folia.sources.tables import moment, table
 from folia.streaming import queue, sinks
@@ -147,3 +148,11 @@ def met3_stream(s, d):
     rows = metering.counted_stream(attempts_of(queue.stream(s, d, "events")))
     done = queue.written_out(rows, shared(s, "counters")).groupBy("user_id", "action")
     return done.agg(F.count("*").alias("asked"), F.count_if(F.col("verdict") == "denied").alias("denied"), F.max("lifetime_count").alias("counter"))
+
+
+@register("dup2_digest_of_files")
+def dup2_files(s, d):
+    """Files of the pages, a hundred pages each: whole digests up to 64 KB, those of both ends beyond, and how much was read."""
+    folder = shared(s, "files")
+    table(s, d, "pages").select("html").write.option("maxRecordsPerFile", 100).text(folder)
+    return digests.file_digests(s, folder, "*.txt", 8192, 65_536).select("size", "digest", "bytes_read")
