@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folia.operators.snapshot import canonical, truncation
+from folia.sources.folders import stored
 
 CASE = "metadata"
 
@@ -153,7 +154,7 @@ def changes(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
     hangs on it.  Added and removed records give one row without a field, changed ones one for each
     field that differs; of a case's own fields, a value that begins with the other is no change.  Empty
     values come out as null.  The branches of a level share one join with the level above and one
-    aggregate, so four levels cost four of each, however many branches there are.
+    aggregate, whose rows are stored, so every table is read once and four levels cost four of each.
     """
     names = F.create_map(*(x for b in BRANCHES for x in (F.lit(b.category), F.array(*map(F.lit, b.fields)) if b.fields else F.array().cast("array<string>"))))
     found, above = [], None
@@ -168,6 +169,7 @@ def changes(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
         last = lambda side: F.max_by(F.when(side, F.struct("id", "values", "shown")), F.when(side, F.struct("pos", "id")))
         both = rows.groupBy("case_id", "category", "pair", "key").agg(last(~F.col("is_new")).alias("o"), last(F.col("is_new")).alias("n"), F.max("book").alias("book"), F.max("of").alias("of"))
         both = both.withColumn("book", F.when(F.col("category") == "cuaderno", F.col("key")).otherwise(F.col("book")))
+        both = stored(both, "level")  # the next level and the result read it, so that no level is made twice
         if above is None:
             both = both.where("o IS NOT NULL AND n IS NOT NULL")
         found.append(_rows(both, names))

@@ -43,14 +43,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-zà-öø-ÿ]+"), lambda w: w != "")
 
 
+LETTERS = "a-zà-öø-ÿ"
+
+
 def text_search(docs: DataFrame, terms: list[str], k: int) -> DataFrame:
-    """(doc_id, rank) of texts that have all terms: their share of the words, ties by doc_id."""
-    def times(term: str) -> Column:
-        return F.size(F.filter("w", lambda x: x == term))
+    """(doc_id, rank) of texts that have all terms (words of letters): their share of the words, ties by doc_id.
 
-    for t in terms:  # a text without a term's letters isn't split into words
-        docs = docs.where(F.contains(F.lower("text"), F.lit(t)))
-    counted = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), *(times(t).alias(f"t{i}") for i, t in enumerate(terms)))
+    Words are counted by patterns, never made: a text without a term's letters isn't looked at further.
+    """
+    low = F.lower("text")
+    for t in terms:
+        docs = docs.where(F.contains(low, F.lit(t)))
+    times = [F.regexp_count(low, F.lit(f"(?<![{LETTERS}]){t}(?![{LETTERS}])")).alias(f"t{i}") for i, t in enumerate(terms)]
+    counted = docs.select("doc_id", F.regexp_count(low, F.lit(f"[{LETTERS}]+")).alias("n"), *times)
     hits = sum(F.col(f"t{i}") for i in range(len(terms)))
     every = F.array_min(F.array(*(F.col(f"t{i}") for i in range(len(terms))))) > 0
     return counted.where(every).select("doc_id", F.round(hits / F.col("n"), 6).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(k)
