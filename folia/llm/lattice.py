@@ -219,13 +219,14 @@ def fit_classes(docs: DataFrame, pieces: Pieces, classes: int = CLASSES, rounds:
     number = {pieces.text[k][1:]: i for i, k in enumerate(order[:CLASS_WORDS])}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                own, n = np.unique(np.fromiter(map(number.get, words_of(text or b""), repeat(-1)), np.int32), return_counts=True)
-                ids.append(own[own >= 0])
-                counts.append(n[own >= 0])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=["ids", "counts"])
+        for whole in batches:
+            for at, rows in by_bytes(whole.column(0), 4_000_000):
+                ids, counts = [], []
+                for text in whole.column(0).slice(at, rows).cast(pa.binary()).to_pylist():
+                    own, n = np.unique(np.fromiter(map(number.get, words_of(text or b""), repeat(-1)), np.int32), return_counts=True)
+                    ids.append(own[own >= 0])
+                    counts.append(n[own >= 0])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=["ids", "counts"])
 
     rows = written(docs.select("text").mapInArrow(lean(count), "ids array<int>, counts array<long>").where(F.size("ids") > 0), "class_counts")
     now = Classes(number, np.full(classes, 1 / classes), np.random.default_rng(11).normal(0, 1, (classes, len(number))) - 7)
