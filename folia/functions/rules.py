@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Procedures that are none of the classes, and the classes by keyword, the first that fits.
@@ -77,6 +77,17 @@ WEB_FORMS = (
     r"\bbusca\w*\b.{0,60}\bonline\b",
 )
 WEB_TOPICS = ("jurisprudencia", "sentencia de", "corte suprema", "corte de apelaciones", "fallos sobre", "criterio jurisprudencial", "precedente", "doctrina", "recurso de casación", "recurso de protección", "recurso de nulidad", "unificación de jurisprudencia")
+# What questions of deadlines and of changes say.
+DEADLINE_QUESTIONS = (
+    "plazos fatales", "plazos vigentes", "próximos plazos", "análisis de plazos", "plazo para contestar", "plazo para apelar", "plazo para oponer excepciones",
+    "plazo para recurrir", "vencimiento de plazo", "plazos que corren", "días para contestar", "cuántos días quedan", "cuándo vence", "plazos procesales", "plazos pendientes",
+)
+UPDATE_QUESTIONS = (
+    "cambios de la última sincronización", "cambios de la ultima sincronización", "cambios de la última sincronizacion", "cambios de la ultima sincronizacion",
+    "cambios de sincronización", "cambios de sincronizacion", "actualizaciones de la causa", "actualizaciones de sincronización", "actualizaciones de sincronizacion",
+    "qué cambió en la causa", "que cambió en la causa", "que cambio en la causa", "qué cambio en la causa", "novedades de la causa", "novedades de sincronización", "novedades de sincronizacion",
+    "cambios detectados", "últimos cambios", "ultimos cambios", "cambios recientes", "diferencias de sincronización", "diferencias de sincronizacion",
+)
 # Tags of a file by its address and caption, the first that fits.
 FILE_TAGS = (
     ("resolucion", r"resoluci[oó]n|auto\b|sentencia|decreto"),
@@ -162,6 +173,57 @@ def asks_for_web(question: Column) -> Column:
     return has_any(question, WEB_WORDS) | F.lower(question).rlike("(?iu)" + "|".join(WEB_FORMS))
 
 
+def answer_mode(question: Column, changes: Column, enabled: Column | None = None) -> Column:
+    """(mode, specialised, whole_context, web, asked_for_web) of a question: how it is answered and with what.
+
+    A question of deadlines comes before one of changes, which has a prompt of its own only where the last sync
+    has ``changes`` (their number, null for none); both get the whole text of the case, others its sections that they ask for.  The web is
+    searched where that is ``enabled`` or the question calls for it, whatever the mode.
+    """
+    deadline, updates = has_any(question, DEADLINE_QUESTIONS), has_any(question, UPDATE_QUESTIONS)
+    web = web_search(question) if enabled is None else web_search(question) | F.coalesce(enabled, F.lit(False))
+    mode = F.when(deadline, "deadline").when(updates, "updates").otherwise("plain")
+    specialised = deadline | (updates & (F.coalesce(changes, F.lit(0)) > 0))
+    return F.struct(mode.alias("mode"), specialised.alias("specialised"), (deadline | updates).alias("whole_context"), web.alias("web"), (web & asks_for_web(question)).alias("asked_for_web"))
+
+
+def inventory_label(reference: Column, procedure: Column, filename: Column, origin: Column, folio: Column, book: Column, date: Column) -> Column:
+    """How a document is called in an inventory: its reference, else procedure, file or origin, with folio and book, and its date."""
+    of = F.coalesce(origin, F.lit("documento"))
+    name = F.coalesce(*(F.nullif(x, F.lit("")) for x in (reference, procedure, filename)), of)
+    place = F.concat(F.lit("("), F.concat_ws(", ", of, F.concat(F.lit("F"), folio.cast("string")), _given(book)), F.lit(")"))
+    return F.concat_ws(" — ", name, place, _given(date))
+
+
+# The lines of an inventory.
+INVENTORY = ("=== INVENTARIO DE DOCUMENTOS DE LA CAUSA ===", "REGLA: Solo puedes afirmar sobre el contenido de documentos [INCLUIDO].", "Para documentos [NO INCLUIDO] o [SIN TEXTO EXTRAÍDO], declara explícitamente que no tienes acceso a su contenido.", "=== FIN INVENTARIO ===")
+INVENTORY_PARTS = (
+    ("included", " [INCLUIDO]", "INCLUIDOS EN CONTEXTO (", " docs — puedes analizar su contenido):"),
+    ("left_out", " [NO INCLUIDO por presupuesto de contexto]", "NO INCLUIDOS (", " docs — texto extraído pero fuera de presupuesto):"),
+    ("pending", " [SIN TEXTO EXTRAÍDO — PDF pendiente de procesamiento]", "PENDIENTES DE EXTRACCIÓN (", " docs — NO disponibles):"),
+)
+INVENTORY_NOTE = (
+    "", "⚠️ NOTA: Hay documentos recién sincronizados cuyo texto aún se está extrayendo.", "Si el usuario pregunta por su contenido, informa que los documentos se están procesando",
+    "y que el análisis completo estará disponible en unos momentos al consultar nuevamente.",
+)
+
+
+def inventories(docs: DataFrame) -> DataFrame:
+    """(case_id, inventory) of ``docs`` (case_id, pos, label, selected, completed, syncing): one text a case, whose documents are in it, left out or pending, by ``pos``.
+
+    The note on documents whose text is being extracted is there where one of a case is ``syncing``.
+    """
+    state = F.when(F.col("selected"), "included").when(F.col("completed"), "left_out").otherwise("pending")
+    row = docs.withColumn("state", state)
+    lists = [F.array_sort(F.collect_list(F.when(F.col("state") == name, F.struct("pos", F.concat(F.lit("  - "), "label", F.lit(end)).alias("line"))))).alias(name) for name, end, _, _ in INVENTORY_PARTS]
+    cases = row.groupBy("case_id").agg(*lists, F.coalesce(F.bool_or("syncing"), F.lit(False)).alias("syncing"))
+    none = F.array().cast("array<string>")
+    parts = [F.when(F.size(n) > 0, F.concat(F.array(F.concat(F.lit(head), F.size(n).cast("string"), F.lit(tail))), F.col(f"{n}.line"))).otherwise(none) for n, _, head, tail in INVENTORY_PARTS]
+    note = F.when(F.col("syncing"), F.array(*map(F.lit, INVENTORY_NOTE))).otherwise(none)
+    lines = F.concat(F.array(F.lit(INVENTORY[0])), *parts, note, F.array(F.lit(""), *map(F.lit, INVENTORY[1:])))
+    return cases.select("case_id", F.array_join(lines, "\n").alias("inventory"))
+
+
 def file_tag(url: Column, caption: Column) -> Column:
     return F.coalesce(first_rule(F.concat(F.lower(F.coalesce(url, F.lit(""))), F.lit(" "), F.upper(F.coalesce(caption, F.lit("")))), FILE_TAGS), F.lit("otro"))
 

@@ -153,3 +153,45 @@ def dup6_tiers(s, d):
     """Documents as files of 65,536 bytes a character: tiers and what they cost."""
     size = F.col("n_chars").cast("long") * 65_536
     return table(s, d, "documents").select("doc_id", rules.size_tier(size).alias("tier"), rules.processing_estimates(size).alias("x")).select("doc_id", "tier", "x.*")
+
+
+ENDINGS = ("¿Cuándo vence?", "Dime los últimos cambios", "busca en internet jurisprudencia", "cambios detectados y PLAZOS FATALES", "¿Qué hay de nuevo?", "Últimos Cambios de la ley, jurisprudencia", "días para contestar; investiga esto en la web")
+DEADLINES_SQL = "plazos fatales|plazos vigentes|próximos plazos|análisis de plazos|plazo para contestar|plazo para apelar|plazo para oponer excepciones|plazo para recurrir|vencimiento de plazo|plazos que corren|días para contestar|cuántos días quedan|cuándo vence|plazos procesales|plazos pendientes"
+UPDATES_SQL = "cambios de la [uú]ltima sincronizaci[oó]n|(cambios|actualizaciones|novedades|diferencias) de sincronizaci[oó]n|(actualizaciones|novedades) de la causa|qu[eé] cambi[oó] en la causa|cambios detectados|[uú]ltimos cambios|cambios recientes"
+
+
+@register("ret13_answer_modes", f"""
+SELECT conv_id, turn, CASE WHEN d THEN 'deadline' WHEN u THEN 'updates' ELSE 'plain' END AS mode, d OR (u AND turn % 2 = 1) AS specialised, d OR u AS whole_context, w AS web,
+  w AND regexp_matches(q, '{WORDS_SQL}|\\b(busca|investiga)\\w*\\b.{{0,60}}\\ben\\s+(la\\s+)?(web|internet|google|línea|linea)\\b') AS asked_for_web
+FROM (SELECT *, regexp_matches(q, '{DEADLINES_SQL}') AS d, regexp_matches(q, '{UPDATES_SQL}') AS u, regexp_matches(q, '{WORDS_SQL}|{TOPICS_SQL}') OR conv_id % 9 = 0 AS w
+  FROM (SELECT conv_id, turn, lower(coalesce(text, '') || ' ' || {_sql_phrase('(conv_id + turn)', ENDINGS)}) AS q FROM conversations))""")
+def ret13_modes(s, d):
+    """How each question is answered: deadlines before changes before others, the web beside them."""
+    asked = table(s, d, "conversations").withColumn("key", F.col("conv_id") + F.col("turn"))
+    asked = asked.select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), _phrase("key", ENDINGS)).alias("q"))
+    mode = rules.answer_mode(F.col("q"), F.when(F.col("turn") % 2 == 1, F.lit(3)), F.col("conv_id") % 9 == 0)
+    return asked.select("conv_id", "turn", mode.alias("m")).select("conv_id", "turn", "m.*")
+
+
+@register("ret9_inventories", """
+WITH d AS (SELECT source, doc_id, doc_id % 3 = 0 AS selected, doc_id % 7 <> 0 AS completed,
+  concat_ws(' — ', CASE doc_id % 4 WHEN 0 THEN 'Ref ' || doc_id WHEN 1 THEN 'Resolución' WHEN 2 THEN doc_id || '.pdf' ELSE coalesce(lang, 'documento') END,
+    '(' || coalesce(lang, 'documento') || CASE WHEN doc_id % 3 = 0 THEN ', F' || doc_id % 10 ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ', Principal' ELSE '' END || ')', CASE WHEN doc_id % 2 = 0 THEN '01/02/2024' END) AS label FROM documents),
+c AS (SELECT source, count(*) FILTER (selected) AS a, count(*) FILTER (NOT selected AND completed) AS b, count(*) FILTER (NOT selected AND NOT completed) AS c,
+  string_agg('  - ' || label || ' [INCLUIDO]', chr(10) ORDER BY doc_id) FILTER (selected) AS x,
+  string_agg('  - ' || label || ' [NO INCLUIDO por presupuesto de contexto]', chr(10) ORDER BY doc_id) FILTER (NOT selected AND completed) AS y,
+  string_agg('  - ' || label || ' [SIN TEXTO EXTRAÍDO — PDF pendiente de procesamiento]', chr(10) ORDER BY doc_id) FILTER (NOT selected AND NOT completed) AS z FROM d GROUP BY source)
+SELECT source AS case_id, md5(concat_ws(chr(10), '=== INVENTARIO DE DOCUMENTOS DE LA CAUSA ===', 'INCLUIDOS EN CONTEXTO (' || a || ' docs — puedes analizar su contenido):' || chr(10) || x,
+  'NO INCLUIDOS (' || b || ' docs — texto extraído pero fuera de presupuesto):' || chr(10) || y, 'PENDIENTES DE EXTRACCIÓN (' || c || ' docs — NO disponibles):' || chr(10) || z,
+  CASE WHEN c > 1 THEN chr(10) || '⚠️ NOTA: Hay documentos recién sincronizados cuyo texto aún se está extrayendo.' || chr(10) || 'Si el usuario pregunta por su contenido, informa que los documentos se están procesando' || chr(10) || 'y que el análisis completo estará disponible en unos momentos al consultar nuevamente.' END,
+  chr(10) || 'REGLA: Solo puedes afirmar sobre el contenido de documentos [INCLUIDO].', 'Para documentos [NO INCLUIDO] o [SIN TEXTO EXTRAÍDO], declara explícitamente que no tienes acceso a su contenido.', '=== FIN INVENTARIO ===')) AS inventory_md5 FROM c""")
+def ret9_whole(s, d):
+    """The inventory of each source's documents: those in the context, those left out, those without a text yet."""
+    i = F.col("doc_id")
+    label = rules.inventory_label(
+        F.when(i % 4 == 0, F.concat(F.lit("Ref "), i.cast("string"))), F.when(i % 4 == 1, "Resolución"), F.when(i % 4 == 2, F.concat(i.cast("string"), F.lit(".pdf"))), F.col("lang"),
+        F.when(i % 3 == 0, i % 10), F.when(i % 5 == 0, "Principal"), F.when(i % 2 == 0, "01/02/2024"),
+    )
+    docs = table(s, d, "documents").select(F.col("source").alias("case_id"), i.alias("pos"), label.alias("label"), (i % 3 == 0).alias("selected"), (i % 7 != 0).alias("completed"))
+    waits = docs.where("NOT selected AND NOT completed").groupBy("case_id").agg((F.count("*") > 1).alias("syncing"))
+    return rules.inventories(docs.join(waits, "case_id", "left")).select("case_id", F.md5("inventory").alias("inventory_md5"))
