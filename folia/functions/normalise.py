@@ -18,7 +18,12 @@ REPEATED_ROL = r"[CEV]-\d{1,6}-\d{4}\s+Foja:\s*\d+"
 HOUR_NOTICE = r"(?isu)A contar del \d{2} de \p{L}+ de \d{4},\s*la hora visualizada .*?https?://www\.horaoficial\.cl"
 PRIVATE_SIGNER = r"(?iu)C[óo]digo:\s*\d{10,20}\s+validar en https?://www\.esigner\.cl/\S+"
 SCANNER = r"(?i)Scanned with \w+"
-HEADER = r"(?isu)NOMENCLATURA\s*:.*?JUZGADO\s*:\s*(.*?)\s*CAUSA\s+ROL\s*:\s*([CEV]-\d{1,6}-\d{4})\s+CARATULADO\s*:\s*([^,]*?)(?=\s+\p{L}+,)"
+HEADER = (
+    r"(?iu)(?:FOJA:\s*\d+\s*\.-[^.]*?\.-\s*)?NOMENCLATURA\s*:\s*(?:\d+\.\s*\[\d+\][^\[]*?)+\s*JUZGADO\s*:\s*(.*?)(?:\s*º)?\s*CAUSA\s+ROL\s*:\s*([CEV]-\d{1,6}-\d{4})"
+    r"\s+CARATULADO\s*:\s*([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s./()&0-9-]*)(?=\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+,)"
+)
+SHEET = r"FOJA:\s*(\d+)\s*\.-\s*([^.]*)\.-"
+NOMENCLATURE = r"\[(\d+)\]([^\[]*?)(?=\d+\.\s*\[|\s*JUZGADO)"
 FLOATING_ACCENT = r"\s+[óáéíúñÓÁÉÍÚÑ]\s+(?=\p{L})"
 GARBLED_SIGNATURE = r"(?iu)[A-ZÁÉÍÓÚÑ]+\s+Firmado\s+digitalmente\s+[A-ZÁÉÍÓÚÑ]+\s+por\s+[A-ZÁÉÍÓÚÑ\s]+\s*Fecha:\s*\d{4}\.\d{2}\.\d{2}\s*[A-ZÁÉÍÓÚÑ]+\s+\d{2}:\d{2}:\d{2}\s*-\d{2}'\d{2}'"
 # Words that lose an accented letter in extraction, and how they are spelt, in the order of their repair.
@@ -47,7 +52,7 @@ REPAIRS = (
     ("|D cimo|", "Décimo"), ("|d cimo|", "décimo"), ("|D CIMO|", "DÉCIMO"), ("|vig simo", "vigésimo"), ("|VIG SIMO", "VIGÉSIMO"), ("|S ptimo|", "Séptimo"), ("|s ptimo|", "séptimo"), ("|S PTIMO|", "SÉPTIMO"), ("|Und cimo", "Undécimo"), ("|UND CIMO", "UNDÉCIMO"), ("|Duod cimo", "Duodécimo"), ("|DUOD CIMO", "DUODÉCIMO"),
     # verbs and closing formulas
     ("|concedi |", "concedió"), ("|recibi |", "recibió"), ("|Reg strese", "Regístrese"), ("|reg strese", "regístrese"), ("|notif quese", "notifíquese"), ("|arch vese", "archívese"),
-    # numbers in words
+    # numbers in words ("veintid s" is 22, and is spelt as 23 here as it is there: a known error that results must share)
     ("|veintis is|", "veintiséis"), ("|Veintis is|", "Veintiséis"), ("|veintitr s|", "veintitrés"), ("|Veintitr s|", "Veintitrés"), ("|veintid s|", "veintitrés"), ("|Veintid s|", "Veintitrés"), ("|habi ndose|", "habiéndose"), ("|Est ndose|", "Estándose"),
 )
 # The labelled fields of a certificate of sending.
@@ -136,6 +141,26 @@ def header(text: Column) -> Column:
     return F.struct(*(F.trim(F.regexp_replace(F.regexp_extract(text, HEADER, k), r"\s+", " ")).alias(n) for k, n in ((1, "court"), (2, "rol"), (3, "caption"))))
 
 
+def header_block(text: Column) -> Column:
+    """All that a document's first header says: sheet, its number in words, nomenclatures by code, court, rol and caption; null where there is no header.
+
+    A court's number gets the sign of an ordinal that extraction lost, or took to the end of the name.  The caption is that of its first line.
+    """
+    block = F.regexp_extract(text, HEADER, 0)
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    court = given(F.regexp_replace(F.regexp_extract(text, HEADER, 1), r"(?U)\s+", " "))
+    court = F.when(court.rlike(r"^\d+\s") & ~F.contains(court, F.lit("º")), F.regexp_replace(court, r"^(\d+)\s", "$1º ")).otherwise(court)
+    parts = F.arrays_zip(F.regexp_extract_all(block, F.lit(NOMENCLATURE), F.lit(1)).alias("code"), F.regexp_extract_all(block, F.lit(NOMENCLATURE), F.lit(2)).alias("text"))
+    named = F.transform(parts, lambda x: F.struct(x["code"].cast("int").alias("code"), F.trim(F.regexp_replace(x["text"], r"\s+", " ")).alias("text")))
+    return F.when(
+        block != "",
+        F.struct(
+            F.nullif(F.regexp_extract(block, SHEET, 1), F.lit("")).cast("int").alias("sheet"), given(F.regexp_extract(block, SHEET, 2)).alias("sheet_text"), named.alias("nomenclatures"),
+            court.alias("court"), F.regexp_extract(text, HEADER, 2).alias("rol"), given(F.regexp_extract(F.regexp_extract(text, HEADER, 3), r"^[^\n]*", 0)).alias("caption"),
+        ),
+    )
+
+
 def annotated(text: Column, *kinds: str) -> Column:
     """A dry run: each artefact stays, between marks that name its kind, instead of being removed."""
     for kind, pattern in REMOVALS:

@@ -91,6 +91,22 @@ def nrm5(s, d):
     return table(s, d, "documents").select("doc_id", normalise.header(F.col("text")).alias("h")).select("doc_id", "h.*")
 
 
+@register("nrm5_header_block", """
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS sheet, CASE WHEN doc_id % 2 = 0 THEN 'en palabras' END AS sheet_text, doc_id % 100 || ' Sentencia, 445 Mero trámite' AS nomenclatures,
+  (doc_id % 30 + 1) || 'º Juzgado Civil de Santiago' AS court, 'C-' || doc_id % 999999 || '-2020' AS rol, 'PARTE ' || doc_id || '/BANCO S.A.' AS caption FROM documents WHERE doc_id % 5 <> 0
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 5 = 0""")
+def nrm5_block(s, d):
+    """All fields of an invented header before each text but every fifth; a court's number has lost its sign or has it at the end of the name."""
+    i = F.col("doc_id").cast("string")
+    sheet = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("FOJA: "), i, F.lit(" .- en palabras .- "))).otherwise("")
+    court = F.concat(((F.col("doc_id") % 30) + 1).cast("string"), F.when(F.col("doc_id") % 3 == 0, " Juzgado Civil de Santiago º").when(F.col("doc_id") % 3 == 1, "º Juzgado Civil de Santiago").otherwise(" Juzgado  Civil de Santiago"))
+    made = F.concat(sheet, F.lit("NOMENCLATURA : 1. ["), (F.col("doc_id") % 100).cast("string"), F.lit("]Sentencia 2. [445]Mero trámite JUZGADO : "), court, F.lit(" CAUSA ROL : C-"), (F.col("doc_id") % 999999).cast("string"), F.lit("-2020 CARATULADO : PARTE "), i, F.lit("/BANCO S.A. Santiago, dos de enero. "))
+    text = F.concat(F.when(F.col("doc_id") % 5 != 0, made).otherwise(""), F.coalesce("text", F.lit("")))
+    h = table(s, d, "documents").select("doc_id", normalise.header_block(text).alias("h"))
+    codes = F.array_join(F.transform("h.nomenclatures", lambda x: F.concat_ws(" ", x["code"].cast("string"), x["text"])), ", ")
+    return h.select("doc_id", "h.sheet", "h.sheet_text", codes.alias("nomenclatures"), "h.court", "h.rol", "h.caption")
+
+
 @register("nrm6_hour_notice", r"""
 SELECT doc_id, md5(regexp_replace(text, '(?is)A contar del \d{2} de \pL+ de \d{4},\s*la hora visualizada .*?https?://www\.horaoficial\.cl', '', 'g')) AS rest FROM documents""")
 def nrm6(s, d):

@@ -198,3 +198,16 @@ def test_stored_index_finds_what_the_texts_give(spark, tmp_path):
         want = [tuple(r) for r in fulltext.search(docs, query, 5).collect()]
         assert [tuple(r) for r in fulltext.search_stored(index, query, 5).collect()] == want, query
     fulltext.store(docs.limit(0), str(tmp_path / "empty"))
+
+
+def test_header_block(spark):
+    text = "x FOJA: 12 .- doce .- NOMENCLATURA : 1. [40]Sentencia 2. [445]Mero trámite JUZGADO : 3 Juzgado Civil de Santiago CAUSA ROL : C-123-2020 CARATULADO : PÉREZ Y OTROS/BANCO S.A. Santiago, dos"
+    block = one(spark, normalise.header_block(F.lit(text)), x=1)
+    assert (block["sheet"], block["sheet_text"], block["court"], block["rol"], block["caption"]) == (12, "doce", "3º Juzgado Civil de Santiago", "C-123-2020", "PÉREZ Y OTROS/BANCO S.A.")
+    assert [tuple(n) for n in block["nomenclatures"]] == [(40, "Sentencia"), (445, "Mero trámite")]
+    assert one(spark, normalise.removed(F.lit(text), "header"), x=1) == "x  Santiago, dos"
+    loose = "NOMENCLATURA : sin códigos JUZGADO : 1 CAUSA ROL : C-1-2020 CARATULADO : A/B Talca, tres"
+    assert one(spark, normalise.header_block(F.lit(loose)), x=1) is None and one(spark, normalise.removed(F.lit(loose), "header"), x=1) == loose
+    late = "NOMENCLATURA : 1. [1]Auto JUZGADO : 1 Juzgado de Letras º CAUSA ROL : E-1-2021 CARATULADO : A\nB Talca, tres"
+    block = one(spark, normalise.header_block(F.lit(late)), x=1)
+    assert (block["sheet"], block["court"], block["caption"]) == (None, "1º Juzgado de Letras", "A")
