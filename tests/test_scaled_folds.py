@@ -27,8 +27,7 @@ def test_ranks_and_running_sums(spark):
     assert ranked(df.limit(0), "n", ["g"], ["k"]).collect() == []
 
 
-@pytest.mark.parametrize("chunk", [7, 10_000])
-@pytest.mark.parametrize("budget", [0, 60, 5000])
+@pytest.mark.parametrize("chunk,budget", [(7, 0), (7, 60), (10_000, 60), (7, 5000)])
 def test_greedy_in_chunks(spark, chunk, budget):
     rows = rows_of(random.Random(2), 250) + [("late", 1, 900, 10**6), ("late", 2, 901, 1), ("none", 1, 902, 10**6), ("null", 1, 903, None), ("null", 2, 904, 2)]
     want = {}
