@@ -10,6 +10,7 @@ from folia.functions import selection
 from folia.operators import cache, metering, retrieval, snapshot
 from folia.functions.signing import signature
 from folia.operators.ranks import numbered
+from folia.operators.selecting import select_spread
 from folia.operators.upserts import latest
 from folia.sources.folders import shared
 from folia.sources.tables import dealt, table
@@ -96,6 +97,15 @@ def ret8(s, d):
     return selection.select(docs, ["anexo_causa"], "sumario", 5_000, ["escrito"])
 
 
+@register("ret8_selection_spread")
+def ret8_spread(s, d):
+    """The same, with each source's documents spread over tasks."""
+    kinds = F.array(*map(F.lit, ("demanda", "resolucion", "escrito", "acta de audiencia", "anexo_causa", "otro")))
+    kind = F.get(kinds, F.pmod("doc_id", F.lit(6)).cast("int"))
+    docs = table(s, d, "documents").select(F.col("source").alias("case_id"), "doc_id", kind.alias("document_type"), F.col("doc_id").alias("created_at"), "text")
+    return select_spread(docs, ["anexo_causa"], "sumario", 5_000, ["escrito"])
+
+
 @register("ret9_inventory_text", """
 SELECT source, string_agg(lang || ':' || n, ', ' ORDER BY lang) AS inventory FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY source""")
 def ret9(s, d):

@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from folia.functions import selection
 from folia.operators import worklist
 from folia.operators.budget import greedy
 from folia.operators.ranks import ranked, running
+from folia.operators.selecting import select_spread
 from folia.sources.commits import commits
 
 
@@ -112,3 +114,13 @@ def test_tasks_that_come_as_a_stream(spark, tmp_path):
     put(spark.createDataFrame(tasks, KIND), 1)  # a replay
     done = shown(worklist.resume(spark.createDataFrame([], KIND), path, work, 10**6))
     assert set(done) == set(range(40)) and {t: v[:3] for t, v in done.items()} == {t: v[:3] for t, v in sequential(tasks, 10**6).items()}
+
+
+def test_selection_that_is_spread_over_tasks(spark):
+    rng = random.Random(9)
+    kinds = ("demanda", "resolución", "escrito", "mandamiento de ejecución", "anexo", "sentencia", "otro", None)
+    rows = [(rng.choice(("hot", "hot", "a")), i, rng.choice(kinds), rng.randrange(60), "x" * rng.choice((0, 3, 40, 90, 400)), rng.choice((None, "anexo", "Escrito"))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "case_id string, doc_id long, document_type string, created_at long, text string, origin string").repartition(4)
+    how = {"priority": ["anexo"], "procedure": "ejecutivo", "budget": 500, "changed": ["escrito"]}
+    want = sorted(map(tuple, selection.select(docs, **how).collect()))
+    assert sorted(map(tuple, select_spread(docs, **how, chunk=11).collect())) == want and len({p for _, _, p, _ in want}) >= 3
