@@ -107,12 +107,12 @@ def _without_suffix(word: str, starts: dict[str, int]) -> str:
     known = _STEP_1.get(end)
     if known is None or len(word) - len(end) < starts[known.region]:
         return word
-    word = word[: len(word) - len(end)] + known.instead
+    word, last = word[: len(word) - len(end)] + known.instead, ""
     for turn, choices in enumerate(known.before):
         more = _longest(word, choices)
-        if not more or len(word) - len(more) < starts["r2"] or (turn and last != "iv"):  # noqa: F821  set by the turn before
+        if not more or len(word) - len(more) < starts["r2"] or (turn and last != "iv"):  # only after iv is there a second turn
             break
-        word, last = word[: len(word) - len(more)], more  # noqa: F841
+        word, last = word[: len(word) - len(more)], more
     return word
 
 

@@ -72,7 +72,7 @@ def _with_cell(rows: DataFrame, centres: np.ndarray, vector: str) -> DataFrame:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            m = np.asarray([x for x in batch.column(at).to_pylist()], np.float64).reshape(batch.num_rows, -1)
+            m = np.asarray(batch.column(at).to_pylist(), np.float64).reshape(batch.num_rows, -1)
             cell = (m @ own.T).argmax(1).astype(np.int32) if len(own) else np.zeros(batch.num_rows, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=schema.names)
 
