@@ -14,6 +14,8 @@ from folia.sources.commits import commit, commits
 
 # How long prompts and case contexts are kept, in seconds, the least tokens of a prompt that is, and characters of a token.
 PROMPT_SECONDS, CASE_SECONDS, LEAST_TOKENS, CHARS = 30 * 60, 5 * 60, 1024, 4
+#: What an entry is found by: the hash, of which two prompts of one hash displace each other, or the text's digest too, so that each has its own.
+BY_HASH, BY_TEXT = ("model", "hash"), ("model", "hash", "digest")
 ENTRY = "model string, hash string, digest string, case_id string, made timestamp, expires timestamp, value string, gone boolean"
 
 
@@ -56,14 +58,14 @@ def worth_caching(prompt: Column) -> Column:
     return F.coalesce(F.ceil(F.length(prompt) / CHARS) >= LEAST_TOKENS, F.lit(False))
 
 
-def entries(spark: SparkSession, path: str) -> DataFrame:
-    """The newest entry of each model and hash that hasn't been taken out."""
+def entries(spark: SparkSession, path: str, by: tuple[str, ...] = BY_HASH) -> DataFrame:
+    """The newest entry of each model and hash (or of what ``by`` names) that hasn't been taken out."""
     done = commits(spark, path)
     if not done:
         return spark.createDataFrame([], ENTRY)
     base = max((n for n, token in done.items() if token.startswith("sweep")), default=0)
     rows = spark.read.schema(ENTRY + ", batch int").option("basePath", f"{path}/entries").parquet(*(f"{path}/entries/batch={n}" for n in done if n >= base))
-    newest = rows.groupBy("model", "hash").agg(F.max_by(F.struct(*rows.columns), "batch").alias("x")).select("x.*")
+    newest = rows.groupBy(*by).agg(F.max_by(F.struct(*rows.columns), "batch").alias("x")).select("x.*")
     return newest.where("NOT gone").drop("batch", "gone")
 
 
@@ -73,20 +75,20 @@ def _put(spark: SparkSession, path: str, rows: DataFrame, kind: str) -> None:
     commit(spark, path, number, f"{kind}.{number}")
 
 
-def serve(requests: DataFrame, path: str, now: str, make: Callable[[DataFrame], DataFrame], key: str = "request_id", seconds: int = PROMPT_SECONDS) -> DataFrame:
+def serve(requests: DataFrame, path: str, now: str, make: Callable[[DataFrame], DataFrame], key: str = "request_id", seconds: int = PROMPT_SECONDS, by: tuple[str, ...] = BY_HASH) -> DataFrame:
     """A batch of ``requests`` (``key``, model, prompt, case_id) at one moment: (``key``, status, value).
 
     ``hit``: a live entry of the model and hash has the same prompt.  ``miss`` and ``expired``: there is none, or one whose
     time is over at ``now``; ``make`` gives its new value, once for all requests of the batch, of which the smallest ``key`` makes it and
     the others are ``shared``.  ``short``: the prompt isn't worth caching, and has no value.  Two prompts of one
-    hash take turns, the last one made stays.
+    hash take turns, the last one made stays; ``BY_TEXT`` keeps them both.
     """
     spark, at = requests.sparkSession, F.lit(now).cast("timestamp")
     asked = requests.select(key, "model", "prompt", F.col("case_id").cast("string").alias("case_id"), worth_caching(F.col("prompt")).alias("long"))
     long = asked.where("long").withColumns({"hash": prompt_hash(F.col("prompt")), "digest": F.sha2("prompt", 256)})
-    known = entries(spark, path).select("model", "hash", F.col("digest").alias("was"), "expires", F.col("value").alias("kept"))
+    known = entries(spark, path, by).select(*by, F.col("digest").alias("was"), "expires", F.col("value").alias("kept"))
     first = F.row_number().over(Window.partitionBy("model", "hash", "digest").orderBy(key)) == 1
-    met = long.join(known, ["model", "hash"], "left")
+    met = long.join(known, list(by), "left")
     same = F.coalesce(F.col("was") == F.col("digest"), F.lit(False))
     status = F.when(same & (F.col("expires") > at), "hit").when(~F.col("first"), "shared").when(same, "expired").otherwise("miss")
     rated = met.withColumn("first", first).withColumn("status", status)
@@ -95,19 +97,19 @@ def serve(requests: DataFrame, path: str, now: str, make: Callable[[DataFrame],
     rated = spark.read.schema(rated.drop("was", "expires", "first", "long").schema).parquet(held)
     made = make(rated.where(F.col("status").isin("miss", "expired")).drop("kept"))
     new = made.select("model", "hash", "digest", "case_id", at.alias("made"), (at + F.make_dt_interval(secs=F.lit(seconds))).alias("expires"), "value", F.lit(False).alias("gone"))
-    one = new.groupBy("model", "hash").agg(F.max_by(F.struct(*new.columns), "digest").alias("x")).select("x.*")
+    one = new.groupBy(*by).agg(F.max_by(F.struct(*new.columns), "digest").alias("x")).select("x.*")
     _put(spark, path, one, "serve")
     values = made.select("model", "digest", F.col("value").alias("fresh"))
     out = rated.join(values, ["model", "digest"], "left").select(key, "status", F.when(F.col("status") == "hit", F.col("kept")).otherwise(F.col("fresh")).alias("value"))
     return out.unionByName(asked.where("NOT long").select(key, F.lit("short").alias("status"), F.lit(None).cast("string").alias("value")))
 
 
-def invalidate(spark: SparkSession, path: str, cases: DataFrame) -> None:
+def invalidate(spark: SparkSession, path: str, cases: DataFrame, by: tuple[str, ...] = BY_HASH) -> None:
     """Takes out the entries of ``cases`` (case_id), live or not."""
     wanted = cases.select(F.col("case_id").cast("string").alias("case_id")).distinct()
-    _put(spark, path, entries(spark, path).join(wanted, "case_id", "left_semi").withColumn("gone", F.lit(True)), "invalidate")
+    _put(spark, path, entries(spark, path, by).join(wanted, "case_id", "left_semi").withColumn("gone", F.lit(True)), "invalidate")
 
 
-def sweep(spark: SparkSession, path: str, now: str) -> None:
+def sweep(spark: SparkSession, path: str, now: str, by: tuple[str, ...] = BY_HASH) -> None:
     """Writes the entries that still live at ``now`` anew; older batches are read no more."""
-    _put(spark, path, entries(spark, path).where(F.col("expires") > F.lit(now).cast("timestamp")).withColumn("gone", F.lit(False)), "sweep")
+    _put(spark, path, entries(spark, path, by).where(F.col("expires") > F.lit(now).cast("timestamp")).withColumn("gone", F.lit(False)), "sweep")

@@ -59,3 +59,17 @@ def test_prompts_of_one_hash(spark, tmp_path):
     assert {s for s, _ in run(spark, path, [(1, "m", one, 1), (2, "m", two, 1)], now).values()} == {"miss"}
     again = run(spark, path, [(1, "m", one, 1), (2, "m", two, 1)], now)
     assert sorted(s for s, _ in again.values()) == ["hit", "miss"] and again[1][1][2] == "A" and again[2][1][2] == "B"
+
+
+def test_query_keeps_prompts_of_one_hash_apart(spark, tmp_path):
+    import duckdb
+
+    from folia import catalog
+
+    tail = "x" * 5000
+    docs = spark.createDataFrame([(3 * k, t + tail, "src1") for k, t in enumerate(("Aa", "BB", "Aa", "BB", "C", "BB"))], "doc_id long, text string, source string")
+    docs.coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.queries()["ret17_cache_over_time"](spark, f"file://{tmp_path}").collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.execute(catalog.oracle_sql()["ret17_cache_over_time"]).fetchall())
