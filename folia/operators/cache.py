@@ -6,7 +6,6 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +44,9 @@ def base36(n: int) -> str:
 
 
 def prompt_hash(text: Column) -> Column:
-    """``rolling`` in base 36 of each text; null of a null one."""
-
-    def make(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: base36(rolling(t)), na_action="ignore")
-
-    return F.pandas_udf(make, "string")(text)
+    """``rolling`` in base 36 of each text, which is Java's hash of a string, so no text leaves the JVM; null of a null one."""
+    number = F.java_method(F.lit("java.util.Objects"), F.lit("hashCode"), text).cast("int")
+    return F.when(text.isNotNull(), F.java_method(F.lit("java.lang.Integer"), F.lit("toString"), number, F.lit(36)))
 
 
 def worth_caching(prompt: Column) -> Column:

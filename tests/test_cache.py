@@ -73,3 +73,10 @@ def test_query_keeps_prompts_of_one_hash_apart(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(db.execute(catalog.oracle_sql()["ret17_cache_over_time"]).fetchall())
+
+
+def test_keys_are_made_without_python(spark):
+    texts = ["", "hello", "😀" * 3000, "ñ" * 4093, None, "Aa", "BB"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", cache.prompt_hash(F.col("t")).alias("h"))
+    assert {r["k"]: r["h"] for r in rows.collect()} == {k: None if t is None else cache.base36(cache.rolling(t)) for k, t in enumerate(texts)}
+    assert "ArrowEvalPython" not in rows._jdf.queryExecution().toString()
