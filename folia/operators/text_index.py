@@ -11,9 +11,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from pyspark.sql import types as T
 
 from folia.functions import spanish
 
-#: Folders of a segment's postings; rows of a batch of postings; stems that a task remembers.
-PARTS, BATCH_ROWS, MEMORY = 64, 50_000, 100_000
+#: Folders of a segment's postings; rows of a batch of postings; words that are grouped at a time, beside the longest text; words whose lexeme a task remembers.
+PARTS, BATCH_ROWS, BATCH_WORDS, MEMORY = 64, 50_000, 500_000, 200_000
 POSTINGS = "lexeme string, doc_id long, positions array<int>, segment int, part int"
 WORD = re.compile(r"[a-zà-öø-ÿ0-9]+")
 #: What a cover of entries without words between them is worth: the weight of plain text.
@@ -36,44 +37,74 @@ class Segment(NamedTuple):
     token: str  # names the batch it was made from
 
 
-@lru_cache(MEMORY)
-def _stem(word: str) -> str:
-    return spanish.stem(word)
+#: Letters and digits of words among the characters of Latin-1, all others as spaces.
+LETTERS = bytes(b if WORD.fullmatch(bytes([b]).decode("latin-1")) else 32 for b in range(256))
+
+
+def _words(text: str | None) -> list[str]:
+    """The words of a text in order, as ``WORD`` finds them: all their characters are Latin-1's."""
+    return (text or "").lower().encode("latin-1", "replace").translate(LETTERS).decode("latin-1").split()
 
 
 def lexemes(text: str | None, config: str) -> list[tuple[str, int]]:
     """(lexeme, position from 1) of the indexed words; words that aren't indexed take up positions.  ``simple`` indexes every word as it is."""
-    words = enumerate(WORD.findall((text or "").lower()), 1)
+    words = enumerate(_words(text), 1)
     if config == "simple":
         return [(w, k) for k, w in words]
     skip = spanish.stop_words()
-    return [(_stem(w), k) for k, w in words if w not in skip]
+    return [(spanish.stem(w), k) for k, w in words if w not in skip]
+
+
+class _Codes(dict):
+    """Number of the lexeme of each word, -1 of a word that isn't indexed; a word's stem is made once."""
+
+    def __init__(self, config: str):
+        self.config, self.names, self.known = config, [], {}
+
+    def __missing__(self, word: str) -> int:
+        found = lexemes(word, self.config)
+        self[word] = code = self.known.setdefault(found[0][0], len(self.names)) if found else -1
+        if code == len(self.names):
+            self.names.append(found[0][0])
+        return code
 
 
 def postings(docs: DataFrame, config: str = "spanish") -> DataFrame:
     """(lexeme, doc_id, positions) of whole texts, made in the tasks that read them; a null or empty text has none."""
 
+    def grouped(ids: list[int], words: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        code = np.concatenate(words)
+        place = np.arange(1, len(code) + 1) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        key = np.repeat(np.arange(len(words)), lengths) * len(names) + code
+        kept = np.flatnonzero(code >= 0)
+        order = kept[np.argsort(key[kept], kind="stable")]  # places of a lexeme of a text stay in order
+        key = key[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
+        of, lexeme = np.divmod(key[starts], max(1, len(names)))
+        rows = pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(lexeme)), pa.array(ids, pa.int64()).take(pa.array(of)), lists], names=["lexeme", "doc_id", "positions"])
+        for at in range(0, rows.num_rows, BATCH_ROWS):
+            yield rows.slice(at, BATCH_ROWS)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[str] = []
+        codes = _Codes(config)
         ids: list[int] = []
-        places: list[list[int]] = []
-
-        def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["lexeme", "doc_id", "positions"])
-
+        words: list[np.ndarray] = []
+        held = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own: dict[str, list[int]] = {}
-                for lexeme, place in lexemes(text.as_py(), config):
-                    own.setdefault(lexeme, []).append(place)
-                names += own
-                ids += [doc_id] * len(own)
-                places += own.values()
-                if len(ids) >= BATCH_ROWS:
-                    yield full()
-                    names, ids, places = [], [], []
+                own = _words(text.as_py())
+                ids.append(doc_id)
+                words.append(np.fromiter(map(codes.__getitem__, own), np.int64, len(own)))
+                held += len(own)
+                if held >= BATCH_WORDS:
+                    yield from grouped(ids, words, codes.names)
+                    ids, words, held = [], [], 0
+                    if len(codes) > MEMORY:
+                        codes = _Codes(config)
         if ids:
-            yield full()
+            yield from grouped(ids, words, codes.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "lexeme string, doc_id long, positions array<int>")
 
@@ -101,8 +132,8 @@ def live(segments: list[Segment]) -> list[Segment]:
 def _put(spark: SparkSession, path: str, kind: str, config: str, token: str, rows: DataFrame, touched: DataFrame) -> None:
     number = max((s.number for s in log(spark, path)), default=-1) + 1
     dealt = rows.withColumn("part", (F.crc32(F.col("lexeme").cast("binary")) % PARTS).cast("int"))
-    # ranges are sampled, so a lexeme of very many documents is spread over several
-    dealt = dealt.repartitionByRange("part", "lexeme", "doc_id").sortWithinPartitions("part", "lexeme", "doc_id")
+    # dealt without a sample, for which all postings would be made twice; a part of very many is split, as rebalancing cuts large partitions
+    dealt = dealt.hint("rebalance", F.col("part")).sortWithinPartitions("part", "lexeme", "doc_id")
     dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings/segment={number}")
     touched.write.mode("overwrite").parquet(f"{path}/touched/segment={number}")
     fs, at = _files(spark, f"{path}/log/{number:09d}-{kind}-{config}-{token}")

@@ -109,3 +109,19 @@ def test_a_stream_keeps_it_and_replays_change_nothing(spark, tmp_path):
     ix.maintain(stream, path, f"file://{tmp_path}/again").awaitTermination()  # a lost checkpoint gives the batches anew
     assert [s.token for s in ix.log(spark, path)] == ["create", "stream.0", "stream.1"]
     assert found(spark, path, "plazo") == [(2, 0.1), (3, 0.1)]
+
+
+def test_postings_are_made_once(spark, tmp_path):
+    from folia.operators import text_index as index
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('uno dos ', id) AS text").repartition(4)
+    index.create(docs.mapInArrow(count, docs.schema), f"file://{tmp_path}/i", "simple")
+    assert seen.value == 40
+    assert [r["doc_id"] for r in index.search(spark, f"file://{tmp_path}/i", "uno 17", 9).collect()] == [17]
