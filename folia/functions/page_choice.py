@@ -9,11 +9,11 @@ from __future__ import annotations
 from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folia.functions.html import VOID
+from folia.functions.slices import of_text
 
 # Words of tables and of downloads, and the scores from which a table and an element are accepted.
 TABLE_WORDS = ("ROL", "CAUSA", "TRIBUNAL", "CARÁTULA", "FECHA", "TIPO")
@@ -103,7 +103,7 @@ def read(page: str | None) -> dict:
 
 def facts(page: Column | str) -> Column:
     """The tables and clickable elements of a page; a null page has none."""
-    return F.pandas_udf(lambda pages: pd.DataFrame(list(map(read, pages)), columns=["tables", "elements"]), FACTS)(page)
+    return of_text(read, FACTS, page)
 
 
 def _sum(parts: list[Column]) -> Column:
