@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folia.functions.sections import CATALOGUE
+from folia.functions.sections import matches
+from folia.functions.slices import sliced
 
 # Sizes in tokens of five characters.
 CHARS_PER_TOKEN, TARGET, OVERLAP, LEAST, SHORT = 5, 768, 115, 50, 200
 FLEX = int(TARGET * 0.30 * CHARS_PER_TOKEN)
-BOUNDARY_TYPES = ("vistos", "considerando", "considerando_n", "resolutivo", "en_lo_principal", "otrosi", "petitorio", "receptor_certificacion", "audiencia_conciliacion", "audiencia_prueba", "mandamiento")
+BOUNDARY_TYPES = frozenset(("vistos", "considerando", "considerando_n", "resolutivo", "en_lo_principal", "otrosi", "petitorio", "receptor_certificacion", "audiencia_conciliacion", "audiencia_prueba", "mandamiento"))
 
 CHUNK = "doc_id long, chunk_index int, chunk_text string, start_offset int, end_offset int, token_estimate int, overlap boolean"
 
@@ -24,23 +26,16 @@ def tokens(text: Column, per: int = CHARS_PER_TOKEN) -> Column:
     return F.ceil(F.length(text) / per)
 
 
-@lru_cache(1)
-def _boundaries() -> list[re.Pattern]:
-    return [re.compile(p, re.I if ignore else 0) for kind, _, p, ignore, _ in CATALOGUE if kind in BOUNDARY_TYPES]
-
-
 class _Places:
     """Sorted places of legal boundaries and of sentence ends of one text."""
 
     def __init__(self, text: str):
-        self.legal = sorted({m.start() for p in _boundaries() for m in p.finditer(text)})
+        self.legal = sorted({m.start() for _, m in matches(text, BOUNDARY_TYPES)})
         self.sentence = [m.end() for m in re.finditer(r"\. |\n\n", text)]
 
     @staticmethod
     def near(places: list[int], at: int, flex: int) -> int | None:
         """The first place up to ``flex`` after ``at``, else the last one up to ``flex`` before it."""
-        from bisect import bisect_left
-
         k = bisect_left(places, at)
         if k < len(places) and places[k] <= at + flex:
             return places[k]
@@ -84,25 +79,35 @@ def split(text: str) -> Iterator[tuple[int, int]]:
         if end >= n:
             break
         back, reach = end - OVERLAP * CHARS_PER_TOKEN, int(OVERLAP * CHARS_PER_TOKEN * 1.35)
-        begin = [p for p in places.sentence if end - reach <= p < end]
-        start = max(start + 1, begin[-1] if begin and begin[-1] >= 2 * back - end else max(0, back))
+        k = bisect_left(places.sentence, end)
+        begin = places.sentence[k - 1] if k else -1  # the last sentence that begins before the end
+        start = max(start + 1, begin if begin >= max(0, end - reach, 2 * back - end) else max(0, back))
     if held:
         yield held
 
 
-def chunk(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each chunk of each text; an empty text has none."""
+def chunk(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), texts: bool = True) -> DataFrame:
+    """One row for each chunk of each text, with the columns ``keep`` of its document; an empty text has none.
 
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, own in zip(frame["doc_id"], frame["text"], strict=True):
-                for k, (a, b) in enumerate(split(own or "")):
-                    part = own[a:b].strip()
-                    rows.append((doc_id, k, part, a, b, -(-len(part) // CHARS_PER_TOKEN), k > 0))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK.split(", ")])
-
-    return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(make, CHUNK)
+    Where ``texts`` is false, chunks have their places but not their text.
+    """
+    names = [c.split()[0] for c in CHUNK.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+    schema = T.StructType([*(f for f in T.StructType.fromDDL(CHUNK) if texts or f.name != "chunk_text"), *(docs.schema[c] for c in keep)])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in sliced(batch.column(1)):
+                some, rows, of = batch.slice(a, b - a), [], []
+                for at, (doc_id, own) in enumerate(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)):
+                    for k, (start, end) in enumerate(split(own or "")):
+                        part = own[start:end].strip()
+                        rows.append((doc_id, k, part if texts else None, start, end, -(-len(part) // CHARS_PER_TOKEN), k > 0))
+                        of.append(at)
+                made = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds) if texts or names[j] != "chunk_text"]
+                yield pa.RecordBatch.from_arrays(made + [some.column(2 + j).take(pa.array(of, pa.int64())) for j in range(len(keep))], names=schema.names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), *keep).mapInArrow(make, schema)
 
 
 def section_of(chunks: DataFrame, sections: DataFrame) -> DataFrame:

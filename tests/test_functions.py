@@ -1,5 +1,6 @@
 """Goldens on invented texts, and properties of the folds, chunks, sections and tables."""
 
+import re
 import random
 
 import pytest
@@ -211,3 +212,18 @@ def test_header_block(spark):
     late = "NOMENCLATURA : 1. [1]Auto JUZGADO : 1 Juzgado de Letras º CAUSA ROL : E-1-2021 CARATULADO : A\nB Talca, tres"
     block = one(spark, normalise.header_block(F.lit(late)), x=1)
     assert (block["sheet"], block["court"], block["caption"]) == (None, "1º Juzgado de Letras", "A")
+
+
+def test_patterns_are_tried_only_where_they_may_match(monkeypatch):
+    class Never:
+        def finditer(self, text):
+            raise AssertionError("tried")
+
+    plain = {k: list(re.finditer(c[2], MARKED, re.I if c[3] else 0)) for k, c in enumerate(sections.CATALOGUE)}
+    assert sorted((m.start(), k, len(m[0])) for k, found in plain.items() for m in found) == [(m[0], m[1], m[4]) for m in sections.find(MARKED)]
+    assert {k for k, m in sections.matches(MARKED)} == {0, 3, 4, 5, 9, 12}
+    monkeypatch.setattr(sections, "_patterns", lambda: [(Never(), held) for held in sections.HELD])
+    assert sections.find("Una frase larga, sin marcas. Otra más: nada.\n\n" * 50) == []
+
+
+MARKED = "VIſTOS: a Primero : b 12°.- c ſe reſuelve: d OTROSÍ: e por tanto, f"
