@@ -43,14 +43,15 @@ def numbered(rows: DataFrame, name: str, number: str, *before: str) -> DataFrame
     return ranked(rows, name, [], [*before, number])
 
 
-def running(rows: DataFrame, name: str, groups: list[str], order: list[str], value: str) -> DataFrame:
+def running(rows: DataFrame, name: str, groups: list[str], order: list[str], value: str, parts: int | None = None) -> DataFrame:
     """``rows`` with ``name``: the sum of the whole numbers ``value`` over former rows of their group by ``order``, nulls first and counting as 0.
 
-    As in ``ranked``, ranges are stored and summed, so no task holds a group.  ``order`` must tell rows apart.
+    As in ``ranked``, ranges are stored and summed, so no task holds a group.  ``order`` must tell rows apart.  There are ``parts`` ranges, if
+    given: for ranges the driver gets up to three hundred keys of each, however few rows they have.
     """
     part, size, ahead, *same = fresh([*rows.columns, name], "part", "size", "ahead", *(f"same{k}" for k in range(len(groups))))
     worth = F.coalesce(F.col(value), F.lit(0)).cast("long")
-    dealt = stored(rows.repartitionByRange(*(F.col(c).asc_nulls_first() for c in (*groups, *order))).withColumn(part, F.spark_partition_id()), "ranges")
+    dealt = stored(rows.repartitionByRange(*([parts] if parts else []), *(F.col(c).asc_nulls_first() for c in (*groups, *order))).withColumn(part, F.spark_partition_id()), "ranges")
     sums = dealt.groupBy(*groups, part).agg(F.sum(worth).alias(size))
     up_to = lambda w: F.coalesce(F.sum(w[0]).over(w[1].rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*(F.col(g).alias(s) for g, s in zip(groups, same, strict=True)), F.col(part).alias(f"{part}_"), up_to((F.col(size), Window.partitionBy(*groups).orderBy(part))).alias(ahead))

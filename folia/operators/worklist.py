@@ -1,4 +1,8 @@
-"""A work list that is resumed: tasks run in order under a budget a batch, failures come back, and every task leaves once."""
+"""A work list that is resumed: tasks run in order under a budget a batch, failures come back, and every task leaves once.
+
+What waits is in two tables: the next ``AHEAD`` budgets of each group, which every batch reads, and all that comes after
+them, which is read only when a group may run out of those or new tasks come.  So a batch costs the same however long the list is.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.operators.ranks import running
-from folia.sources.commits import commit, commits
+from folia.operators.ranks import fresh, running
+from folia.sources.commits import commit, commits, place
 
 # Tries of a task, and the reason of one that has had them all.
 TRIES, TIRED = 3, "max_retries"
+#: Budgets of each group that are kept at hand; rows of a range of tasks in order.
+AHEAD, RANGE_ROWS = 32, 100_000
 Work = Callable[[DataFrame], DataFrame]
 
 
@@ -28,9 +34,26 @@ def _read(spark: SparkSession, path: str, kind: str, numbers: list[int], schema:
     return spark.read.schema(schema).option("basePath", f"{path}/{kind}").parquet(*(f"{path}/{kind}/batch={n}" for n in numbers)).select(*schema.names)
 
 
+def _far(spark: SparkSession, path: str, done: list[int]) -> list[int]:
+    """The batch that last parted what waits, if any did."""
+    fs, at = place(spark, f"{path}/far")
+    found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in found if n in done)[-1:]
+
+
 def leftover(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """What waits for the next batch."""
-    return _read(spark, path, "leftover", list(commits(spark, path))[-1:], schema)
+    done = list(commits(spark, path))
+    return _read(spark, path, "leftover", done[-1:], schema).unionByName(_read(spark, path, "far", _far(spark, path, done), schema))
+
+
+def _short(spark: SparkSession, path: str, far: list[int], near: DataFrame, budget: int, schema: T.StructType, group: str, size: str) -> bool:
+    """Whether a group with tasks further on may have no more than a budget of tasks at hand."""
+    if not far:
+        return False
+    more = _read(spark, path, "far_groups", far, T.StructType([schema[group]])).withColumnRenamed(group, "more")
+    sums = near.groupBy(group).agg(F.sum(F.coalesce(F.col(size), F.lit(0)).cast("long")).alias("at_hand"))
+    return not more.join(sums, F.col("more").eqNullSafe(F.col(group)), "left").where(F.coalesce("at_hand", F.lit(0)) <= budget).isEmpty()
 
 
 def left(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -51,28 +74,40 @@ def batch(tasks: DataFrame | None, path: str, work: Work, budget: int, token: st
     had three.  Tasks that come with a skip reason leave with it and cost nothing.
     """
     done = commits(spark, path)
-    number = max(done, default=-1) + 1
+    number, mark = max(done, default=-1) + 1, fresh(schema.names, "later")[0]
     if token not in done.values():
         now = _read(spark, path, "leftover", list(done)[-1:], schema)
+        far = _far(spark, path, list(done))
+        parted = tasks is not None or _short(spark, path, far, now, budget, schema, group, size)
+        if parted:
+            now = now.unionByName(_read(spark, path, "far", far, schema))
         if tasks is not None:
-            fresh = tasks.withColumns({c: F.lit(None).cast(schema[c].dataType) for c in ("attempts", "skip_reason") if c not in tasks.columns} | {"outcome": F.lit(None).cast("string")})
-            now = now.unionByName(fresh.withColumn("attempts", F.coalesce("attempts", F.lit(0)).cast("int")).select(*schema.names))
+            new = tasks.withColumns({c: F.lit(None).cast(schema[c].dataType) for c in ("attempts", "skip_reason") if c not in tasks.columns} | {"outcome": F.lit(None).cast("string")})
+            now = now.unionByName(new.withColumn("attempts", F.coalesce("attempts", F.lit(0)).cast("int")).select(*schema.names))
         tired = F.when(F.col("attempts") >= TRIES, TIRED)
         now = now.withColumn("skip_reason", F.coalesce("skip_reason", tired))
         skipped = now.where("skip_reason IS NOT NULL").withColumn("outcome", F.lit("skipped"))
-        spent = running(now.where("skip_reason IS NULL"), "spent", [group], [order], size)
+        spent = running(now.where("skip_reason IS NULL"), "spent", [group], [order], size, 1 + now.count() // RANGE_ROWS)
         result = work(spent.where(F.col("spent") <= budget).drop("spent"))
         failed = F.col("result") == "failed"
         tried = result.withColumn("attempts", F.col("attempts") + failed.cast("int"))
         over = F.when(failed, F.when(F.col("attempts") >= TRIES, TIRED)).when(~F.col("result").isin("done", "duplicate"), F.col("result"))
         tried = tried.withColumn("skip_reason", over)
         tried = tried.withColumn("outcome", F.when(F.col("skip_reason").isNotNull(), "skipped").when(~failed, F.col("result")))
-        whole = tried.select(*schema.names).unionByName(skipped.select(*schema.names)).unionByName(spent.where(F.col("spent") > budget).select(*schema.names))
+        later = (F.lit(parted) & (F.col("spent") > (AHEAD + 1) * budget)).alias(mark)
+        waits = spent.where(F.col("spent") > budget).select(*schema.names, later)
+        whole = tried.select(*schema.names).unionByName(skipped.select(*schema.names)).withColumn(mark, F.lit(False)).unionByName(waits)
         held = f"{path}/all/batch={number}"
         whole.write.mode("overwrite").parquet(held)  # work is done once, whatever is read of it
-        rows = spark.read.schema(schema).parquet(held)
-        rows.where("outcome IS NOT NULL").write.mode("overwrite").parquet(f"{path}/left/batch={number}")
-        rows.where("outcome IS NULL").write.mode("overwrite").parquet(f"{path}/leftover/batch={number}")
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(mark, T.BooleanType())])).parquet(held)
+        rows.where("outcome IS NOT NULL").drop(mark).write.mode("overwrite").parquet(f"{path}/left/batch={number}")
+        rows.where(F.col("outcome").isNull() & ~F.col(mark)).drop(mark).write.mode("overwrite").parquet(f"{path}/leftover/batch={number}")
+        if parted:
+            rows.where(mark).drop(mark).write.mode("overwrite").parquet(f"{path}/far/batch={number}")
+            rows.where(mark).select(group).distinct().write.mode("overwrite").parquet(f"{path}/far_groups/batch={number}")
+        else:  # what a batch that broke off may have parted
+            fs, at = place(spark, f"{path}/far/batch={number}")
+            fs.delete(at, True)
         commit(spark, path, number, token)
     return leftover(spark, path, schema).count()
 

@@ -103,6 +103,18 @@ def test_work_is_resumed_until_none_is_left(spark, tmp_path):
     assert empty.collect() == []
 
 
+def test_a_batch_reads_only_what_is_near(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(worklist, "AHEAD", 2)
+    tasks, path = tasks_of(), f"file://{tmp_path}/w"
+    df = spark.createDataFrame(tasks, KIND)
+    want = sequential(tasks, 60)
+    assert shown(worklist.resume(df, path, work, 60)) == want
+    schema, numbers = worklist._schema(df), list(commits(spark, path))
+    parted = worklist._far(spark, path, numbers)
+    rows = [spark.read.parquet(f"{path}/all/batch={n}").count() for n in numbers]
+    assert rows[1] < rows[0] / 3 and parted != [0] and worklist.leftover(spark, path, schema).count() == 0
+
+
 def test_tasks_that_come_as_a_stream(spark, tmp_path):
     tasks, path = tasks_of(40), f"file://{tmp_path}/w"
     (tmp_path / "in").mkdir()
