@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -168,7 +167,8 @@ def _block(asked: DataFrame, path: str, centres: np.ndarray, k: int, probes: int
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, of = shared.value
-        kept: dict[int, pd.DataFrame] = {}
+        kept: dict[int, list[tuple[float, object]]] = {}
+        worst = np.full(len(ids), -np.inf)  # the similarity of the last of a query's k rows
         for batch in batches:
             cells, keys = batch.column(2).to_numpy(zero_copy_only=False), batch.column(0)
             m = _unit(np.asarray(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1))
@@ -176,12 +176,16 @@ def _block(asked: DataFrame, path: str, centres: np.ndarray, k: int, probes: int
                 here = np.flatnonzero(cells == cell)
                 names = np.asarray(keys.take(pa.array(here)).to_pylist(), object)
                 scores = np.round(m[here] @ vectors[of[int(cell)]].T, 6)
-                for j, q in enumerate(of[int(cell)].tolist()):
-                    some = np.flatnonzero(scores[:, j] >= np.partition(scores[:, j], -k)[-k]) if len(here) > k else np.arange(len(here))
-                    own = pd.DataFrame({"key": names[some], "s": scores[some, j]})
-                    own = pd.concat([kept[q], own]) if q in kept else own
-                    kept[q] = own.sort_values(["s", "key"], ascending=[False, True], kind="stable").head(k)
+                asked = of[int(cell)]
+                least = np.partition(scores, -k, axis=0)[-k] if len(here) > k else np.full(len(asked), -np.inf)
+                near = scores >= np.maximum(least, worst[asked])  # the others are behind k rows already
+                for j in np.flatnonzero(near.any(0)).tolist():
+                    q, some = int(asked[j]), np.flatnonzero(near[:, j])
+                    own = zip((-scores[some, j]).tolist(), names[some].tolist(), strict=True)
+                    kept[q] = sorted([*kept.get(q, ()), *own], key=lambda r: (r[0], r[1] is None, r[1]))[:k]
+                    if len(kept[q]) == k:
+                        worst[q] = -kept[q][-1][0]
         for q, own in kept.items():
-            yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(own), batch.column(0).type), pa.array(own["key"].tolist(), batch.column(0).type), pa.array(own["s"].to_numpy(float))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(own), batch.column(0).type), pa.array([n for _, n in own], batch.column(0).type), pa.array([-s for s, _ in own], pa.float64())], names=schema.names)
 
     return _cells(spark, path).where(F.col("cell").isin(sorted(of))).select(key, vector, "cell").mapInArrow(best, schema)
