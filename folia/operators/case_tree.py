@@ -121,6 +121,11 @@ def _given(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def _value(name: str) -> Column:
+    """A field in its canonical form; numbers have no blanks to squeeze."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("")) if _type(name) == "long" else canonical(F.col(name))
+
+
 def _entities(level: list[Branch], old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame | None:
     """The records of one level of both snapshots in one shape; values are in the order of their branch's fields."""
     parts = []
@@ -131,9 +136,9 @@ def _entities(level: list[Branch], old: dict[str, DataFrame], new: dict[str, Dat
             rows = _records(branch, tables[branch.category])
             place = ("parent_id", "pos") if branch.parent else (F.lit("").alias("parent_id"), F.lit(0).cast("long").alias("pos"))
             # a book is known by its very name, all others by their cleaned keys
-            key = F.lit("causa") if branch.parent is None else F.col("nombre") if branch.category == "cuaderno" else F.concat_ws("|", *(canonical(F.col(k)) for k in branch.keys))
+            key = F.lit("causa") if branch.parent is None else F.col("nombre") if branch.category == "cuaderno" else F.concat_ws("|", *map(_value, branch.keys))
             shown = F.coalesce(_given(F.col("descripcion_tramite")), _given(F.col("libro")), F.lit("?")) if branch.category == "remision" else F.lit(None).cast("string")
-            values = F.array(*(canonical(F.col(f)) for f in branch.fields)) if branch.fields else F.array().cast("array<string>")
+            values = F.array(*map(_value, branch.fields)) if branch.fields else F.array().cast("array<string>")
             parts.append(rows.select("case_id", F.lit(branch.category).alias("category"), F.lit(branch.parent or "").alias("parent"), F.lit(is_new).alias("is_new"), "id", *place, F.coalesce(key, F.lit("")).alias("key"), shown.alias("shown"), values.alias("values")))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -146,6 +151,16 @@ def _levels() -> list[list[Branch]]:
     return found[:-1]
 
 
+#: What makes one record of a level in both snapshots, before its parents are known and after.
+_UNDER, _PAIRED = ("case_id", "parent_id", "parent", "category", "key"), ("case_id", "category", "pair", "key")
+
+
+def _sides(rows: DataFrame, keys: tuple[str, ...], dealt_by: tuple[str, ...], *carried: str) -> DataFrame:
+    """``rows`` with the last record of each side (o, n), dealt out before they are grouped: partial groups of one or two rows would be sorted for nothing."""
+    last = lambda side: F.max_by(F.when(side, F.struct("id", "values", "shown")), F.when(side, F.struct("pos", "id")))
+    return rows.repartition(*dealt_by).groupBy(*keys).agg(last(~F.col("is_new")).alias("o"), last(F.col("is_new")).alias("n"), *(F.max(c).alias(c) for c in carried))
+
+
 def changes(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
     """(case_id, category, type, cuaderno, entity_key, field, old_value, new_value) between two sets of tables as ``build`` takes.
 
@@ -153,42 +168,52 @@ def changes(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
     that only one snapshot has give nothing.  Of repeated keys the last by ``pos`` counts, with what
     hangs on it.  Added and removed records give one row without a field, changed ones one for each
     field that differs; of a case's own fields, a value that begins with the other is no change.  Empty
-    values come out as null.  The branches of a level share one join with the level above and one
-    aggregate, whose rows are stored, so every table is read once and four levels cost four of each.
+    values come out as null.  The branches of a level share one aggregate and one join with the level
+    above.  Below a parent of the same id in both snapshots, records are shuffled once, by that id, and sorted once; those below other
+    parents, if there are any, get the pair of their parents first and are shuffled again by it.  Of a level, what the next one needs
+    and the changes found are stored.
     """
-    names = F.create_map(*(x for b in BRANCHES for x in (F.lit(b.category), F.array(*map(F.lit, b.fields)) if b.fields else F.array().cast("array<string>"))))
     found, above = [], None
     for level in _levels():
         rows = _entities(level, old, new)
         if rows is None:
             break
         if above is None:
-            rows = rows.select("*", F.lit("").alias("pair"), F.lit(None).cast("string").alias("book"), F.lit(None).cast("string").alias("of"))
+            both = _sides(rows, ("case_id", "category", "key"), ("case_id",)).where("o IS NOT NULL AND n IS NOT NULL").select("*", F.lit(None).cast("string").alias("book"), F.lit(None).cast("string").alias("of"))
         else:
-            rows = rows.join(above, ["case_id", "parent", "parent_id", "is_new"])
-        last = lambda side: F.max_by(F.when(side, F.struct("id", "values", "shown")), F.when(side, F.struct("pos", "id")))
-        both = rows.groupBy("case_id", "category", "pair", "key").agg(last(~F.col("is_new")).alias("o"), last(F.col("is_new")).alias("n"), F.max("book").alias("book"), F.max("of").alias("of"))
+            same = above.where("old_id = new_id").select("case_id", F.col("old_id").alias("parent_id"), "parent", "book", "of")
+            both = _sides(rows, _UNDER, _UNDER[:3]).join(same, list(_UNDER[:3])).drop("parent", "parent_id")
+            moved = above.where("old_id <> new_id")
+            if not moved.isEmpty():
+                sides = F.explode(F.array(*(F.struct(F.col(f"{side}_id").alias("parent_id"), F.lit(side == "new").alias("is_new")) for side in ("old", "new")))).alias("s")
+                pairs = moved.select("case_id", "parent", F.struct("old_id", "new_id").alias("pair"), "book", "of", sides).select("case_id", "parent", "pair", "book", "of", "s.*")
+                both = both.unionByName(_sides(rows.join(pairs, ["case_id", "parent", "parent_id", "is_new"]), _PAIRED, _PAIRED, "book", "of").drop("pair"))
         both = both.withColumn("book", F.when(F.col("category") == "cuaderno", F.col("key")).otherwise(F.col("book")))
-        both = stored(both, "level")  # the next level and the result read it, so that no level is made twice
-        if above is None:
-            both = both.where("o IS NOT NULL AND n IS NOT NULL")
-        found.append(_rows(both, names))
-        common = both.where("o IS NOT NULL AND n IS NOT NULL")
-        sides = F.explode(F.array(*(F.struct(F.col(f"{side}.id").alias("parent_id"), F.lit(side == "n").alias("is_new")) for side in "on"))).alias("s")
-        above = common.select("case_id", F.col("category").alias("parent"), F.concat_ws(" ", F.col("o.id"), F.col("n.id")).alias("pair"), "book", F.col("n.shown").alias("of"), sides)
-        above = above.select("case_id", "parent", "pair", "book", "of", "s.*")
+        parents = [b.category for b in level if _children(b.category)]
+        common = F.col("category").isin(*parents) & F.col("o").isNotNull() & F.col("n").isNotNull()
+        both = _found(both).select("case_id", "category", "book", "entity_key", "found", *(F.when(common, x).alias(c) for c, x in (("old_id", F.col("o.id")), ("new_id", F.col("n.id")), ("of", F.col("n.shown")))))
+        both = both.where("old_id IS NOT NULL AND new_id IS NOT NULL OR size(found) > 0")
+        if parents:
+            both = stored(both, "level")  # the next level and the result read it, so that no level is made twice
+        found.append(both.select("case_id", "category", F.col("book").alias("cuaderno"), "entity_key", F.explode("found").alias("c")).select("case_id", "category", "c.type", "cuaderno", "entity_key", "c.field", "c.old_value", "c.new_value"))
+        above = both.where("old_id IS NOT NULL AND new_id IS NOT NULL").select("case_id", F.col("category").alias("parent"), "old_id", "new_id", "book", "of")
     return reduce(DataFrame.unionByName, found)
 
 
-def _rows(both: DataFrame, names: Column) -> DataFrame:
+def _found(both: DataFrame) -> DataFrame:
+    """``both`` with entity_key and found, the changes of each record."""
+    names = F.create_map(*(x for b in BRANCHES for x in (F.lit(b.category), F.array(*map(F.lit, b.fields)) if b.fields else F.array().cast("array<string>"))))
     none = F.lit(None).cast("string")
     row = lambda kind, field, a, b: F.struct(F.lit(kind).alias("type"), field.alias("field"), a.alias("old_value"), b.alias("new_value"))
     cells = F.arrays_zip(names[F.col("category")].alias("field"), F.col("o.values").alias("a"), F.col("n.values").alias("b"))
     differs = F.filter(cells, lambda x: (x["a"] != x["b"]) & ~((F.col("category") == CASE) & truncation(x["a"], x["b"])))
-    changed = F.transform(differs, lambda x: row("changed", x["field"], _given(x["a"]), _given(x["b"])))
-    found = F.when(F.col("o").isNull(), F.array(row("added", none, none, none))).when(F.col("n").isNull(), F.array(row("removed", none, none, none))).otherwise(changed)
+    changed = F.when(F.col("o.values") == F.col("n.values"), F.array().cast(CELLS)).otherwise(F.transform(differs, lambda x: row("changed", x["field"], _given(x["a"]), _given(x["b"]))).cast(CELLS))
+    found = F.when(F.col("o").isNull(), F.array(row("added", none, none, none)).cast(CELLS)).when(F.col("n").isNull(), F.array(row("removed", none, none, none)).cast(CELLS)).otherwise(changed)
     key = F.when(F.col("category") == "remision_movimiento", F.concat("of", F.lit("|f"), "key")).otherwise(F.col("key"))
-    return both.select("case_id", "category", F.col("book").alias("cuaderno"), key.alias("entity_key"), F.explode(found).alias("c")).select("case_id", "category", "c.type", "cuaderno", "entity_key", "c.field", "c.old_value", "c.new_value")
+    return both.select("*", key.alias("entity_key"), found.alias("found"))
+
+
+CELLS = "array<struct<type: string, field: string, old_value: string, new_value: string>>"
 
 
 def _line(head: str, *parts: Column, end: Column | None = None) -> Column:

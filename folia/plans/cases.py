@@ -6,12 +6,23 @@ from pyspark.sql import functions as F
 
 from folia.catalog import register
 from folia.operators import case_tree
+from folia.sources.folders import stored
 from folia.sources.tables import table
 
 L = "long"
 
 
-def _snapshot(s, d, later=False):
+def _base(s, d):
+    """Customers, their orders and the lines of these, which all branches are made from: joined and stored once."""
+    customer = table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    orders = table(s, d, "orders").join(customer.select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity", "l_shipdate").repartition("o_orderkey")
+    lines = lines.groupBy("o_orderkey", "l_linenumber").agg(F.max("l_quantity").cast(L).alias("q"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("shipped"))
+    orders = stored(orders, "orders")
+    return customer, orders, stored(lines.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey"), "lines")
+
+
+def _snapshot(base, later=False):
     """The eighteen tables of a snapshot, or of the later one."""
     def now(flag, new, old):
         return F.when(flag, new).otherwise(old) if later else old
@@ -19,14 +30,11 @@ def _snapshot(s, d, later=False):
     def rows(df, parent, key, **columns):
         return df.select(F.col("o_custkey").alias("case_id") if "o_custkey" in df.columns else F.col("c_custkey").alias("case_id"), key.alias("id"), parent.alias("parent_id"), F.lit(0).alias("pos"), *(v.alias(k) for k, v in columns.items()))
 
-    customer = table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    customer, orders, lines = base
     c, word = F.col("c_custkey"), lambda x: F.lit(x)
-    orders = table(s, d, "orders").join(customer.select(c.alias("o_custkey")), "o_custkey").where("o_orderkey % 5 <> 0" if later else "o_orderkey % 7 <> 0")
+    of_orders = "o_orderkey % 5 <> 0" if later else "o_orderkey % 7 <> 0"
+    orders, lines = orders.where(of_orders), lines.where(f"{of_orders} AND l_linenumber % 4 <> 0" if later else of_orders)
     k, n = F.col("o_orderkey"), F.col("l_linenumber")
-    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(F.max("l_quantity").cast(L).alias("q"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("shipped"))
-    lines = lines.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
-    if later:
-        lines = lines.where("l_linenumber % 4 <> 0")
     line_id = F.concat_ws("-", k.cast("string"), n.cast("string"))
     letters = customer.where("c_custkey % 3 = 0 AND c_custkey % 9 <> 0 OR c_custkey % 12 = 4" if later else "c_custkey % 3 = 0")
     appeals = customer.where("c_custkey % 4 = 0")
@@ -103,7 +111,8 @@ CHANGES = WHOLE + " UNION ALL ".join([
 @register("dif4_changes_of_every_branch", CHANGES)
 def dif4_changes(s, d):
     """All eighteen branches of every case, one row for each added, removed or changed cell."""
-    return case_tree.changes(_snapshot(s, d), _snapshot(s, d, later=True))
+    base = _base(s, d)
+    return case_tree.changes(_snapshot(base), _snapshot(base, later=True))
 
 
 @register("dif5_nested_snapshots", WHOLE + f"""
@@ -112,7 +121,7 @@ def dif5_nested(s, d):
     """The nested snapshot of each case, by the numbers of its records."""
     x = F.col("snapshot")
     sheets = F.aggregate(x["cuaderno"], F.lit(0).cast(L), lambda a, b: a + F.size(b["folio"]))
-    return case_tree.build(_snapshot(s, d)).select("case_id", x["estado_adm"].alias("state"), F.size(x["cuaderno"]).cast(L).alias("books"), sheets.alias("sheets"), F.size(x["remision"]).alias("appeals"))
+    return case_tree.build(_snapshot(_base(s, d))).select("case_id", x["estado_adm"].alias("state"), F.size(x["cuaderno"]).cast(L).alias("books"), sheets.alias("sheets"), F.size(x["remision"]).alias("appeals"))
 
 
 NL = "chr(10)"
@@ -133,4 +142,4 @@ FROM customer LEFT JOIN b ON o_custkey = c_custkey"""
 @register("ret10_text_of_every_section", RENDERED)
 def ret10_text(s, d):
     """Each case's text with all of its sections."""
-    return case_tree.build(_snapshot(s, d)).select("case_id", F.md5(case_tree.case_text(F.col("snapshot"))).alias("text_md5"))
+    return case_tree.build(_snapshot(_base(s, d))).select("case_id", F.md5(case_tree.case_text(F.col("snapshot"))).alias("text_md5"))

@@ -139,6 +139,30 @@ def test_snapshots_nest_and_come_back(two, stored, tmp_path):
     assert ordered(case_tree.changes(case_tree.tables_of(old), case_tree.tables_of(new)).collect()) == ordered(expected(*two))
 
 
+def test_changes_below_parents_of_other_ids(two, stored):
+    """Ids of the new snapshot are others than the old ones': of all records, then of every third."""
+    above = {b.category: b.parent for b in BRANCHES}
+    for share in (1, 3):
+        other = lambda c: F.when(F.crc32(F.col(c)) % share == 0, F.concat(F.lit("n"), c)).otherwise(F.col(c))  # noqa: B023, E731
+        new = {k: v if k == CASE else v.withColumns({"id": other("id"), "parent_id": F.col("parent_id") if above[k] == CASE else other("parent_id")}) for k, v in stored[1].items()}
+        assert ordered(case_tree.changes(stored[0], new).collect()) == ordered(expected(*two))
+
+
+def test_a_level_is_shuffled_once(stored, monkeypatch):
+    """The records of a level and their parents: two exchanges by keys at most, none between the join and the aggregate; what didn't change and has no children isn't stored."""
+    plans, sizes, keep = [], [], case_tree.stored
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = keep(df, name)
+        sizes.append(out.where("size(found) = 0 AND old_id IS NULL").count())
+        return out
+
+    monkeypatch.setattr(case_tree, "stored", watched)
+    case_tree.changes(*stored).count()
+    assert len(plans) == 3 and max(p.count("Exchange hashpartitioning") for p in plans) <= 2 and sizes == [0, 0, 0]
+
+
 def test_empty_and_missing_tables(spark):
     case = spark.createDataFrame([(1, "x", "C-1")], "case_id long, caratula string, rol string")
     built = case_tree.build({CASE: case})
