@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,9 +120,18 @@ SENT_PER_SECOND, TEXT_SHARE, TOKENS_PER_MEGABYTE, PAGE_MEGABYTES = 2.0, 0.2, 250
 FIRST_PRICE, CACHED_PRICE = (0.5, 2), (0.05, 3)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _holds(low: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+
+
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
     """Whether the lower-cased text has one of the words."""
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w))
+    return once(F.lower(text), lambda low: _holds(low, words))
 
 
 def first_rule(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
@@ -134,8 +146,8 @@ def procedure_of(raw: Column) -> Column:
 
 def wanted_origins(question: Column) -> Column:
     """The origins that a question asks for, each once; ['*'] alone if it asks for all."""
-    found = F.array_distinct(F.flatten(F.array(*(F.when(has_any(question, words), F.array(*map(F.lit, origins))).otherwise(F.array().cast("array<string>")) for words, origins in QUESTION_ORIGINS))))
-    return F.when(F.array_contains(found, "*"), F.array(F.lit("*"))).otherwise(found)
+    found = F.array_distinct(once(F.lower(question), lambda low: F.flatten(F.array(*(F.when(_holds(low, words), F.array(*map(F.lit, origins))).otherwise(F.array().cast("array<string>")) for words, origins in QUESTION_ORIGINS)))))
+    return once(found, lambda x: F.when(F.array_contains(x, "*"), F.array(F.lit("*"))).otherwise(x))
 
 
 def origins_of_change(category: Column) -> Column:
@@ -146,21 +158,23 @@ def origins_of_change(category: Column) -> Column:
 
 def wanted_sections(question: Column) -> Column:
     """Headers of the secondary sections that a question wants."""
-    return F.array_compact(F.array(*(F.when(has_any(question, words), header) for header, words in SECTIONS)))
+    return once(F.lower(question), lambda low: F.array_compact(F.array(*(F.when(_holds(low, words), header) for header, words in SECTIONS))))
 
 
 def filtered_case_text(text: Column, question: Column) -> Column:
     """A case's text without the secondary sections that the question doesn't want; all of it if it wants all."""
-    wanted = wanted_sections(question)
     starts = lambda line, some: F.exists(F.array(*map(F.lit, some)), lambda h: F.startswith(line, h))
     begin = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(True).alias("on"))
 
-    def step(now: Column, line: Column) -> Column:
-        on = F.when(starts(line, tuple(h for h, _ in SECTIONS)), F.exists(wanted, lambda h: F.startswith(line, h))).when(starts(line, CORE_HEADERS), F.lit(True)).otherwise(now["on"])
-        return F.struct(F.when(on, F.concat(now["lines"], F.array(line))).otherwise(now["lines"]).alias("lines"), on.alias("on"))
+    def left(wanted: Column) -> Column:
+        def step(now: Column, line: Column) -> Column:
+            on = F.when(starts(line, tuple(h for h, _ in SECTIONS)), F.exists(wanted, lambda h: F.startswith(line, h))).when(starts(line, CORE_HEADERS), F.lit(True)).otherwise(now["on"])
+            return once(on, lambda on: F.struct(F.when(on, F.concat(now["lines"], F.array(line))).otherwise(now["lines"]).alias("lines"), on.alias("on")))
+
+        kept = F.array_join(F.aggregate(F.split(text, "\n"), begin, step)["lines"], "\n")
+        return F.when(F.size(wanted) == len(SECTIONS), text).otherwise(kept)
 
-    kept = F.array_join(F.aggregate(F.split(text, "\n"), begin, step)["lines"], "\n")
-    return F.when(F.size(wanted) == len(SECTIONS), text).otherwise(kept)
+    return once(wanted_sections(question), left)
 
 
 def web_search(question: Column) -> Column:

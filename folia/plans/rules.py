@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folia.catalog import register
 from folia.functions import normalise, rules, sections
-from folia.sources.tables import table
+from folia.sources.tables import dealt, table
 
 
 def _phrase(key, phrases):
@@ -74,7 +74,7 @@ ASKED = ("¿Qué dice el PAGARÉ adjunto?", "¿Hay exhorto o pieza?", "Estado de
 
 
 def _asked(s, d):
-    return table(s, d, "conversations").select("conv_id", "turn", F.concat(_phrase("turn", ASKED), F.lit(" "), F.coalesce("text", F.lit(""))).alias("q"))
+    return dealt(table(s, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn", F.concat(_phrase("turn", ASKED), F.lit(" "), F.coalesce("text", F.lit(""))).alias("q"))
 
 
 ASKED_SQL = "(SELECT conv_id, turn, lower(" + _sql_phrase("turn", ASKED) + " || ' ' || coalesce(text, '')) AS q FROM conversations)"
@@ -108,7 +108,8 @@ WANTED_SQL = [("ESCRITOS PRESENTADOS:", "escrito|presentación|presentacion|soli
 def ret11_sections(s, d):
     """Which secondary sections each question wants, and what the filter leaves of them."""
     case = "\n".join(["=== CAUSA ===", "a", *(f"{h}\nx" for h, _ in rules.SECTIONS)])
-    rows = _asked(s, d).select("conv_id", "turn", rules.filtered_case_text(F.lit(case), F.col("q")).alias("text"), F.explode(rules.wanted_sections(F.col("q"))).alias("header"))
+    rows = _asked(s, d).select("conv_id", "turn", rules.filtered_case_text(F.lit(case), F.col("q")).alias("text"), rules.wanted_sections(F.col("q")).alias("wanted"))
+    rows = rows.select("conv_id", "turn", "text", F.explode("wanted").alias("header"))
     return rows.select("conv_id", "turn", "header", F.when(F.contains("text", F.concat(F.lit("\n"), "header", F.lit("\nx"))), F.concat("header", F.lit("\nx"))).alias("kept"))
 
 
