@@ -6,9 +6,14 @@ spelling match.  Order matters: later patterns count on the earlier removals.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folia.functions.folds import once
+
 # The forms of the artefacts in extracted court documents.
 SIGNATURE_CODE = r"[A-Z0-9]{5,20}"
 SIGNATURE = r"(?iu)(?:(?:SEC\s+)?C[óo]digo|Cvc)\s*:?\s*([A-Z0-9]{5,20})\s+Este documento tiene firma electr[óo]nica y su original puede ser validado en\s+h\s*t\s*t\s*p\s*s?\s*:\s*/\s*/\s*v\s*e\s*r\s*i\s*f\s*i\s*c\s*a\s*d\s*o\s*c\s*\.\s*p\s*j\s*u\s*d\s*\.\s*c\s*l(?:\s+o\s+en\s+la\s+tramitaci[óo]n\s+de\s+la\s+causa\.?)?"
@@ -70,12 +75,37 @@ CERTIFICATE = (
 REMOVALS = (("signature", SIGNATURE), ("page_marker", PAGE_MARKER), ("page_marker", OCR_PAGE_MARKER), ("repeated_rol", REPEATED_ROL), ("header", HEADER), ("hour_notice", HOUR_NOTICE), ("private_signer", PRIVATE_SIGNER), ("private_signer", GARBLED_SIGNATURE), ("scanner", SCANNER))
 
 
+# For each removal, a stretch that any match of its pattern holds, and whether in lower case.
+REMOVAL_HELD = (("este documento tiene firma electr", True), ("--", False), ("-", False), ("Foja:", False), ("nomenclatura", True), ("la hora visualizada ", True), ("validar en http", True), ("firmado", True), ("scanned with ", True))
+#: What Java takes for an i, a k or an s in any case, though lower case is another.
+ODD = ("\u0130", "\u0131", "\u017f", "\u212a")
+
+
+def _low(text: Column) -> Column:
+    """A text as it is (text), in lower case (low), and whether lower case isn't all that patterns of any case match (odd)."""
+    odd = (F.length(text) != F.octet_length(text)) & reduce(lambda a, b: a | b, (F.contains(text, F.lit(c)) for c in ODD))
+    return F.struct(text.alias("text"), F.lower(text).alias("low"), odd.alias("odd"))
+
+
 def removed(text: Column, *kinds: str) -> Column:
-    """``text`` without the artefacts of ``kinds`` (all of them by default), in the chain's order."""
-    for kind, pattern in REMOVALS:
+    """``text`` without the artefacts of ``kinds`` (all of them by default), in the chain's order.
+
+    A pattern runs only where what is left of the text by then holds the stretch that any match has.
+    """
+    now = _low(text)
+    for (kind, pattern), (held, low) in zip(REMOVALS, REMOVAL_HELD, strict=True):
         if not kinds or kind in kinds:
-            text = F.regexp_replace(text, pattern, "")
-    return text
+            now = once(now, _without(pattern, held, low))
+    return now["text"]
+
+
+def _without(pattern: str, held: str, low: bool) -> Callable[[Column], Column]:
+    def step(x: Column) -> Column:
+        may = x["odd"] | F.contains(x["low"], F.lit(held)) if low else F.contains(x["text"], F.lit(held))
+        less = once(F.regexp_replace(x["text"], pattern, ""), lambda y: F.when(y == x["text"], x).otherwise(_low(y)))
+        return F.when(may, less).otherwise(x)
+
+    return step
 
 
 def occurrences(text: Column, pattern: str) -> Column:
@@ -83,24 +113,46 @@ def occurrences(text: Column, pattern: str) -> Column:
 
 
 def _pattern(broken: str) -> str:
-    before = r"(?<![\p{L}\p{N}_])" if broken[0] == "|" else r"(?<=\s)" if broken[0] == "_" else ""
+    """The letters come first and what must be before them is looked for from their end, as most places already fail at the first letter."""
+    letters = broken.strip("|_")
+    before = rf"(?<![\p{{L}}\p{{N}}_]{letters})" if broken[0] == "|" else rf"(?<=\s{letters})" if broken[0] == "_" else ""
     after = r"(?![\p{L}\p{N}_])" if broken[-1] == "|" else r"(?=\s)" if broken[-1] == "_" else ""
-    return before + broken.strip("|_") + after
+    return letters + before + after
+
+
+def _ending(broken: str) -> str:
+    """The letters from the gap on, where they are long enough to be rare; else empty."""
+    _, _, ending = broken.strip("|_").partition(" ")
+    return ending if len(ending) > 2 else ""
+
+
+def _rare() -> str:
+    """A pattern that is found wherever the letters of a repair with a rare ending are."""
+    firsts: dict[str, set[str]] = {}
+    for e in filter(None, (_ending(b) for b, _ in REPAIRS)):
+        firsts.setdefault(e[0], set()).add(e[1:])
+    return " (?:" + "|".join(f"{k}(?:{'|'.join(sorted(v))})" for k, v in sorted(firsts.items())) + ")"
 
 
 def repairs(text: Column) -> Column:
     """(text, fixes): floating accents go, then known words get their accented letter back, and how many of both there were.
 
-    One fold over the table of repairs; a pattern runs only on texts that hold its letters.
+    One fold over the table of repairs; a pattern runs only on texts that hold its letters.  Letters with a rare ending are looked for all at
+    once, and one by one only if some are there or the text has changed since.
     """
-    rules = F.array(*(F.struct(F.lit(b.strip("|_")).alias("letters"), F.lit(_pattern(b)).alias("pattern"), F.lit(w).alias("whole")) for b, w in REPAIRS))
-    start = F.struct(F.regexp_replace(text, FLOATING_ACCENT, " ").alias("text"), occurrences(text, FLOATING_ACCENT).cast("int").alias("fixes"))
+    rules = F.array(*(F.struct(F.lit(b.strip("|_")).alias("letters"), F.lit(_pattern(b)).alias("pattern"), F.lit(w).alias("whole"), F.lit(_ending(b) != "").alias("rare")) for b, w in REPAIRS))
+
+    def begun(t: Column) -> Column:
+        accents = (F.length(t) != F.octet_length(t)) & t.rlike(FLOATING_ACCENT.replace(r"\s+", r"\s", 1))
+        new = F.when(accents, F.regexp_replace(t, FLOATING_ACCENT, " ")).otherwise(t)
+        return F.struct(new.alias("text"), F.when(accents, occurrences(t, FLOATING_ACCENT)).otherwise(0).cast("int").alias("fixes"))
 
     def step(now: Column, r: Column) -> Column:
-        mended = F.struct(F.regexp_replace(now["text"], r["pattern"], r["whole"]).alias("text"), (now["fixes"] + F.regexp_count(now["text"], r["pattern"])).cast("int").alias("fixes"))
-        return F.when(F.contains(now["text"], r["letters"]), mended).otherwise(now)
+        mended = lambda y: F.when(y == now["text"], now).otherwise(F.struct(y.alias("text"), (now["fixes"] + F.regexp_count(now["text"], r["pattern"])).cast("int").alias("fixes"), F.lit(True).alias("rare")))
+        return F.when((now["rare"] | ~r["rare"]) & F.contains(now["text"], r["letters"]), once(F.regexp_replace(now["text"], r["pattern"], r["whole"]), mended)).otherwise(now)
 
-    return F.aggregate(rules, start, step)
+    start = once(once(text, begun), lambda x: F.struct(x["text"].alias("text"), x["fixes"].alias("fixes"), x["text"].rlike(_rare()).alias("rare")))
+    return F.aggregate(rules, start, step, lambda x: F.struct(x["text"].alias("text"), x["fixes"].alias("fixes")))
 
 
 def repaired(text: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folia.functions.folds import once
+
 # Procedures that are none of the classes, and the classes by keyword, the first that fits.
 NO_PROCEDURE = ("liquidaci[oó]n", "tributari", "partici[oó]n")
 PROCEDURES = (
@@ -120,11 +121,6 @@ SENT_PER_SECOND, TEXT_SHARE, TOKENS_PER_MEGABYTE, PAGE_MEGABYTES = 2.0, 0.2, 250
 FIRST_PRICE, CACHED_PRICE = (0.5, 2), (0.05, 3)
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is made once a row, however often ``use`` reads it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _holds(low: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
 
