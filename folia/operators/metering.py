@@ -96,28 +96,32 @@ def counted(attempts: DataFrame, limit_rows: DataFrame | None = None, time: str
 def counted_stream(attempts: DataFrame, time: str = "ts", ident: str = "event_id", limit_rows: tuple = LIMITS) -> DataFrame:
     """``counted`` on a stream: (user_id, action, ident, plan, used, verdict, wait_seconds, monthly_count, lifetime_count) of each attempt.
 
-    State is two counters and a month for each user and action; it stays for good, as lifetime counters do.  Here an
-    attempt brings its own plan.  Attempts must come in order of time between batches; within one they are sorted.
+    State is two counters and a month for each action of a user; it stays for good, as lifetime counters do.  Users are the groups, as
+    most of the work is a group's, however few attempts it has.  Here an attempt brings its own plan.  Attempts must come in order of time between batches; within one they are sorted.
     """
     known = {(p, a): rest for p, a, *rest in limit_rows}
     schema = f"user_id long, action string, {ident} long, plan string, used long, verdict string, wait_seconds int, monthly_count long, lifetime_count long"
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, monthly, month = state.get if state.exists else (0, 0, "")
+        counters = {a: tuple(x) for a, *x in zip(*state.get, strict=True)} if state.exists else {}
+        rows = [row for f in frames for row in zip(*(f[c].tolist() for c in ("action", "plan", time, ident)), strict=True)]
         out = []
-        for plan, at, number in pd.concat(list(frames)).sort_values([time, ident])[["plan", time, ident]].itertuples(index=False):
-            limit, lifetime, soft = known.get((plan, key[1]), (0, False, False))
+        for action, plan, at, number in sorted(rows, key=lambda r: (r[2] is pd.NaT, 0 if r[2] is pd.NaT else r[2], r[3])):
+            total, monthly, month = counters.get(action, (0, 0, ""))
+            limit, lifetime, soft = known.get((plan, action), (0, False, False))
             if f"{at:%Y-%m}" > month:
                 monthly, month = 0, f"{at:%Y-%m}"
             used = total if lifetime else monthly
             said = "allowed" if limit < 0 or used < limit else "throttled" if soft else "denied"
             if said != "denied":
                 total, monthly = total + 1, monthly + 1
-            out.append((*key, number, plan, used, said, THROTTLE_SECONDS if said == "throttled" else 0, monthly, total))
-        state.update((total, monthly, month))
+            counters[action] = total, monthly, month
+            out.append((key[0], action, number, plan, used, said, THROTTLE_SECONDS if said == "throttled" else 0, monthly, total))
+        state.update((list(counters), *map(list, zip(*counters.values(), strict=True))))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return attempts.groupBy("user_id", "action").applyInPandasWithState(advance, schema, "total long, monthly long, month string", "append", GroupStateTimeout.NoTimeout)
+    kept = "actions array<string>, totals array<long>, monthlies array<long>, months array<string>"
+    return attempts.groupBy("user_id").applyInPandasWithState(advance, schema, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:

@@ -67,3 +67,17 @@ def test_stream_over_batches(spark, tmp_path):
         out = metering.counted_stream(reader, limit_rows=LIMITS)
         out.writeStream.option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).format("parquet").start(f"{folder}/out").awaitTermination()
     assert result(spark.read.schema(out.schema).parquet(f"{folder}/out")) == sequential(rows, LIMITS)
+
+
+def test_a_user_is_one_group_of_the_stream(spark, tmp_path):
+    rows = [(1, a, "free", dt.datetime(2024, 1, 1 + k), 4 * k + j) for k in range(5) for j, a in enumerate(("chat", "case", None, "other"))]
+    folder = f"file://{tmp_path}"
+    (tmp_path / "in").mkdir()
+    reader = spark.readStream.schema(KINDS).parquet(f"{folder}/in")
+    for part in (rows[:7], rows[7:]):
+        spark.createDataFrame(part, KINDS).write.mode("append").parquet(f"{folder}/in")
+        out = metering.counted_stream(reader, limit_rows=LIMITS)
+        run = out.writeStream.option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).format("parquet").start(f"{folder}/out")
+        run.awaitTermination()
+        assert [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]][-1] == 1
+    assert result(spark.read.schema(out.schema).parquet(f"{folder}/out")) == sequential(rows, LIMITS)
