@@ -98,6 +98,20 @@ def test_tables_of_other_kinds_stay_out(spark):
     assert (found["participant_type"], found["procedure"], found["failure"]) == ("v4", "v6", "v7")
 
 
+def test_origin_of_an_appeal_has_its_detail(spark):
+    def page(link, head="Causa Origen: C - 12 - 2024"):
+        titles = f'<table class="table-titulos"><tbody><tr><td>{head}</td><td>Ruc: 24-5 {link}</td></tr></tbody></table>'
+        return f"""<a onclick="detalleCausaCivil('{'o' * 30}')">x</a><div id="expedienteApe">{titles}<table class="table-titulos"><tr><td>Materia: other {link}</td></tr></table></div>"""
+
+    call = lambda token, name="detalleCausaCivil": f"""<a onclick="return {name}( '{token}' )">x</a>"""
+    jwt = "eyJab.c-d.e_f"
+    links = [call("k" * 21), call("k" * 20), call(jwt), call("k" * 30, "detalleCausaCobranza"), call("k" * 20) + call("k" * 30), call("k" * 21).replace("<a", "<label"), ""]
+    df = spark.createDataFrame([*((i, page(link)) for i, link in enumerate(links)), (7, page(call("k" * 21), "")), (8, "<p>none</p>"), (9, None)], "page_id long, html string")
+    rows = {r["page_id"]: r for r in html.appeal_origin(df).collect()}
+    assert [rows[i]["detail_token"] for i in range(8)] == ["k" * 21, None, jwt, None, None, None, None, "k" * 21] and len(rows) == 8
+    assert {(r["origin"], r["ruc"], r["matter"]) for i, r in rows.items() if i < 7} == {("C-12-2024", "24-5", None)} and rows[7]["origin"] is None
+
+
 def test_cover_density_prefers_close_terms():
     assert fulltext.cover_density([(1, 0), (2, 1)], 2) == 1.0
     assert fulltext.cover_density([(1, 0), (9, 1)], 2) < fulltext.cover_density([(1, 0), (3, 1)], 2)
