@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.sources.folders import stored
@@ -49,12 +49,19 @@ def running(rows: DataFrame, name: str, groups: list[str], order: list[str], val
     As in ``ranked``, ranges are stored and summed, so no task holds a group.  ``order`` must tell rows apart.  There are ``parts`` ranges, if
     given: for ranges the driver gets up to three hundred keys of each, however few rows they have.
     """
-    part, size, ahead, *same = fresh([*rows.columns, name], "part", "size", "ahead", *(f"same{k}" for k in range(len(groups))))
-    worth = F.coalesce(F.col(value), F.lit(0)).cast("long")
+    return running_sums(rows, {name: F.col(value)}, groups, order, parts)
+
+
+def running_sums(rows: DataFrame, values: dict[str, Column], groups: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """``running`` for several ``values`` by their sums' names, with one sort."""
+    part, *same = fresh([*rows.columns, *values], "part", *(f"same{k}" for k in range(len(groups))))
+    ahead = dict(zip(values, fresh([*rows.columns, *values, part, *same], *(f"ahead{k}" for k in range(len(values)))), strict=True))
+    worth = {name: F.coalesce(value, F.lit(0)).cast("long") for name, value in values.items()}
     dealt = stored(rows.repartitionByRange(*([parts] if parts else []), *(F.col(c).asc_nulls_first() for c in (*groups, *order))).withColumn(part, F.spark_partition_id()), "ranges")
-    sums = dealt.groupBy(*groups, part).agg(F.sum(worth).alias(size))
-    up_to = lambda w: F.coalesce(F.sum(w[0]).over(w[1].rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(*(F.col(g).alias(s) for g, s in zip(groups, same, strict=True)), F.col(part).alias(f"{part}_"), up_to((F.col(size), Window.partitionBy(*groups).orderBy(part))).alias(ahead))
-    inside = up_to((worth, Window.partitionBy(*groups, part).orderBy(*(F.col(c).asc_nulls_first() for c in order))))
+    sums = dealt.groupBy(*groups, part).agg(*(F.sum(w).alias(ahead[name]) for name, w in worth.items()))
+    up_to = lambda value, window: F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts_before, rows_before = Window.partitionBy(*groups).orderBy(part), Window.partitionBy(*groups, part).orderBy(*(F.col(c).asc_nulls_first() for c in order))
+    starts = sums.select(*(F.col(g).alias(s) for g, s in zip(groups, same, strict=True)), F.col(part).alias(f"{part}_"), *(up_to(F.col(c), parts_before).alias(c) for c in ahead.values()))
     match = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(s)) for g, s in zip(groups, same, strict=True)), F.col(part) == F.col(f"{part}_"))
-    return dealt.withColumn(name, inside).join(starts, match).withColumn(name, F.col(name) + F.col(ahead)).drop(part, f"{part}_", ahead, *same)
+    inside = dealt.withColumns({name: up_to(w, rows_before) for name, w in worth.items()})
+    return inside.join(starts, match).withColumns({name: F.col(name) + F.col(c) for name, c in ahead.items()}).drop(part, f"{part}_", *ahead.values(), *same)

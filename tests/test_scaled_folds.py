@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,67 @@ def test_a_batch_reads_only_what_is_near(spark, tmp_path, monkeypatch):
     assert rows[1] < rows[0] / 3 and parted != [0] and worklist.leftover(spark, path, schema).count() == 0
 
 
+@pytest.mark.parametrize("budget", [0, 30, 400])
+def test_batches_of_windows_are_those_of_one_by_one(budget):
+    rng = random.Random(budget)
+    for _ in range(60):
+        sizes, tries = [rng.choice((0, 1, 7, 40, 900)) for _ in range(rng.randrange(1, 60))], []
+        tries = [rng.randrange(1, 4) for _ in sizes]
+        want, waiting, number = {}, list(enumerate(tries)), 5
+        while waiting:
+            spent, later = 0, []
+            for i, left in waiting:
+                if spent <= budget:
+                    want.setdefault(i, number)
+                    left, spent = left - 1, spent + sizes[i]
+                later += [(i, left)] if left else []
+            waiting, number = later, number + 1
+        got, state, i = [], (5, 0, 0, 0), 0
+        while i < len(sizes):
+            j = i + rng.randrange(1, 20)
+            began, state = worklist._batches(np.array(sizes[i:j]), np.array(tries[i:j]), state, budget)
+            got, i = got + list(began), j
+        assert got == [want[i] for i in range(len(sizes))]
+
+
+def test_a_long_list_takes_few_steps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(worklist, "STEP_ROWS", 60)
+    rng = random.Random(4)
+    tasks = [(rng.choice((0, 0, 0, 1)), i, rng.choice((0, 1, 30, 500)), "no_storage" if i % 29 == 0 else None) for i in range(150)]
+    df = spark.createDataFrame([(case or None, i, size or None, reason) for case, i, size, reason in tasks], KIND)  # a group and sizes that are null
+    want, calls = sequential(tasks, 10), []
+    assert max(b for *_, b in want.values()) > 60
+    broken = [7]
+
+    def counted(rows):
+        calls.append(1)
+        if len(calls) in broken:
+            raise RuntimeError("broken off")
+        return work(rows)
+
+    with pytest.raises(RuntimeError):
+        worklist.resume(df, f"file://{tmp_path}/w", counted, 10)
+    first = shown(worklist.left(spark, f"file://{tmp_path}/w", worklist._schema(df)))
+    assert 6 < len(first) < 150 and first.items() <= want.items()
+    assert shown(worklist.resume(df, f"file://{tmp_path}/w", counted, 10)) == want
+    assert len(calls) < 30  # once a batch before
+
+    calls, broken = [], [7]
+    with pytest.raises(RuntimeError):
+        worklist.resume(df, f"file://{tmp_path}/x", counted, 10)
+    more = spark.createDataFrame([(1, 1000, 5, None), (None, 1001, 5, None)], KIND)
+    worklist.batch(more, f"file://{tmp_path}/x", work, 10, "more", worklist._schema(df), spark)  # new tasks after a step
+    first, both = shown(worklist.left(spark, f"file://{tmp_path}/x", worklist._schema(df))), shown(worklist.resume(df, f"file://{tmp_path}/x", counted, 10))
+    assert first.items() <= both.items() and {t: v[:3] for t, v in both.items() if t < 1000} == {t: v[:3] for t, v in want.items()} and set(both) == {*want, 1000, 1001}
+    assert worklist.leftover(spark, f"file://{tmp_path}/x", worklist._schema(df)).count() == 0
+
+
+def test_tasks_of_one_key_all_leave_once(spark, tmp_path):
+    tasks = [(1, i, 10, None) for i in (None, None, None, 1, 1, 5, 5, 5, 9)] * 2
+    done = worklist.resume(spark.createDataFrame(tasks, KIND), f"file://{tmp_path}/w", lambda rows: work(rows.na.fill(3, ["task_id"])), 15)
+    assert sorted(r["task_id"] for r in done.collect()) == sorted(i or 3 for _, i, *_ in tasks)
+
+
 def test_tasks_that_come_as_a_stream(spark, tmp_path):
     tasks, path = tasks_of(40), f"file://{tmp_path}/w"
     (tmp_path / "in").mkdir()
