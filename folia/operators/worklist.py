@@ -246,18 +246,19 @@ def _step(path: str, work: Work, budget: int, schema: T.StructType, spark: Spark
     return len(ahead) > 1
 
 
-def resume(tasks: DataFrame, path: str, work: Work, budget: int, most: int = 1000, **columns: str) -> DataFrame:
+def resume(tasks: DataFrame, path: str, work: Work, budget: int, **columns: str) -> DataFrame:
     """Batches over ``tasks`` until none waits: each task once, with its attempts, how it left and in which batch.
 
     ``work`` must judge each task by itself, as a step hands it the tasks of many batches, and their next tries after that, and give
     them back with all columns.  The batches are those that ``batch`` would make one by one.  Called again on a path where a run broke off, it goes on after the last step.
     """
+    if budget < 0:
+        raise ValueError("under a budget below 0 no task begins")
     spark, schema = tasks.sparkSession, _schema(tasks)
-    known = len(commits(spark, path))
-    if not known:
+    if not commits(spark, path):
         batch(tasks, path, work, budget, "run.0", schema, spark, **columns)
-    while _step(path, work, budget, schema, spark, **columns) and known < most:
-        known += 1
+    while _step(path, work, budget, schema, spark, **columns):
+        pass
     return left(spark, path, schema)
 
 

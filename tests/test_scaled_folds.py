@@ -177,6 +177,19 @@ def test_tasks_of_one_key_all_leave_once(spark, tmp_path):
     assert sorted(r["task_id"] for r in done.collect()) == sorted(i or 3 for _, i, *_ in tasks)
 
 
+def test_a_list_of_any_length_is_run_to_its_end(spark, tmp_path, monkeypatch):
+    n, skips = 1100, "CASE WHEN id = 7 THEN 'no_storage' END AS skip_reason"
+    tasks = spark.range(n).selectExpr("1L AS case_id", "id AS task_id", "1L AS size", skips)  # at a budget of 0, a batch each
+    done = shown(worklist.resume(tasks, f"file://{tmp_path}/w", lambda rows: rows.withColumn("result", F.when(F.col("task_id") != 9, "done")), 0))
+    assert set(done) == set(range(n)) and done[9] == (3, "max_retries", "skipped", 10) and max(b for *_, b in done.values()) == n
+    steps = iter([True] * 1500 + [False])
+    monkeypatch.setattr(worklist, "_step", lambda *_, **__: next(steps))
+    worklist.resume(tasks, f"file://{tmp_path}/w", work, 0)
+    assert next(steps, None) is None
+    with pytest.raises(ValueError):
+        worklist.resume(tasks, f"file://{tmp_path}/w", work, -1)
+
+
 def test_tasks_that_come_as_a_stream(spark, tmp_path):
     tasks, path = tasks_of(40), f"file://{tmp_path}/w"
     (tmp_path / "in").mkdir()
